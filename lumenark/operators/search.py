@@ -1,7 +1,7 @@
 """Lexical, dense and hybrid moment search.
 
 Scoring a query is one scan with column expressions: term frequencies are counted inside
-each row, corpus statistics are one aggregate read back as scalar subqueries, and every
+each row behind a substring test, corpus statistics are one aggregate read back as scalar subqueries, and every
 candidate list ends in a distributed top-k.  After the candidate cut (200 rows per
 retriever) everything is bounded by the cut, so the joins that follow may broadcast it.
 """
@@ -33,9 +33,14 @@ def postings(moments: DataFrame) -> DataFrame:
     return exploded.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
-def _hits(tokens: Column, term: str, prefix: bool) -> Column:
-    match = (lambda x: x.startswith(term)) if prefix else (lambda x: x == term)
-    return F.size(F.filter(tokens, match)).cast("double")
+def _count_term(low: Column, term: str, prefix: bool) -> Column:
+    """Occurrences of a term as a whole token (or as a token's head) without tokenising.
+
+    The substring test is cheap and rules out nearly every row before the pattern runs.
+    """
+    edge = r"[\p{L}\p{M}\p{N}]"
+    pattern = rf"(?<!{edge}){T.re.escape(term)}" + ("" if prefix else rf"(?!{edge})")
+    return F.when(low.contains(term), F.regexp_count(low, F.lit(pattern))).otherwise(F.lit(0)).cast("double")
 
 
 def bm25_scores(moments: DataFrame, terms: Sequence[str], prefix: str | None = None,
@@ -46,26 +51,32 @@ def bm25_scores(moments: DataFrame, terms: Sequence[str], prefix: str | None = N
     same scan.
     """
     probes = [(t, False) for t in terms] + ([(prefix, True)] if prefix else [])
-    t = tokenised(moments)
-    for i, (term, pre) in enumerate(probes):
-        t = t.withColumn(f"tf{i}", _hits(F.col("tokens"), term, pre))
-    tfs = [F.col(f"tf{i}") for i in range(len(probes))]
-    stats = t.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"),
-                  *[F.count_if(c > 0).cast("double").alias(f"df{i}") for i, c in enumerate(tfs)])
-    corpus = stats.select(F.struct("*")).scalar()  # one subquery, read by every term
-    n, avgdl = corpus.getField("n"), corpus.getField("avgdl")
-    score = F.lit(0.0)
-    for i, tf in enumerate(tfs):
-        score = score + M.bm25_term(tf, corpus.getField(f"df{i}"), n, F.col("dl"), avgdl)
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     combine = (lambda a, b: a & b) if require_all else (lambda a, b: a | b)
-    cond = None
-    for c in tfs:
-        cond = (c > 0) if cond is None else combine(cond, c > 0)
+    counts = [_count_term(low, term, pre) for term, pre in probes]
+    length = F.regexp_count(low, F.lit(r"[\p{L}\p{M}\p{N}]+"))
+    stats = moments.select(length.alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)]).agg(
+        F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"),
+        *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(probes))])
+    likely = present = None
+    for (term, _), c in zip(probes, counts):
+        seen, here = low.contains(term), c > 0
+        likely = seen if likely is None else combine(likely, seen)
+        present = here if present is None else combine(present, here)
+    # One scalar subquery, carried as a column and read by every term.
+    t = moments.filter(likely).filter(present).withColumns(
+        {"dl": length, "corpus": stats.select(F.struct("*")).scalar()})
+    corpus = F.col("corpus")
+    for i, c in enumerate(counts):
+        t = t.withColumn(f"tf{i}", c)
+    score = F.lit(0.0)
+    for i in range(len(probes)):
+        score = score + M.bm25_term(F.col(f"tf{i}"), corpus.getField(f"df{i}"), corpus.getField("n"),
+                                    F.col("dl"), corpus.getField("avgdl"))
     weight = F.greatest(F.coalesce(F.col("weight"), F.lit(1.0)), F.lit(0.05)) \
         if "weight" in moments.columns else F.lit(1.0)
-    return (t.filter(cond).withColumn("bm25", score)
-            .withColumn("score", F.col("bm25") * weight)
-            .drop("tokens", "dl", *[f"tf{i}" for i in range(len(probes))]))
+    return (t.withColumn("bm25", score).withColumn("score", F.col("bm25") * weight)
+            .drop("dl", "corpus", *[f"tf{i}" for i in range(len(probes))]))
 
 
 def top_ranked(df: DataFrame, limit: int, by: str = "score", tie: str = "id", digits: int | None = 9) -> DataFrame:

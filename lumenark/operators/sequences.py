@@ -43,17 +43,23 @@ class Carry:
 
 
 def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Sequence[Carry],
-               block: Column | None) -> DataFrame:
-    """Add running values over each key's rows in ``order`` (which must be total per key)."""
+               block: Column | str | None) -> DataFrame:
+    """Add running values over each key's rows in ``order`` (which must be total per key).
+
+    ``block`` may name a column already there: it is kept, and a second pass over the same
+    ``(keys, block)`` then needs no further shuffle.
+    """
     keys = list(keys)
+    own = isinstance(block, str)
     staged = df
     for i, s in enumerate(specs):
         val = F.struct(s.value.alias("v")) if s.kind in ("lag", "lead") else s.value
         staged = staged.withColumn(f"__v{i}", val)
     local_keys = keys
     if block is not None:
-        staged = staged.withColumn(BLOCK, block)
-        local_keys = [*keys, BLOCK]
+        name = block if own else BLOCK
+        staged = staged if own else staged.withColumn(BLOCK, block)
+        local_keys = [*keys, name]
     w = Window.partitionBy(*local_keys).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -91,7 +97,7 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs:
             "last": lambda v: F.max_by(v, F.when(v.isNotNull(), pos)),
         }[s.kind](v).alias(f"__s{i}"))
     blocks = staged.groupBy(*local_keys).agg(*aggs)
-    bw = Window.partitionBy(*keys).orderBy(BLOCK)
+    bw = Window.partitionBy(*keys).orderBy(name)
     bbefore = bw.rowsBetween(Window.unboundedPreceding, -1)
     for i, s in enumerate(specs):
         v = F.col(f"__s{i}")
@@ -113,7 +119,14 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs:
             "lead": lambda a, b: F.coalesce(a, b).getField("v"),
             "last": lambda a, b: F.coalesce(a, b),
         }[s.kind](here, there))
-    return out.drop(BLOCK, *[f"__{p}{i}" for i in range(len(specs)) for p in "vlc"])
+    return out.drop(*([] if own else [BLOCK]), *[f"__{p}{i}" for i in range(len(specs)) for p in "vlc"])
+
+
+def blocked(df: DataFrame, t: Column, seconds: float | None) -> tuple[DataFrame, str | None]:
+    """Attach the time block once so that several passes share its partitioning."""
+    if seconds is None:
+        return df, None
+    return df.withColumn(BLOCK, time_block(t, seconds)), BLOCK
 
 
 def _distinct_starts(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -123,8 +136,7 @@ def _distinct_starts(df: DataFrame, keys: Sequence[str], start: str, end: str) -
 
 
 def _ordered_spans(df, keys, start, end, block_seconds) -> DataFrame:
-    spans = _distinct_starts(df, keys, start, end)
-    blk = None if block_seconds is None else time_block(F.col("a"), block_seconds)
+    spans, blk = blocked(_distinct_starts(df, keys, start, end), F.col("a"), block_seconds)
     return with_carry(spans, keys, ["a"], [Carry("reach", "max", F.col("b"))], blk)
 
 
@@ -146,7 +158,7 @@ def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: float
     spans = _ordered_spans(df, keys, start, end, block_seconds)
     opened = F.col("reach").isNull() | (F.col("a") - F.col("reach") > F.lit(float(gap)))
     flagged = spans.withColumn("opened", opened.cast("bigint"))
-    blk = None if block_seconds is None else time_block(F.col("a"), block_seconds)
+    blk = None if block_seconds is None else BLOCK
     numbered = with_carry(flagged, keys, ["a"], [Carry("prior", "sum", F.col("opened"))], blk)
     return (numbered.groupBy(*keys, (F.col("prior") + F.col("opened")).alias("island"))
             .agg(F.min("a").alias("t0"), F.max("b").alias("t1")))
@@ -177,7 +189,9 @@ def frame_runs(df: DataFrame, keys: Sequence[str], idx: str = "idx", t_lo: str =
     rows = df.select(*keys, F.col(idx).alias("i"), F.col(t_lo).alias("ta"), F.col(t_hi).alias("tb"),
                      F.col(value).alias("val"))
     filled = rows.filter(F.col("val").isNotNull() & (F.col("val").cast("string") != ""))
-    blk = None if block_rows is None else index_block(F.col("i"), block_rows)
+    blk = None
+    if block_rows is not None:
+        filled, blk = filled.withColumn(BLOCK, index_block(F.col("i"), block_rows)), BLOCK
     prev = with_carry(filled, keys, ["i"], [Carry("before", "lag", F.struct("i", "val"))], blk)
     starts = ~F.coalesce((F.col("before.val") == F.col("val")) & (F.col("before.i") + 1 == F.col("i")),
                          F.lit(False))
@@ -195,8 +209,7 @@ def freeze_spans(df: DataFrame, keys: Sequence[str], t: str = "t", diff: str = "
 
     The first frame of a series has nothing to differ from and never counts.
     """
-    blk = None if block_seconds is None else time_block(F.col("ft"), block_seconds)
-    rows = df.select(*keys, F.col(t).alias("ft"), F.col(diff).alias("d"))
+    rows, blk = blocked(df.select(*keys, F.col(t).alias("ft"), F.col(diff).alias("d")), F.col("ft"), block_seconds)
     prev = with_carry(rows, keys, ["ft"], [Carry("pt", "lag", F.col("ft"))], blk)
     state = (prev.filter(F.col("pt").isNotNull())
              .withColumn("flat", F.coalesce(F.col("d") <= still, F.lit(False))))
@@ -225,8 +238,7 @@ def as_of(points: DataFrame, marks: DataFrame, keys: Sequence[str], t: str, mark
     right = marks.select(*keys, F.col(mark_t).cast("double").alias("__t"), F.lit(0).alias("__side"),
                          F.lit(None).cast(left.schema["__row"].dataType).alias("__row"),
                          F.col(mark_value).alias("__mark"))
-    both = left.unionByName(right)
-    blk = None if block_seconds is None else time_block(F.col("__t"), block_seconds)
+    both, blk = blocked(left.unionByName(right), F.col("__t"), block_seconds)
     found = with_carry(both, keys, ["__t", "__side"], [Carry("__hit", "last", F.col("__mark"))], blk)
     hits = found.filter(F.col("__side") == 1)
     if clamp_first:
@@ -352,12 +364,12 @@ def merge_cuts(cuts: DataFrame, durations: DataFrame, keys: Sequence[str], cut:
     rows = (cuts.join(durations.select(*keys, F.col(duration).alias("dur")), keys)
             .select(*keys, "dur", F.round(F.col(cut), 3).alias("c"))
             .filter((F.col("c") > 0) & (F.col("c") < F.col("dur"))).distinct())
-    linked = with_carry(rows, keys, ["c"], [Carry("prev_c", "lag", F.col("c"))],
-                        time_block(F.col("c")))
+    rows, blk = blocked(rows, F.col("c"), BLOCK_SECONDS)
+    linked = with_carry(rows, keys, ["c"], [Carry("prev_c", "lag", F.col("c"))], blk)
     opened = F.coalesce(F.col("c") - F.col("prev_c") >= min_shot, F.lit(False))
     flagged = linked.withColumn("opened", opened.cast("bigint"))
     chained = with_carry(flagged, keys, ["c"], [Carry("prior", "sum", F.col("opened"))],
-                         time_block(F.col("c"))).withColumn("chain", F.col("prior") + F.col("opened"))
+                         blk).withColumn("chain", F.col("prior") + F.col("opened"))
 
     # Chain 0 starts from the edge at 0; every later chain starts from its own first cut.
     kept = F.aggregate(
