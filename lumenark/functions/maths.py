@@ -102,10 +102,9 @@ SLOTS = (("Hook", 0.12), ("Setup", 0.35), ("Turn", 0.60), ("Payoff", 0.85), ("Cl
 
 
 def slot_of(mid: Column, duration: Column) -> Column:
-    """Slot by midpoint share; without a duration everything opens."""
-    pos = F.when(F.coalesce(duration, F.lit(0.0)) > 0,
-                 F.least(F.lit(0.999999), F.greatest(F.lit(0.0), mid / duration))).otherwise(F.lit(0.0))
-    return band(pos, [c for _, c in SLOTS[:-1]], [n for n, _ in SLOTS])
+    """Slot by the midpoint's share of the duration; NULL without a duration."""
+    pos = F.least(F.lit(0.999999), F.greatest(F.lit(0.0), mid / duration))
+    return F.when(duration > 0, band(pos, [c for _, c in SLOTS[:-1]], [n for n, _ in SLOTS]))
 
 
 def shortfall(decoded: Column, duration: Column, fps: Column) -> Column:
