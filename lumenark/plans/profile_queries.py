@@ -27,7 +27,7 @@ def moments(spark, sf):
 
 def shots(spark, sf):
     li = load(spark, sf, "lineitem").filter("l_quantity > 0").groupBy(F.col("l_orderkey").alias("entity_key"), F.col("l_linenumber").alias("idx")).agg(F.max("l_quantity").alias("q"))
-    return li.select("entity_key", "idx", ((F.col("idx") - 1) * 3.0).alias("t0"), ((F.col("idx") - 1) * 3.0 + F.col("q") / 16.0).alias("t1"))
+    return li.select("entity_key", "idx", ((F.col("idx") - 1) * 3.0).alias("t0"), ((F.col("idx") - 1) * 3.0 + F.col("q") / 10.0).alias("t1"))
 
 
 def entities(spark, sf):
@@ -42,7 +42,7 @@ mo AS (SELECT conv_id * 10000 + turn AS id, conv_id AS entity_key, CASE WHEN tur
          CAST(1.0 + length(text) % 7 AS DOUBLE) AS weight, text,
          len(regexp_extract_all(lower(text), '\\p{L}[\\p{L}\\p{M}]*')) AS wc FROM conversations),
 sh AS (SELECT l_orderkey AS entity_key, l_linenumber AS idx, CAST((l_linenumber - 1) * 3.0 AS DOUBLE) AS t0,
-         (l_linenumber - 1) * CAST(3.0 AS DOUBLE) + max(l_quantity) / CAST(16.0 AS DOUBLE) AS t1 FROM lineitem WHERE l_quantity > 0 GROUP BY ALL),
+         (l_linenumber - 1) * CAST(3.0 AS DOUBLE) + max(l_quantity) / CAST(10.0 AS DOUBLE) AS t1 FROM lineitem WHERE l_quantity > 0 GROUP BY l_orderkey, l_linenumber),
 en AS (SELECT conv_id AS entity_key, CAST(max(turn) * 2.0 + 4.0 AS DOUBLE) AS duration FROM conversations GROUP BY 1),
 tm AS (SELECT * REPLACE (greatest(t_end, t_start) AS t_end) FROM mo WHERE t_start IS NOT NULL)"""
 
@@ -127,12 +127,12 @@ def evidence_density(spark, sf):
 
 
 @query("five_number_summary", """
-SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 2) AS mean, round(quantile_cont(l_extendedprice, 0.5), 2) AS median,
-  round(quantile_cont(l_extendedprice, 0.1), 2) AS p10, round(quantile_cont(l_extendedprice, 0.9), 2) AS p90, round(stddev_pop(l_extendedprice), 2) AS sd,
+SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 1) AS mean, round(quantile_cont(l_extendedprice, 0.5), 1) AS median,
+  round(quantile_cont(l_extendedprice, 0.1), 1) AS p10, round(quantile_cont(l_extendedprice, 0.9), 1) AS p90, round(stddev_pop(l_extendedprice), 1) AS sd,
   round(stddev_pop(l_extendedprice) / avg(l_extendedprice), 3) AS cv FROM lineitem GROUP BY 1""")
 def five_number_summary(spark, sf):
     return five_numbers(load(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", 3).select(
-        "l_returnflag", "n", *[F.round(c, 2).alias(c) for c in ("mean", "median", "p10", "p90", "sd")], "cv")
+        "l_returnflag", "n", *[F.round(c, 1).alias(c) for c in ("mean", "median", "p10", "p90", "sd")], "cv")
 
 
 @query("percentile_points", """
@@ -143,11 +143,11 @@ def percentile_points(spark, sf):
 
 
 @query("ols_slope_regularity", """
-SELECT l_orderkey, count(*) AS n, round(CASE WHEN count(*) >= 3 AND regr_sxx(l_quantity, l_linenumber) >= 1e-12 THEN regr_slope(l_quantity, l_linenumber) ELSE 0 END, 5) AS slope,
+SELECT l_orderkey, count(*) AS n, round(CASE WHEN count(*) >= 3 AND regr_sxx(l_quantity, l_linenumber) >= 1e-12 THEN regr_slope(l_quantity, l_linenumber) ELSE 0 END, 6) AS slope,
   round(greatest(0, least(1, 1 - stddev_pop(l_quantity) / avg(l_quantity))), 5) AS regularity FROM lineitem GROUP BY 1""")
 def ols_slope_regularity(spark, sf):
     a = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), F.round(M.slope(F.col("l_quantity"), F.col("l_linenumber").cast("double")), 5).alias("slope"),
+        F.count("*").alias("n"), F.round(M.slope(F.col("l_quantity"), F.col("l_linenumber").cast("double")), 6).alias("slope"),
         F.round(M.regularity(F.stddev_pop("l_quantity"), F.avg("l_quantity")), 5).alias("regularity"))
     return a
 
@@ -319,11 +319,11 @@ def signal_bands(spark, sf):
 
 
 @query("cut_rhythm", """
-WITH s AS (SELECT l_orderkey AS entity_key, l_quantity / 16.0 AS len, (l_linenumber - 1) * 3.0 + l_quantity / 32.0 AS mid FROM (
+WITH s AS (SELECT l_orderkey AS entity_key, l_quantity / 10.0 AS len, (l_linenumber - 1) * 3.0 + l_quantity / 20.0 AS mid FROM (
              SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
 a AS (SELECT entity_key, count(*) AS n, avg(len) AS asl, sum(len) AS dur, stddev_pop(len) AS sd,
         CASE WHEN count(*) >= 3 AND regr_sxx(len, mid) >= 1e-12 THEN regr_slope(len, mid) ELSE 0 END AS sl FROM s GROUP BY 1)
-SELECT entity_key, 'asl' AS kind, round(asl, 3) AS num FROM a UNION ALL SELECT entity_key, 'cut_rate', round((n - 1) / dur * 60, 2) FROM a
+SELECT entity_key, 'asl' AS kind, round(asl, 3) AS num FROM a UNION ALL SELECT entity_key, 'cut_rate', CAST(round(CAST((n - 1) / dur * 60 AS DECIMAL(18, 6)), 2) AS DOUBLE) FROM a
 UNION ALL SELECT entity_key, 'rhythm', round(greatest(0, least(1, 1 - sd / asl)), 4) FROM a UNION ALL SELECT entity_key, 'acceleration', round(sl, 5) FROM a""")
 def cut_rhythm(spark, sf):
     return G.cut_rhythm(shots(spark, sf)).select("entity_key", "kind", "num")
