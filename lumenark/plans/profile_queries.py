@@ -324,9 +324,10 @@ WITH s AS (SELECT l_orderkey AS entity_key, l_quantity / 10.0 AS len, (l_linenum
 a AS (SELECT entity_key, count(*) AS n, avg(len) AS asl, sum(len) AS dur, stddev_pop(len) AS sd,
         CASE WHEN count(*) >= 3 AND regr_sxx(len, mid) >= 1e-12 THEN regr_slope(len, mid) ELSE 0 END AS sl FROM s GROUP BY 1)
 SELECT entity_key, 'asl' AS kind, round(asl, 3) AS num FROM a
-UNION ALL SELECT entity_key, 'rhythm', round(greatest(0, least(1, 1 - sd / asl)), 4) FROM a UNION ALL SELECT entity_key, 'acceleration', round(sl, 5) FROM a""")
+UNION ALL SELECT entity_key, 'rhythm', round(greatest(0, least(1, 1 - sd / asl)), 3) FROM a UNION ALL SELECT entity_key, 'acceleration', round(sl, 5) FROM a""")
 def cut_rhythm(spark, sf):
-    return G.cut_rhythm(shots(spark, sf)).filter("kind <> 'cut_rate'").select("entity_key", "kind", "num")
+    return G.cut_rhythm(shots(spark, sf)).filter("kind <> 'cut_rate'").select(
+        "entity_key", "kind", F.when(F.col("kind") == "rhythm", F.round("num", 3)).otherwise(F.col("num")).alias("num"))
 
 
 @query("motion_energy")
