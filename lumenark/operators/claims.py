@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as TT
 
 from ..functions import text as T
 
@@ -164,7 +163,7 @@ def label_column(df: DataFrame, column: str, sample: int = 500, share: float = 0
                         & (F.col("labelish") / F.greatest(F.col("considered"), F.lit(1)) >= share)))
 
 
-CLAIM_SCHEMA = TT.StructType.fromDDL(
+CLAIM_SCHEMA = (
     "uid STRING, entity_key STRING, shot_idx INT, t0 DOUBLE, t1 DOUBLE, channel STRING, kind STRING, "
     "value STRING, num DOUBLE, confidence DOUBLE, observer_id STRING, ordinal INT, frame_idx INT, frame_hi INT")
 

@@ -120,9 +120,6 @@ def list_column(df: DataFrame, column: str) -> DataFrame:
 
 # ---- build ---------------------------------------------------------------------------
 
-_NO_META = F.lit(None).cast("map<string,string>")
-
-
 def _meta(**pairs) -> Column:
     return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v.cast("string"))])
 
