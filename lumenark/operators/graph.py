@@ -95,8 +95,10 @@ def split_list(value: Column) -> Column:
     from_object = F.map_keys(F.try_variant_get(doc, "$", "map<string,variant>"))
     parts = F.filter(F.split(s, r"[,;|/]| - "), lambda p: F.trim(p) != "")
     plain = F.when(F.size(parts) > 1, parts).when(F.length(s) <= MAX_TOKEN, F.array(s)).otherwise(F.array().cast("array<string>"))
+    # Only a cell that opens like JSON is ever parsed.
+    json = F.when(shape.startswith("ARRAY"), from_array).when(shape.startswith("OBJECT"), from_object).otherwise(plain)
     return (F.when(F.coalesce(s, F.lit("")) == "", F.array().cast("array<string>"))
-            .when(shape.startswith("ARRAY"), from_array).when(shape.startswith("OBJECT"), from_object).otherwise(plain))
+            .when(s.rlike(r"^[\[{]"), json).otherwise(plain))
 
 
 def list_tokens(value: Column) -> Column:
@@ -159,8 +161,12 @@ def _supported(pairs: DataFrame, by: Sequence[str], n_entities: Column, least: i
 
 
 def tag_edges(df: DataFrame, key: str, column: str, table: str, n_entities: Column) -> tuple[DataFrame, DataFrame]:
-    """List-valued column to tags; the (entity, token) pairs are distinct before counting."""
-    pairs = df.select(F.col(key).alias("k"), F.explode(list_tokens(F.col(column).cast("string"))).alias("token")).distinct()
+    """List-valued column to tags; the (entity, token) pairs are distinct before counting.
+
+    A cell is split once per distinct (entity, value), not once per row.
+    """
+    cells = df.select(F.col(key).alias("k"), F.col(column).cast("string").alias("cell")).filter(F.col("cell").isNotNull()).distinct()
+    pairs = cells.select("k", F.explode(list_tokens(F.col("cell"))).alias("token")).distinct()
     kept = _supported(pairs, ["token"], n_entities, MIN_SUPPORT, MAX_TAGS)
     nid = tag_id(table, column, F.col("token"))
     nodes = kept.select(nid.alias("id"), F.lit("tag").alias("kind"), F.col("token").alias("label"), F.lit(column).alias("sub"),
