@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 BLOCK = "__blk"
 BLOCK_SECONDS = 3600.0
@@ -372,14 +373,21 @@ def merge_cuts(cuts: DataFrame, durations: DataFrame, keys: Sequence[str], cut:
                          blk).withColumn("chain", F.col("prior") + F.col("opened"))
 
     # Chain 0 starts from the edge at 0; every later chain starts from its own first cut.
-    kept = F.aggregate(
-        F.array_sort(F.collect_list("c")),
-        F.array().cast("array<double>"),
-        lambda acc, c: F.when(
-            F.when(F.size(acc) > 0, c - F.element_at(acc, -1) >= min_shot)
-            .otherwise((F.col("chain") > 0) | (c >= min_shot)), F.concat(acc, F.array(c))).otherwise(acc))
-    inner = (chained.groupBy(*keys, "chain").agg(kept.alias("kept"))
-             .select(*keys, F.explode("kept").alias("edge")))
+    # Chains stream past in sorted batches: a task holds the last kept cut and nothing else.
+    def keep(batches):
+        current, last = None, 0.0
+        for pdf in batches:
+            out = []
+            for row in zip(*(pdf[k] for k in keys), pdf["chain"], pdf["c"]):
+                if row[:-1] != current:
+                    current, last = row[:-1], (0.0 if row[-2] == 0 else float("-inf"))
+                flag = row[-1] - last >= min_shot
+                last = row[-1] if flag else last
+                out.append(flag)
+            yield pdf.drop(columns=["chain"]).rename(columns={"c": "edge"})[out]
+
+    slim = chained.select(*keys, "chain", "c").repartition(*keys, "chain").sortWithinPartitions(*keys, "chain", "c")
+    inner = slim.mapInPandas(keep, StructType([*[slim.schema[k] for k in keys], StructField("edge", DoubleType())]))
     last = inner.groupBy(*keys).agg(F.max("edge").alias("last_edge"))
     trimmed = (inner.join(last, keys).join(durations.select(*keys, F.col(duration).alias("dur")), keys)
                .filter(~((F.col("edge") == F.col("last_edge")) & (F.col("dur") - F.col("edge") < min_shot)))

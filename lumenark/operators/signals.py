@@ -37,7 +37,8 @@ def cut_rhythm(shots: DataFrame) -> DataFrame:
     s = shots.filter(F.col("t1") > F.col("t0")).withColumn("len", F.col("t1") - F.col("t0")).withColumn("mid", (F.col("t0") + F.col("t1")) / 2.0)
     a = s.groupBy("entity_key").agg(F.count("*").alias("n"), F.sum("len").alias("dur"), F.avg("len").alias("asl"),
                                     F.stddev_pop("len").alias("sd"), M.slope(F.col("len"), F.col("mid")).alias("slope"))
-    cv, cpm = M.cv(F.col("sd"), F.col("asl")), (F.col("n") - 1) / F.col("dur") * 60.0
+    # Rounded so that a band never hangs on the order in which partial sums met.
+    cv, cpm = F.round(M.cv(F.col("sd"), F.col("asl")), 9), (F.col("n") - 1) / F.col("dur") * 60.0
     return _claims(a, "style", [
         ("asl", F.format_string("%.2fs average shot", "asl"), F.round("asl", 3)),
         ("cut_rate", F.concat(F.format_string("%.1f cuts/min across %d shot", cpm, F.col("n")), F.when(F.col("n") != 1, "s").otherwise("")), F.round(cpm, 2)),

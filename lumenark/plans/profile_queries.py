@@ -324,7 +324,7 @@ WITH s AS (SELECT l_orderkey AS entity_key, l_quantity / 10.0 AS len, (l_linenum
 a AS (SELECT entity_key, count(*) AS n, avg(len) AS asl, sum(len) AS dur, stddev_pop(len) AS sd,
         CASE WHEN count(*) >= 3 AND regr_sxx(len, mid) >= 1e-12 THEN regr_slope(len, mid) ELSE 0 END AS sl FROM s GROUP BY 1)
 SELECT entity_key, 'asl' AS kind, CAST(NULL AS VARCHAR) AS value, round(asl, 3) AS num FROM a
-UNION ALL SELECT entity_key, 'rhythm', CASE WHEN sd / asl < 0.15 THEN 'metronomic' WHEN sd / asl < 0.4 THEN 'even' WHEN sd / asl < 0.8 THEN 'varied' ELSE 'erratic' END, NULL FROM a
+UNION ALL SELECT entity_key, 'rhythm', CASE WHEN round(sd / asl, 9) < 0.15 THEN 'metronomic' WHEN round(sd / asl, 9) < 0.4 THEN 'even' WHEN round(sd / asl, 9) < 0.8 THEN 'varied' ELSE 'erratic' END, NULL FROM a
 UNION ALL SELECT entity_key, 'acceleration', NULL, round(sl, 5) FROM a""")
 def cut_rhythm(spark, sf):
     return G.cut_rhythm(shots(spark, sf)).filter("kind <> 'cut_rate'").select(
