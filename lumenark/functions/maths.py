@@ -110,7 +110,7 @@ def slot_of(mid: Column, duration: Column) -> Column:
 def shortfall(decoded: Column, duration: Column, fps: Column) -> Column:
     """Share of the expected frames that never decoded."""
     expected = duration * fps
-    return F.when(expected > 0, F.greatest(F.lit(0.0), 1.0 - decoded / expected)).otherwise(F.lit(0.0))
+    return F.when((expected >= 1.0) & (decoded >= 0), F.greatest(F.lit(0.0), 1.0 - decoded / expected)).otherwise(F.lit(0.0))
 
 
 def backoff_seconds(attempt: Column, base: float = 60.0, ceiling: float = 3600.0) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.jsonx import clean_cell
 from .merge import time_link
 
 # Role vocabularies, most trusted name first (compared lower-case, letters and digits only).
@@ -237,7 +238,7 @@ def split_sources(specs: list[tuple[dict, DataFrame]]) -> tuple[DataFrame, DataF
     for spec, rows in specs:
         if spec["kind"]:
             w = C.admit(rows.withColumnRenamed("text", "raw"), "kind", "raw", "confidence")
-            p = w.filter(F.col("form") == "prose").select("entity_key", "source", "t0", "t1", T.clean_text(F.col("text")).alias("text"))
+            p = w.filter(F.col("form") == "prose").select("entity_key", "source", "t0", "t1", clean_cell(F.col("text")).alias("text"))
             f = w.filter(F.col("form") == "fact").select("entity_key", "source", F.lower(F.trim("kind")).alias("kind"), "t0", "t1", "text", "confidence")
             prose, facts = add(prose, p), add(facts, f)
             continue
@@ -247,7 +248,7 @@ def split_sources(specs: list[tuple[dict, DataFrame]]) -> tuple[DataFrame, DataF
                 "entity_key", "source", "kind", "t0", "t1", F.col("x.label").alias("text"), F.col("x.conf").alias("confidence")) \
                 .filter(F.col("confidence").isNull() | (F.col("confidence") >= C.FLOOR))
             facts, rows = add(facts, f), lab.filter(F.coalesce(F.size("l"), F.lit(0)) <= 0).drop("l")
-        p = rows.filter(~T.is_absence(F.col("text"))).select("entity_key", "source", "t0", "t1", T.clean_text(F.col("text")).alias("text"))
+        p = rows.filter(~T.is_absence(F.col("text"))).select("entity_key", "source", "t0", "t1", clean_cell(F.col("text")).alias("text"))
         prose = add(prose, p)
     if prose is not None:
         prose = prose.filter(F.col("text").isNotNull()).withColumn("row_id", F.xxhash64("entity_key", "source", "t0", "t1", "text"))
