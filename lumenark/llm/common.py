@@ -61,7 +61,7 @@ def row_key(*columns: str) -> list[Column]:
 
 
 WORD_BYTE = np.ones(256, dtype=bool)
-WORD_BYTE[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
+WORD_BYTE[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False  # A-Z are folded, so they belong to words
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A"): ord("Z") + 1] += 32
 
