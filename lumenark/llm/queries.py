@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lumenark.llm import chosenpath, langid, packing, tokenfile
+from lumenark.llm import chosenpath, decontam, langid, packing, tokenfile
 
 QUERIES = {
+    "op2_prefix_decontamination": decontam.op2,
     "op4_token_file": tokenfile.op4,
     "op8_best_fit_packing": packing.op8,
     "op9_chosen_path_join": chosenpath.op9,
     "op10_byte_network": langid.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_prefix_decontamination": decontam.OP2_SQL,
+}
