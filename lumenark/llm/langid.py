@@ -181,40 +181,68 @@ def train(docs: DataFrame, docs_per_lang: int = 1200, windows_per_doc: int = 5,
     return ByteNetwork(languages).fit(found, target, epochs)
 
 
+def _named(model: ByteNetwork, text, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a batch."""
+    found, at = windows(text)
+    weight = (found != 0).sum(axis=1).astype(np.float64)
+    run = np.zeros((len(found) + 1, len(model.languages)))
+    np.cumsum(model.predict(found) * weight[:, None], axis=0, out=run[1:])
+    mean = run[at[1:]] - run[at[:-1]]
+    mean /= np.maximum(mean.sum(axis=1, keepdims=True), 1e-12)
+    best = mean.argmax(axis=1)
+    score = np.clip(mean[np.arange(len(best)), best], 0.0, 1.0)
+    return [model.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters.tolist())], np.where(letters, score, 0.0)
+
+
+def _letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: ByteNetwork | None) -> DataFrame:
-    """``docs`` (doc_id, text) with lang_pred and score: (doc_id, th, held_out, lang_pred, score); ``th`` is a hash of the text."""
+    """Predictions for ``docs`` (doc_id, text): (doc_id, held_out, lang_pred, score)."""
     import pyarrow as pa
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), held_out(F.col("doc_id")).alias("held_out"),
-                       F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _letters(F.col("text")).alias("letters"), "text")
     if model is None:
-        return rows.select("doc_id", "th", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some ten kilobytes of weights
 
     def name(batch):
-        net = shared.value
-        found, at = windows(batch.column("text"))
-        weight = (found != 0).sum(axis=1).astype(np.float64)
-        sums = np.zeros((len(at), len(net.languages)))
-        np.cumsum(net.predict(found) * weight[:, None], axis=0, out=(run := np.zeros((len(found), len(net.languages)))))
-        run = np.concatenate([np.zeros((1, run.shape[1])), run])
-        sums = run[at[1:]] - run[at[:-1]]
-        sums /= np.maximum(sums.sum(axis=1, keepdims=True), 1e-12)
-        best = sums.argmax(axis=1)
-        score = np.clip(sums[np.arange(len(best)), best], 0.0, 1.0)
-        letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-        langs = [net.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters.tolist())]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("held_out"), pa.array(langs, type=pa.string()), pa.array(np.where(letters, score, 0.0))],
-                                          ["doc_id", "th", "held_out", "lang_pred", "score"])
-
-    return arrow_map(rows, name, "doc_id bigint, th bigint, held_out boolean, lang_pred string, score double")
+        langs, score = _named(shared.value, batch.column("text"), batch.column("letters").to_numpy(zero_copy_only=False).astype(bool))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, type=pa.string()), pa.array(score)],
+                                          ["doc_id", "held_out", "lang_pred", "score"])
+
+    return arrow_map(rows, name, "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: ByteNetwork | None, min_score: float) -> DataFrame:
+    """``docs`` without those that are ``und`` or whose best language has a lower probability than ``min_score``; all columns stay."""
+    import pyarrow as pa
+
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = docs.columns
+    rows = docs.select(*[F.col(c) for c in columns], _letters(F.col("text").cast("string")).alias("__letters"), F.col("text").cast("string").alias("__text"))
+
+    def cut(batch):
+        letters = batch.column(len(columns)).to_numpy(zero_copy_only=False).astype(bool)
+        langs, score = _named(shared.value, batch.column(len(columns) + 1), letters)
+        good = pa.array((score >= min_score) & letters)
+        return pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(columns))], columns).filter(good)
+
+    return arrow_map(rows, cut, docs.schema)
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
     """Learns from the labelled documents that are not held out and predicts all."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = training_rows(docs)
     return predict(rows, train(rows, **options))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(table(spark, sf_dir, "documents"))
