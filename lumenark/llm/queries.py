@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumenark.llm import chosenpath, decontam, langid, packing, surrogates, tokenfile
+from lumenark.llm import chosenpath, decontam, langid, packing, secrets, surrogates, tokenfile
 
 QUERIES = {
     "op2_prefix_decontamination": decontam.op2,
     "op4_token_file": tokenfile.op4,
     "op5_pii_surrogates": surrogates.op5,
+    "op7_secret_ownership": secrets.op7,
     "op8_best_fit_packing": packing.op8,
     "op9_chosen_path_join": chosenpath.op9,
     "op10_byte_network": langid.op10,
