@@ -123,6 +123,12 @@ def _blocks(rows: DataFrame, key: str, block: int, per_group: int, total: int) -
     return dealt.withColumn("unit", unit).withColumn("g", F.pmod(unit, F.lit(max(1, -(-total // per_group)))))
 
 
+def _by_id(ids, unit: np.ndarray) -> np.ndarray:
+    """Order by unit, then by id."""
+    key = np.frombuffer(b"".join(ids.to_pylist()), dtype=">u8").reshape(-1, 2)
+    return np.lexsort((key[:, 1], key[:, 0], unit))
+
+
 def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Least index of each node's component."""
     label = np.arange(n)
@@ -148,7 +154,7 @@ def candidates(found: DataFrame, sets: DataFrame, scratch: Scratch, threshold: f
 
     def forest(t):
         unit = t.column("unit").to_numpy()
-        order = np.argsort(unit, kind="stable")
+        order = _by_id(t.column("id"), unit)  # so that a forest hangs on least ids, and forests of one group on few
         unit = unit[order]
         ids = np.array(t.column("id").to_pylist(), dtype=object)[order]
         side = (t.column("mine").to_numpy() == t.column("hi").to_numpy())[order]
@@ -182,7 +188,10 @@ def connect(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     logarithm of the longest path.
     """
     k, before = 0, None
-    edges = edges.select(F.greatest("id", "root").alias("v"), F.least("id", "root").alias("u")).distinct()
+    edges = edges.select(F.greatest("id", "root").alias("v"), F.least("id", "root").alias("u"))
+    # A node and all its roots belong to the least of these: one edge a node and a few between roots are left.
+    roots = edges.groupBy("v").agg(F.min("u").alias("m"), F.collect_set("u").alias("us"))
+    edges = scratch.keep(roots.select(F.explode(F.concat("us", F.array("v"))).alias("v"), F.col("m").alias("u")).where("v != u").distinct(), f"{name}_first")
     while True:
         both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
@@ -207,7 +216,7 @@ def _exact(members: DataFrame, threshold: float, total: int) -> DataFrame:
     def verify(t):
         cols = {c: t.column(c).to_numpy() for c in ("unit", "mine", "lo", "hi", "copies")}
         ids, raw = t.column("id").to_pylist(), t.column("shingles").to_pylist()
-        order = np.argsort(cols["unit"], kind="stable")
+        order = _by_id(t.column("id"), cols["unit"])
         cuts = np.flatnonzero(np.diff(cols["unit"][order])) + 1
         out_id, out_root, out_links = [], [], []
         for unit in np.split(order, cuts):
