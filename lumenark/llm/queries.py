@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lumenark.llm import chosenpath, decontam, langid, packing, secrets, surrogates, tokenfile
+from lumenark.llm import chosenpath, decontam, langid, packing, pivots, quality, secrets, surrogates, tokenfile, wordpiece
 
 QUERIES = {
+    "op1_permutation_index": pivots.op1,
     "op2_prefix_decontamination": decontam.op2,
+    "op3_weak_label_quality": quality.op3,
     "op4_token_file": tokenfile.op4,
     "op5_pii_surrogates": surrogates.op5,
+    "op6_word_piece_counts": wordpiece.op6,
     "op7_secret_ownership": secrets.op7,
     "op8_best_fit_packing": packing.op8,
     "op9_chosen_path_join": chosenpath.op9,
