@@ -119,22 +119,18 @@ class ByteNetwork:
                 g["embed"][:, d] += np.bincount(seen.ravel(), weights=share[..., d].ravel(), minlength=256)
         return g
 
-    def fit(self, found: np.ndarray, target: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 4e-3, seed: int = 2) -> ByteNetwork:
-        """Adam over shuffled batches, the rate falling to nothing."""
-        rng, step = np.random.default_rng(seed), 0
+    def fit(self, found: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 4e-3, seed: int = 2) -> ByteNetwork:
+        """Adam over random batches, the rate falling to nothing."""
+        rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
-        total = epochs * -(-len(found) // batch)
-        for _ in range(epochs):
-            order = rng.permutation(len(found))
-            for k in range(0, len(order), batch):
-                pick = order[k: k + batch]
-                step += 1
-                for name, g in self.gradients(found[pick], target[pick]).items():
-                    mean[name] += 0.1 * (g - mean[name])
-                    square[name] += 0.001 * (g * g - square[name])
-                    self.p[name] -= rate * (1 - step / (total + 1)) * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.999**step)) + 1e-8)
-                self._tables = None
+        for step in range(1, steps + 1):
+            pick = rng.integers(0, len(found), batch)
+            for name, g in self.gradients(found[pick], target[pick]).items():
+                mean[name] += 0.1 * (g - mean[name])
+                square[name] += 0.001 * (g * g - square[name])
+                self.p[name] -= rate * (1 - step / (steps + 1)) * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.999**step)) + 1e-8)
+            self._tables = None
         return self
 
     def __getstate__(self):
@@ -169,7 +165,7 @@ def sample_windows(docs: DataFrame, docs_per_lang: int, windows_per_doc: int) ->
     return arrow_map(few.select("lang", "text"), cut, "lang string, window binary")
 
 
-def train(docs: DataFrame, docs_per_lang: int = 1200, windows_per_doc: int = 5, epochs: int = 5) -> ByteNetwork | None:
+def train(docs: DataFrame, docs_per_lang: int = 1200, windows_per_doc: int = 5, steps: int = 600) -> ByteNetwork | None:
     """A network fitted on a bounded sample of ``docs`` (doc_id, text, lang); None where nothing is labelled."""
     rows = sample_windows(docs, docs_per_lang, windows_per_doc).collect()
     if not rows:
@@ -178,7 +174,7 @@ def train(docs: DataFrame, docs_per_lang: int = 1200, windows_per_doc: int = 5,
     languages = sorted({r["lang"] for r in rows})
     found = np.frombuffer(b"".join(bytes(r["window"]) for r in rows), dtype=np.uint8).reshape(-1, SIZE)
     target = np.array([languages.index(r["lang"]) for r in rows])
-    return ByteNetwork(languages).fit(found, target, epochs)
+    return ByteNetwork(languages).fit(found, target, steps)
 
 
 def _named(model: ByteNetwork, text, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
