@@ -47,5 +47,5 @@ def flatten_json(cell: Column) -> Column:
 
 
 def clean_cell(cell: Column) -> Column:
-    """Any source cell normalised for indexing: JSON unwrapped, handles and spaces gone, cut on a word."""
+    """Any source cell normalised for indexing: JSON unwrapped, handles and spaces gone."""
     return T.clean_text(flatten_json(cell))

@@ -46,17 +46,22 @@ def strip_opaque(c: Column) -> Column:
     return F.when(c.rlike(OPAQUE), folded).otherwise(c)
 
 
-def cut_on_word(c: Column, limit: int = MAX_CHARS) -> Column:
-    head = F.substring(c, 1, limit)
-    return F.when(F.length(c) <= limit, c).otherwise(F.regexp_replace(head, r" [^ ]*$", ""))
-
-
 def clean_text(c: Column) -> Column:
-    """One cell normalised for indexing; NULL when nothing worth indexing remains."""
-    s = cut_on_word(squeeze(strip_opaque(F.trim(c))))
+    """One cell normalised for indexing, at its whole length; NULL when nothing worth indexing remains."""
+    s = squeeze(strip_opaque(F.trim(c)))
     return F.when((F.length(s) >= 2) & ~s.rlike(r"^\d+$"), s)
 
 
+def passages_of(c: Column, limit: int = MAX_CHARS) -> Column:
+    """A squeezed text as successive passages of at most ``limit`` characters, cut between words.
+
+    A word longer than a passage is cut where the passage ends. Nothing is left out but the
+    blanks at the cuts.
+    """
+    pattern = rf"\S(?:.{{0,{limit - 2}}}\S)?(?:\s|$)|\S{{{limit}}}"
+    return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda p: F.trim(p))
+
+
 def is_absence(c: Column) -> Column:
     s = F.trim(c)
     return F.coalesce((F.length(s) > 0) & (F.length(s) <= 120) & s.rlike(ABSENCE), F.lit(False))

@@ -149,13 +149,10 @@ def labels(cell: Column) -> Column:
     return F.when(s.startswith("["), json_labels(s)).otherwise(bare_labels(s))
 
 
-def label_column(df: DataFrame, column: str, sample: int = 500, share: float = 0.6, minimum: int = 20) -> DataFrame:
-    """One row (considered, labelish, is_label): does a sample of the column hold labels?
-
-    The sample is the operator: the question is asked of the first ``sample`` cells.
-    """
+def label_column(df: DataFrame, column: str, share: float = 0.6, minimum: int = 20) -> DataFrame:
+    """One row (considered, labelish, is_label): do the column's cells hold labels? All of them are asked."""
     cell = F.col(column).cast("string")
-    seen = df.select(cell.alias("c")).limit(sample).filter(
+    seen = df.select(cell.alias("c")).filter(
         F.col("c").isNotNull() & (F.trim("c") != "") & ~T.is_absence(F.col("c")))
     return (seen.agg(F.count("*").alias("considered"),
                      F.count_if(F.coalesce(F.size(labels(F.col("c"))), F.lit(0)) > 0).alias("labelish"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,25 +48,28 @@ def concepts(members: DataFrame, labels: DataFrame, weights: DataFrame | None =
             .orderBy(F.col("videos").desc(), "label", "concept").limit(breadth))
 
 
-def prerequisites(members: DataFrame, kept: DataFrame, breadth: int = BREADTH) -> DataFrame:
+def prerequisites(members: DataFrame, kept: DataFrame) -> DataFrame:
     """(src, dst, shared, p_forward, p_back, strength): what is seen before what.
 
     Entities are first reduced to their distinct concept sets with a count (map-side
-    combined), then each set adds its bits to one row of counters per concept: ``breadth``
-    sums per row, no entity ever meets another and no pairs are emitted.
+    combined), then each set adds its bits to one row of counters per concept: as many
+    sums per row as there are concepts in the plan, no entity ever meets another and no
+    pairs are emitted. ``kept`` is the plan, as many rows as its reader asked for.
     """
     w = Window.orderBy(F.col("videos").desc(), "concept")
-    ranked = kept.select("concept", "videos", (F.row_number().over(w) - 1).alias("i"))  # at most ``breadth`` rows
-    own = members.join(F.broadcast(ranked.select("concept", "i")), "concept")
+    ranked = kept.select("concept", "videos", (F.row_number().over(w) - 1).alias("i"))
+    breadth = kept.count()
+    own = members.join(ranked.select("concept", "i"), "concept")
     sets = own.groupBy("entity_key").agg(F.array_sort(F.collect_set("i")).alias("s"))
     patterns = sets.groupBy("s").agg(F.count("*").alias("n"))
     rows = patterns.select("s", "n", F.explode("s").alias("a"))
-    sums = rows.groupBy("a").agg(*[F.sum(F.when(F.array_contains("s", j), F.col("n")).otherwise(0)).alias(f"c{j}")
-                                   for j in range(breadth)])
-    pairs = sums.select("a", F.posexplode(F.array(*[f"c{j}" for j in range(breadth)])).alias("b", "shared"))
+    counters = F.transform(F.sequence(F.lit(0), F.lit(max(breadth - 1, 0))), lambda j: F.array_contains("s", j).cast("double") * F.col("n"))
+    flat = rows.select("a", array_to_vector(counters).alias("c"))
+    sums = flat.groupBy("a").agg(Summarizer.sum(F.col("c")).alias("c"))
+    pairs = sums.select("a", F.posexplode(vector_to_array("c")).alias("b", "shared")).withColumn("shared", F.round("shared").cast("bigint"))
     A = ranked.select(F.col("i").alias("a"), F.col("concept").alias("src"), F.col("videos").alias("na"))
     B = ranked.select(F.col("i").alias("b"), F.col("concept").alias("dst"), F.col("videos").alias("nb"))
-    e = (pairs.filter(F.col("shared") >= MIN_SHARED).join(F.broadcast(A), "a").join(F.broadcast(B), "b")
+    e = (pairs.filter(F.col("shared") >= MIN_SHARED).join(A, "a").join(B, "b")
          .filter(F.col("na") > F.col("nb"))
          .withColumn("pf", F.col("shared") / F.col("nb")).withColumn("pb", F.col("shared") / F.col("na"))
          .filter((F.col("pf") >= P_MIN) & (F.round(F.col("pf") - F.col("pb"), 12) >= MARGIN)))
@@ -74,12 +79,12 @@ def prerequisites(members: DataFrame, kept: DataFrame, breadth: int = BREADTH) -
     return out.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= MAX_PREREQ).drop("rn")
 
 
-def levels(kept: DataFrame, edges: DataFrame, max_rounds: int = BREADTH) -> DataFrame:
+def levels(kept: DataFrame, edges: DataFrame) -> DataFrame:
     """(concept, level): longest path from a root.  Support falls strictly along every edge,
     so there is no cycle and the relaxation settles within the longest path's length."""
     e = cut_lineage(edges.select("src", "dst"))
     cur = cut_lineage(kept.select("concept", F.lit(1).alias("level")))
-    for _ in range(max_rounds):
+    while True:
         up = (e.join(cur.withColumnRenamed("concept", "src"), "src").groupBy(F.col("dst").alias("concept"))
               .agg((F.max("level") + 1).alias("up")))
         nxt = cut_lineage(cur.join(up, "concept", "left").select(
@@ -106,8 +111,8 @@ def concept_moments(members: DataFrame, kept: DataFrame, moments: DataFrame, lim
         "norm", F.concat(F.lit(" "), F.array_join(T.search_tokens(F.coalesce("text", F.lit(""))), " "), F.lit(" ")))
     avg_len = m.agg(F.avg(F.length("norm"))).scalar()
     phrase = F.array_join(T.search_tokens(F.regexp_replace("label", "^#", "")), " ")
-    small = kept.select("concept", phrase.alias("phrase"))  # at most ``breadth`` rows
-    both = (members.join(F.broadcast(small), "concept").join(m, "entity_key").withColumn("avg_len", avg_len))
+    small = kept.select("concept", phrase.alias("phrase"))
+    both = (members.join(small, "concept").join(m, "entity_key").withColumn("avg_len", avg_len))
     needle = F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))
     # Shared edge spaces: double them so that back-to-back mentions count.
     hay = F.replace(F.col("norm"), F.lit(" "), F.lit("  "))

@@ -7,6 +7,7 @@ edges(src, dst, rel, weight, ref); an edge always runs entity -> thing.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,13 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import cut_lineage
 
-# Tags kept per column, least support, token length, sample, fan-out, path rounds.
-MAX_TAGS = 6000
+# Least support, token length, fan-out.
 MIN_SUPPORT = 2
 MAX_TOKEN = 48
-LIST_SAMPLE = 240
 FANOUT = 60
-MAX_ROUNDS = 6
 
 
 # ---- ids -----------------------------------------------------------------------------
@@ -106,11 +104,8 @@ def list_tokens(value: Column) -> Column:
 
 
 def list_column(df: DataFrame, column: str) -> DataFrame:
-    """One row (seen, listy, mean_words, is_list) from a sample of the column.
-
-    The sample is the operator: shape is judged on the first ``LIST_SAMPLE`` cells.
-    """
-    s = df.select(F.trim(F.col(column).cast("string")).alias("s")).filter(F.coalesce("s", F.lit("")) != "").limit(LIST_SAMPLE)
+    """One row (seen, listy, mean_words, is_list), judged on all cells of the column in one aggregate."""
+    s = df.select(F.trim(F.col(column).cast("string")).alias("s")).filter(F.coalesce("s", F.lit("")) != "")
     t = s.select("s", F.filter(F.transform(split_list(F.col("s")), clean_token), lambda x: x.isNotNull()).alias("t"))
     n_words = F.aggregate(F.transform("t", lambda x: F.size(F.split(x, r"\s+"))), F.lit(0), lambda a, b: a + b)
     agg = t.agg(F.count("*").alias("seen"),
@@ -153,11 +148,10 @@ def dimension_edges(fact: DataFrame, key: str, local: str, dim: DataFrame, dim_t
     return nodes, edges
 
 
-def _supported(pairs: DataFrame, by: Sequence[str], n_entities: Column, least: int, top: int | None) -> DataFrame:
-    """Tokens with enough support that do not mark every entity; the best ``top`` of them."""
+def _supported(pairs: DataFrame, by: Sequence[str], n_entities: Column, least: int) -> DataFrame:
+    """Tokens with enough support that do not mark every entity."""
     df = pairs.groupBy(*by).agg(F.count("*").alias("df"))
-    kept = df.withColumn("N", n_entities).filter((F.col("df") >= least) & ((F.col("df") < F.col("N")) | (F.col("N") <= 1))).drop("N")
-    return kept if top is None else kept.orderBy(F.col("df").desc(), *by).limit(top)
+    return df.withColumn("N", n_entities).filter((F.col("df") >= least) & ((F.col("df") < F.col("N")) | (F.col("N") <= 1))).drop("N")
 
 
 def tag_edges(df: DataFrame, key: str, column: str, table: str, n_entities: Column) -> tuple[DataFrame, DataFrame]:
@@ -167,7 +161,7 @@ def tag_edges(df: DataFrame, key: str, column: str, table: str, n_entities: Colu
     """
     cells = df.select(F.col(key).alias("k"), F.col(column).cast("string").alias("cell")).filter(F.col("cell").isNotNull()).distinct()
     pairs = cells.select("k", F.explode(list_tokens(F.col("cell"))).alias("token")).distinct()
-    kept = _supported(pairs, ["token"], n_entities, MIN_SUPPORT, MAX_TAGS)
+    kept = _supported(pairs, ["token"], n_entities, MIN_SUPPORT)
     nid = tag_id(table, column, F.col("token"))
     nodes = kept.select(nid.alias("id"), F.lit("tag").alias("kind"), F.col("token").alias("label"), F.lit(column).alias("sub"),
                         _meta(table=F.lit(table), column=F.lit(column), token=F.col("token"), videos=F.col("df")).alias("meta"))
@@ -200,7 +194,7 @@ def attribute_edges(df: DataFrame, key: str, attr: str, value: str, table: str,
                     (F.col(channel) if channel else F.lit(None)).cast("string").alias("chan"))
             .filter(F.col("token").isNotNull()))
     pairs = rows.select("k", "attribute", "token").distinct()
-    kept = _supported(pairs, ["attribute", "token"], n_entities, MIN_SUPPORT, MAX_TAGS)
+    kept = _supported(pairs, ["attribute", "token"], n_entities, MIN_SUPPORT)
     chans = rows.groupBy("attribute", "token").agg(F.min("chan").alias("lo"), F.max("chan").alias("hi"))
     nid = attr_id(table, F.col("attribute"), F.col("token"))
     nodes = kept.join(chans, ["attribute", "token"]).select(
@@ -268,7 +262,7 @@ def both_ways(edges: DataFrame, node: str) -> DataFrame:
 def neighbors(nodes: DataFrame, edges: DataFrame, node: str, limit: int = FANOUT,
               kinds: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ring, edges among ring and centre, one row (total, truncated))."""
-    limit = max(1, min(limit, 400))
+    limit = max(1, limit)
     found = both_ways(edges, node).join(nodes.select("id", "kind", "label", "sub"), "id")
     if kinds:
         found = found.filter(F.col("kind").isin(*kinds))
@@ -285,16 +279,15 @@ def _top_links(edges: DataFrame, anchor: str, other: str, n: int) -> DataFrame:
 
 def overview(nodes: DataFrame, edges: DataFrame, limit: int = 16, per_hub: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(hubs, ids shown, edges among them): biggest hubs with a few entities each."""
-    hubs = nodes.filter(F.col("kind") != "video").orderBy(F.col("weight").desc(), "id").limit(max(3, min(limit, 60)))
-    # The hub list is at most sixty rows.
-    own = edges.join(F.broadcast(hubs.select(F.col("id").alias("dst"))), "dst", "left_semi")
+    hubs = nodes.filter(F.col("kind") != "video").orderBy(F.col("weight").desc(), "id").limit(max(1, limit))
+    own = edges.join(hubs.select(F.col("id").alias("dst")), "dst", "left_semi")
     ids = hubs.select("id").union(_top_links(own, "dst", "src", per_hub).select("src")).distinct()
     return hubs, ids, edges_among(edges, ids)
 
 
 def from_keys(nodes: DataFrame, edges: DataFrame, keys: DataFrame, limit: int = 24, per_entity: int = 5):
     """(ids, edges among them) for a set of entities and their strongest links."""
-    v = keys.select(entity_id(F.col("entity_key")).alias("id")).limit(max(1, min(limit, 120)))
+    v = keys.select(entity_id(F.col("entity_key")).alias("id")).distinct().orderBy("id").limit(max(1, limit))
     own = edges.join(v.select(F.col("id").alias("src")), "src", "left_semi")
     ids = v.union(_top_links(own, "src", "dst", per_entity).select("dst")).distinct() \
         .join(nodes.select("id"), "id", "left_semi")
@@ -307,7 +300,7 @@ def find(nodes: DataFrame, text: str, limit: int = 30) -> DataFrame:
     lab = F.lower("label")
     hit = lab.contains(q) | ((F.col("kind") == "attr") & F.lower("sub").contains(q))
     return (nodes.filter(hit).orderBy(F.when(lab.startswith(q), 0).otherwise(1), F.col("weight").desc(), "id")
-            .limit(max(1, min(limit, 200))))
+            .limit(max(1, limit)))
 
 
 def node_rows(table: DataFrame, node_kind: str, column: str, token: str, attr_column: str | None = None,
@@ -345,8 +338,8 @@ def counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("kind", "sub").agg(F.count("*").alias("n"))
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, rounds: int = MAX_ROUNDS) -> DataFrame | None:
-    """(pos, id) along a shortest chain of relationships, or None within ``rounds`` steps.
+def shortest_path(edges: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame | None:
+    """(pos, id) along a shortest chain of relationships; None if there is none, or none within ``rounds`` if given.
 
     Both ends grow breadth-first, the smaller frontier first.  A frontier is a distinct set
     of nodes joined to the edge table; each round is written to the checkpoint folder, so
@@ -361,7 +354,7 @@ def shortest_path(edges: DataFrame, a: str, b: str, rounds: int = MAX_ROUNDS) ->
         return None
     side = {s: {"seen": cut_lineage(spark.createDataFrame([(n, None, 0)], "id string, parent string, depth int")), "n": 1, "d": 0}
             for s, n in (("a", a), ("b", b))}
-    for _ in range(rounds):
+    for _ in range(rounds) if rounds is not None else count():
         me, other = ("a", "b") if side["a"]["n"] <= side["b"]["n"] else ("b", "a")
         mine = side[me]
         front = mine["seen"].filter(F.col("depth") == mine["d"]).select(F.col("id").alias("src"))

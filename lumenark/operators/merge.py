@@ -34,9 +34,8 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Col
     gathers in one task.
     """
     keys = list(keys)
-    rows = base.withColumn("__side", F.lit(0)).withColumn("__ord", F.lit(None).cast("string"))
-    new = incoming.withColumn("__side", F.lit(1)).withColumn(
-        "__ord", (order if order is not None else F.lit(None)).cast("string"))
+    new = incoming.withColumn("__side", F.lit(1)).withColumn("__ord", order if order is not None else F.lit(None).cast("string"))
+    rows = base.withColumn("__side", F.lit(0)).withColumn("__ord", F.lit(None).cast(new.schema["__ord"].dataType))
     both = rows.unionByName(new, allowMissingColumns=True)
     rest = [c for c in both.columns if c not in (*keys, "__side", "__ord")]
     tie = F.to_json(F.struct(*rest))
@@ -55,25 +54,34 @@ def insert_or_ignore(base: DataFrame, incoming: DataFrame, keys: Sequence[str])
 
 
 def snapshot_merge(base: DataFrame, incoming: DataFrame, primary_key: Sequence[str] | None) -> DataFrame:
-    """One table of a snapshot: replace by primary key, else append what is not there yet."""
+    """One table of a snapshot: replace by primary key, else append what is not there yet.
+
+    A NULL in a row to append equals a NULL in a row that is there.
+    """
     wide = widen(base, incoming)
     if primary_key:
         return upsert(wide, incoming, primary_key)
-    cols = [c for c in incoming.columns]
-    return wide.unionByName(incoming.join(wide.select(*cols), cols, "left_anti").distinct(), allowMissingColumns=True) \
-        if cols else wide
+    if not incoming.columns:
+        return wide
+    there = wide.select(*[F.col(c).alias(f"__there_{c}") for c in incoming.columns]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__there_{c}")) for c in incoming.columns])
+    return wide.unionByName(incoming.join(there, same, "left_anti").distinct(), allowMissingColumns=True)
 
 
-def enrich(base: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+def enrich(base: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
     """Fill NULLs of existing rows from incoming ones; never overwrite, never add rows.
 
-    Several incoming rows of a key each contribute their own first non-null values.
+    Of several incoming rows of a key the first in ``order`` (then by its values) fills, so what is
+    filled together came together.
     """
     keys = list(keys)
     fill = [c for c in base.columns if c not in keys and c in incoming.columns]
-    once = incoming.groupBy(*keys).agg(*[F.min(c).alias(f"__{c}") for c in fill])
+    if not fill:
+        return base
+    row = F.struct(*fill)
+    once = incoming.groupBy(*keys).agg(F.min_by(row, F.struct((order if order is not None else F.lit(0)).alias("o"), row.alias("r"))).alias("__first"))
     j = base.join(once, keys, "left")
-    return j.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in fill else F.col(c) for c in base.columns])
+    return j.select(*[F.coalesce(F.col(c), F.col(f"__first.{c}")).alias(c) if c in fill else F.col(c) for c in base.columns])
 
 
 def time_link(rows: DataFrame, intervals: DataFrame, key: str = "entity_key", start: str = "t0", end: str = "t1",
@@ -185,11 +193,11 @@ def substring_search(df: DataFrame, text: str, columns: Sequence[str] | None = N
 
 
 def browse_table(df: DataFrame, text: str = "", order: str = "", desc: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of any table: searched, ordered by a column that must exist, at most 500 rows."""
+    """A page of any table: searched, ordered by the named column, or by all columns if there is none of that name."""
     out = substring_search(df, text) if text else df
-    if order in df.columns:
-        out = out.orderBy(F.col(order).desc() if desc else F.col(order).asc(), *[c for c in df.columns if c != order])
-    return out.offset(max(0, offset)).limit(max(1, min(limit, 500)))
+    rest = [F.to_json(F.struct(c)) if f.dataType.typeName() in ("map", "variant") else F.col(c) for c, f in zip(df.columns, df.schema.fields) if c != order]
+    first = [F.col(order).desc() if desc else F.col(order).asc()] if order in df.columns else []
+    return out.orderBy(*first, *rest).offset(max(0, offset)).limit(max(0, limit))
 
 
 def render_cells(df: DataFrame) -> DataFrame:
@@ -205,10 +213,10 @@ def value_occurrences(tables: dict[str, DataFrame], column: str, value) -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
-def related_rows(tables: dict[str, tuple[DataFrame, str]], key: str, spellings: Sequence[str] = (), limit: int = 400) -> DataFrame:
-    """(table, row): rows of every table that carry the key or one of its spellings."""
+def related_rows(tables: dict[str, tuple[DataFrame, str]], key: str, spellings: Sequence[str] = ()) -> DataFrame:
+    """(table, row): all rows of every table that carry the key or one of its spellings."""
     wanted = [key, *spellings]
-    parts = [df.filter(F.col(k).cast("string").isin(*wanted)).limit(limit)
+    parts = [df.filter(F.col(k).cast("string").isin(*wanted))
              .select(F.lit(name).alias("table"), F.to_json(F.struct("*")).alias("row")) for name, (df, k) in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 

@@ -52,8 +52,8 @@ FIELD_VALUES = ("value", "values", "val", "vals", "num", "number", "amount", "sc
 LABEL_NAMES = ("name", "title", "username", "label", "handle", "slug", "caption")
 RULES_VERSION = 1
 
-# Sample and vocabulary bounds.
-SAMPLE, MAX_SOURCES, MAX_KINDS, KIND_WORDS, LABEL_DISTINCT, LABEL_REPEAT = 24, 40, 400, 4, 8, 25
+# Vocabulary bounds.
+MAX_SOURCES, MAX_KINDS, KIND_WORDS, LABEL_DISTINCT, LABEL_REPEAT = 40, 400, 4, 8, 25
 NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
 
 
@@ -129,21 +129,21 @@ def _text_profile(df: DataFrame, columns: Sequence[str]) -> dict:
     return {c: {"rows": row[f"n{i}"], "distinct": row[f"d{i}"], "words": row[f"w{i}"] or 0, "sources": bool(row[f"k{i}"])} for i, c in enumerate(columns)}
 
 
-def _sample_profile(df: DataFrame, columns: Sequence[str]) -> dict:
-    """Shares of records and of words in the first ``SAMPLE`` filled cells of each column."""
-    out = {}
+def _content_profile(df: DataFrame, columns: Sequence[str]) -> dict:
+    """Filled cells, records and cells with words of each column, all columns in one aggregate over all rows."""
+    counts = []
     for c in columns:
-        s = F.trim(F.col("c"))
+        s = F.trim(F.col(c).cast("string"))
+        filled = F.coalesce(s, F.lit("")) != ""
         record = s.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(s).isNotNull()
         hexed = (F.length(s) >= 32) & s.rlike(r"^(?:[0-9a-fA-F]{2})+$")
-        cells = df.select(F.col(c).cast("string").alias("c")).filter(F.trim(F.coalesce("c", F.lit(""))) != "").limit(SAMPLE)
-        r = cells.agg(F.count("*").alias("n"), F.count_if(record).alias("rec"), F.count_if(s.rlike("[A-Za-z]{3,}") & ~hexed).alias("lex")).first()
-        out[c] = r
-    return out
+        counts.append(F.struct(F.count_if(filled).alias("n"), F.count_if(filled & record).alias("rec"),
+                               F.count_if(filled & s.rlike("[A-Za-z]{3,}") & ~hexed).alias("lex")).alias(c))
+    return df.agg(*counts).first().asDict()
 
 
 def roles(df: DataFrame) -> Roles:
-    """Every role of a table, from one aggregate and one small sample per content column."""
+    """Every role of a table, from aggregates over all its rows."""
     key, (start, end), content = key_column(df), time_columns(df), content_columns(df)
     strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
     named = {n for group in (ROW_SOURCE_NAMES, KIND_NAMES, ATTR_NAMES, VALUE_NAMES) for n in _named(df, group)}
@@ -153,7 +153,7 @@ def roles(df: DataFrame) -> Roles:
     others = {norm(c) for c in df.columns}
     prose = []
     if content:
-        sample = _sample_profile(df, content)
+        sample = _content_profile(df, content)
         for c in content:
             s, p = sample[c], prof[c]
             need = 1 if s["n"] <= 4 else max(2, int(0.25 * s["n"]))
@@ -251,7 +251,8 @@ def split_sources(specs: list[tuple[dict, DataFrame]]) -> tuple[DataFrame, DataF
         p = rows.filter(~T.is_absence(F.col("text"))).select("entity_key", "source", "t0", "t1", clean_cell(F.col("text")).alias("text"))
         prose = add(prose, p)
     if prose is not None:
-        prose = prose.filter(F.col("text").isNotNull()).withColumn("row_id", F.xxhash64("entity_key", "source", "t0", "t1", "text"))
+        # A long cell becomes successive passages; none of it is left out.
+        prose = prose.filter(F.col("text").isNotNull()).withColumn("text", F.explode(T.passages_of(F.col("text")))).withColumn("row_id", F.xxhash64("entity_key", "source", "t0", "t1", "text"))
     return prose, facts
 
 

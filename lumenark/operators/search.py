@@ -2,8 +2,7 @@
 
 Scoring a query is one scan with column expressions: term frequencies are counted inside
 each row behind a substring test, corpus statistics are one aggregate read back as scalar subqueries, and every
-candidate list ends in a distributed top-k.  After the candidate cut (200 rows per
-retriever) everything is bounded by the cut, so the joins that follow may broadcast it.
+candidate list ends in a distributed top-k.
 """
 
 from __future__ import annotations
@@ -44,11 +43,11 @@ def _count_term(low: Column, term: str, prefix: bool) -> Column:
 
 
 def bm25_scores(moments: DataFrame, terms: Sequence[str], prefix: str | None = None,
-                require_all: bool = False) -> DataFrame:
+                require_all: bool = False, within: Column | None = None) -> DataFrame:
     """moments with ``bm25`` for the rows that match; ``score`` = bm25 scaled by weight.
 
     Document frequencies, corpus size and mean length come from one aggregate over the
-    same scan.
+    same scan; ``within`` narrows the rows that are scored, not these statistics.
     """
     probes = [(t, False) for t in terms] + ([(prefix, True)] if prefix else [])
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
@@ -64,7 +63,8 @@ def bm25_scores(moments: DataFrame, terms: Sequence[str], prefix: str | None = N
         likely = seen if likely is None else combine(likely, seen)
         present = here if present is None else combine(present, here)
     # One scalar subquery, carried as a column and read by every term.
-    t = moments.filter(likely).filter(present).withColumns(
+    inside = moments if within is None else moments.filter(within)
+    t = inside.filter(likely).filter(present).withColumns(
         {"dl": length, "corpus": stats.select(F.struct("*")).scalar()})
     corpus = F.col("corpus")
     for i, c in enumerate(counts):
@@ -91,7 +91,7 @@ def top_ranked(df: DataFrame, limit: int, by: str = "score", tie: str = "id", di
     return best.withColumn("rank", F.row_number().over(w)).drop("__o")
 
 
-def lexical(moments: DataFrame, query: str, limit: int = CANDIDATES, enough: int = 8) -> DataFrame:
+def lexical(moments: DataFrame, query: str, limit: int = CANDIDATES, enough: int = 8, within: Column | None = None) -> DataFrame:
     """(id, rank): AND hits; short lists are widened with OR hits, none at all with prefix hits.
 
     The three shapes are branches of one plan: each is cut to ``limit`` rows, and a branch
@@ -103,9 +103,9 @@ def lexical(moments: DataFrame, query: str, limit: int = CANDIDATES, enough: int
     any_terms, _ = T.query_terms(query, "or")
     head, prefix = T.query_terms(query, "prefix")
 
-    strict = top_ranked(bm25_scores(moments, all_terms, require_all=True), limit).select("id", "rank")
-    loose = top_ranked(bm25_scores(moments, any_terms), limit).select("id", "rank")
-    typed = top_ranked(bm25_scores(moments, head, prefix), limit).select("id", "rank")
+    strict = top_ranked(bm25_scores(moments, all_terms, require_all=True, within=within), limit).select("id", "rank")
+    loose = top_ranked(bm25_scores(moments, any_terms, within=within), limit).select("id", "rank")
+    typed = top_ranked(bm25_scores(moments, head, prefix, within=within), limit).select("id", "rank")
 
     n_strict = strict.agg(F.count("*")).scalar()
     n_loose = loose.agg(F.count("*")).scalar()
@@ -119,8 +119,8 @@ def lexical(moments: DataFrame, query: str, limit: int = CANDIDATES, enough: int
 
 
 def like_fallback(moments: DataFrame, query: str, limit: int = CANDIDATES) -> DataFrame:
-    """Substring match on up to four content tokens, heaviest first (ASCII case folded)."""
-    toks = [t for t in T.re.findall(T.QUERY_TOKEN, query) if t.lower() not in T.STOPWORDS][:4]
+    """Substring match on any content token, heaviest first (ASCII case folded)."""
+    toks = [t for t in T.re.findall(T.QUERY_TOKEN, query) if t.lower() not in T.STOPWORDS]
     if not toks:
         return moments.select("id", F.lit(None).cast("int").alias("rank")).limit(0)
     cond = F.lit(False)
@@ -233,33 +233,32 @@ class SearchResult:
 def hybrid(moments: DataFrame, cards: DataFrame, query: str, vectors: DataFrame | None = None,
            query_vector: Sequence[float] | None = None, limit: int = 24, offset: int = 0,
            sources: Sequence[str] | None = None, entity_key=None, candidates: int = CANDIDATES,
-           sort: str = "relevance", filters: Filters = Filters()) -> SearchResult:
+           sort: str = "relevance", filters: Filters = Filters(), moments_shown: int = 24) -> SearchResult:
     """Lexical and dense candidates fused by reciprocal rank, grouped per entity.
 
-    The candidate cut deliberately precedes the source and entity filters; facets are
-    counted before the facet filters, so an active filter still shows its own count.
+    Source and entity filters come before the candidate cut, so a filtered search loses no
+    match to it; facets are counted before the facet filters, so an active filter still
+    shows its own count. ``candidates`` is how deep each ranking is read.
     """
-    lists = [(lexical(moments, query, candidates), 1.0)]
+    within = None
+    for wanted in ([F.col("source").isin(*sources)] if sources else []) + ([F.col("entity_key") == F.lit(entity_key)] if entity_key is not None else []):
+        within = wanted if within is None else within & wanted
+    lists = [(lexical(moments, query, candidates, within=within), 1.0)]
     if vectors is not None and query_vector is not None:
-        lists.append((dense(vectors, query_vector, candidates), 1.0))
-    # At most ``candidates`` ids per list: this side of the join is bounded by the cut.
-    fused = fuse(*lists)
-    rows = moments.join(F.broadcast(fused), "id")
-    if sources:
-        rows = rows.filter(F.col("source").isin(*sources))
-    if entity_key is not None:
-        rows = rows.filter(F.col("entity_key") == F.lit(entity_key))
+        near = vectors if within is None else vectors.join(moments.filter(within).select("id"), "id", "left_semi")
+        lists.append((dense(near, query_vector, candidates), 1.0))
+    rows = moments.join(fuse(*lists), "id")
     scored = rows.withColumn(
         "score", F.round(F.col("fused") * F.coalesce(F.col("weight"), F.lit(1.0))
                          * (1.0 + T.phrase_bonus(F.col("text"), query)), 6))
     grouped = entity_scores(scored)
-    pool = cards.join(F.broadcast(grouped), "entity_key")
+    pool = cards.join(grouped, "entity_key")
     kept = filters.apply(pool)
     order = order_columns(sort)
     page = kept.orderBy(*order).offset(offset).limit(limit)
     w = Window.partitionBy("entity_key").orderBy(F.coalesce("t_start", F.lit(-1.0)), "id")
-    shown = (scored.join(F.broadcast(page.select("entity_key")), "entity_key", "left_semi")
-             .withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= 24))
+    shown = (scored.join(page.select("entity_key"), "entity_key", "left_semi")
+             .withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= moments_shown))
     array_cols = {"collections": "collections"} if "collections" in cards.columns else {}
     scalar_cols = {f: c for f, c in (("creators", "creator"), ("categories", "category")) if c in cards.columns}
     return SearchResult(page, shown, facets(pool, scalar_cols, array_cols), pool)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 BLOCK = "__blk"
+PART = "__part"
 BLOCK_SECONDS = 3600.0
 BLOCK_ROWS = 100_000
 
@@ -47,8 +48,10 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs:
                block: Column | str | None) -> DataFrame:
     """Add running values over each key's rows in ``order`` (which must be total per key).
 
-    ``block`` may name a column already there: it is kept, and a second pass over the same
-    ``(keys, block)`` then needs no further shuffle.
+    ``block`` may name a column already there: it is kept beside ``PART``, and a second pass
+    over the same ``(keys, block)`` then needs no further shuffle. Rows are grouped and joined
+    by ``PART``, the struct of keys and block, in which a NULL equals a NULL: rows without a
+    key or a time are a group like any other.
     """
     keys = list(keys)
     own = isinstance(block, str)
@@ -60,7 +63,9 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs:
     if block is not None:
         name = block if own else BLOCK
         staged = staged if own else staged.withColumn(BLOCK, block)
-        local_keys = [*keys, name]
+        if not own or PART not in staged.columns:
+            staged = staged.withColumn(PART, F.struct(*keys, name))
+        local_keys = [PART]
     w = Window.partitionBy(*local_keys).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -98,7 +103,7 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs:
             "last": lambda v: F.max_by(v, F.when(v.isNotNull(), pos)),
         }[s.kind](v).alias(f"__s{i}"))
     blocks = staged.groupBy(*local_keys).agg(*aggs)
-    bw = Window.partitionBy(*keys).orderBy(name)
+    bw = Window.partitionBy(*[f"{PART}.{k}" for k in keys]).orderBy(f"{PART}.{name}")
     bbefore = bw.rowsBetween(Window.unboundedPreceding, -1)
     for i, s in enumerate(specs):
         v = F.col(f"__s{i}")
@@ -120,7 +125,7 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs:
             "lead": lambda a, b: F.coalesce(a, b).getField("v"),
             "last": lambda a, b: F.coalesce(a, b),
         }[s.kind](here, there))
-    return out.drop(*([] if own else [BLOCK]), *[f"__{p}{i}" for i in range(len(specs)) for p in "vlc"])
+    return out.drop(*([] if own else [BLOCK, PART]), *[f"__{p}{i}" for i in range(len(specs)) for p in "vlc"])
 
 
 def blocked(df: DataFrame, t: Column, seconds: float | None) -> tuple[DataFrame, str | None]:

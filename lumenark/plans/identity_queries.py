@@ -240,7 +240,8 @@ def merge_append(spark, sf):
 
 @query("enrich_nulls", """
 WITH b AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name END AS p_name, CASE WHEN p_size % 2 = 0 THEN p_brand END AS p_brand FROM part),
-n AS (SELECT l_partkey, min(l_returnflag) AS p_name, min(l_linestatus) AS p_brand FROM lineitem GROUP BY l_partkey)
+n AS (SELECT l_partkey, l_returnflag AS p_name, l_linestatus AS p_brand FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_returnflag, l_linestatus) = 1)
 SELECT p_partkey, coalesce(b.p_name, n.p_name) AS p_name, coalesce(b.p_brand, n.p_brand) AS p_brand FROM b LEFT JOIN n ON l_partkey = p_partkey""")
 def enrich_nulls(spark, sf):
     b = load(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_name")).alias("p_name"),

@@ -182,17 +182,17 @@ def label_json(spark, sf):
 
 
 @query("clean_text", """
-WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM documents),
-c AS (SELECT doc_id, CASE WHEN length(t) <= 900 THEN t ELSE regexp_replace(substr(t, 1, 900), ' [^ ]*$', '') END AS t FROM s)
-SELECT doc_id, length(t) AS n, md5(t) AS digest FROM c
-WHERE length(t) >= 2 AND NOT regexp_full_match(t, '\\d+')
-  AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = c.doc_id AND len(list_filter(
-        regexp_extract_all(d.text, '[A-Za-z0-9_-]{24,}'), lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]'))) > 0)""")
+WITH o AS (SELECT doc_id, text, [x FOR x IN regexp_extract_all(text, '[A-Za-z0-9_-]{24,}') IF regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]')] AS handles FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(handles) = 0 THEN trim(text, ' ') ELSE regexp_replace(regexp_replace(
+        list_reduce(list_prepend(trim(text, ' '), handles), lambda a, b: replace(a, b, ' ')), '\\s*,\\s*,+', ', ', 'g'), '^[ ,]+|[ ,]+$', '', 'g') END AS t FROM o),
+s AS (SELECT doc_id, trim(regexp_replace(t, '\\s+', ' ', 'g'), ' ') AS t FROM g)
+SELECT doc_id, length(replace(t, ' ', '')) AS chars, md5(replace(t, ' ', '')) AS digest, true AS fits FROM s WHERE length(t) >= 2 AND NOT regexp_full_match(t, '\\d+')""")
 def clean_text(spark, sf):
-    d = load(spark, sf, "documents")
-    return (d.filter(~F.col("text").rlike(T.OPAQUE)).select("doc_id", T.clean_text(F.col("text")).alias("t"))
-            .filter(F.col("t").isNotNull())
-            .select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest")))
+    d = load(spark, sf, "documents").select("doc_id", T.passages_of(T.clean_text(F.col("text"))).alias("p")).filter(F.col("p").isNotNull())
+    # Passages hold the whole text between them, blanks at the cuts apart, and none is too long.
+    whole = F.replace(F.array_join("p", ""), F.lit(" "), F.lit(""))
+    return d.select("doc_id", F.length(whole).cast("bigint").alias("chars"), F.md5(whole.cast("binary")).alias("digest"),
+                    (F.array_max(F.transform("p", lambda x: F.length(x))) <= T.MAX_CHARS).alias("fits"))
 
 
 @query("card_first_non_empty", """

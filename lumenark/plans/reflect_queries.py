@@ -46,14 +46,16 @@ def list_column_test(spark, sf):
 
 
 @query("collected_sources", """
-SELECT 'speech' AS source, 'prose' AS form, count(*) AS n FROM (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) WHERE length(t) >= 2 AND NOT regexp_full_match(t, '\\d+')
+SELECT 'speech' AS source, 'prose' AS form, sum(length(replace(t, ' ', '')))::BIGINT AS n
+FROM (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) WHERE length(t) >= 2 AND NOT regexp_full_match(t, '\\d+')
 UNION ALL SELECT 'meta', 'fact', count(*) FROM events WHERE event_type <> 'x'""")
 def collected_sources(spark, sf):
     conv = load(spark, sf, "conversations").select(F.col("conv_id").alias("video_key"), (F.col("turn") * 10.0).alias("t0"), "text")
     words = F.concat(F.lit("seen "), F.col("event_type"), F.lit(" v"), (F.col("event_id") % 97).cast("string"))
     ev = load(spark, sf, "events").select(F.col("user_id").alias("video_key"), F.col("event_type").alias("kind"), words.alias("value"))
     prose, facts = Rf.split_sources(Rf.text_sources({"transcripts": conv, "claim": ev}))
-    a = prose.groupBy("source").agg(F.count("*").alias("n")).withColumn("form", F.lit("prose"))
+    # Of prose the characters, which splitting into passages must keep; of facts the rows.
+    a = prose.groupBy("source").agg(F.sum(F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("n")).withColumn("form", F.lit("prose"))
     return a.unionByName(facts.groupBy("source").agg(F.count("*").alias("n")).withColumn("form", F.lit("fact")))
 
 

@@ -99,14 +99,14 @@ def rrf_two_rankings(spark, sf):
 @query("phrase_bonus", f"""
 SELECT doc_id, round(CASE WHEN contains(lower(text), 'of the and') THEN CAST(0.30 AS DOUBLE)
   ELSE CAST(0 AS DOUBLE) END, 2) AS exact_bonus,
-  round(CAST(least(0.20, 0.07 * CAST(contains(lower(text), 'le la') AS INT) + 0.07 * CAST(contains(lower(text), 'la que') AS INT)) AS DOUBLE), 2) AS pair_bonus
+  round(CASE WHEN contains(lower(text), 'le la que') THEN CAST(0.30 AS DOUBLE) ELSE
+    CAST(least(0.20, 0.07 * CAST(contains(lower(text), 'le la') AS INT) + 0.07 * CAST(contains(lower(text), 'la que') AS INT)) AS DOUBLE) END, 2) AS pair_bonus
 FROM documents""")
 def phrase_bonus(spark, sf):
     # The first query is all stop words: only the verbatim match can score.
     d = load(spark, sf, "documents")
     return d.select("doc_id", F.round(T.phrase_bonus(F.col("text"), "of the and"), 2).alias("exact_bonus"),
-                    F.round(F.when(F.lower("text").contains("le la que"), F.lit(0.14))
-                            .otherwise(T.phrase_bonus(F.col("text"), "le la que")), 2).alias("pair_bonus"))
+                    F.round(T.phrase_bonus(F.col("text"), "le la que"), 2).alias("pair_bonus"))
 
 
 @query("facets_topn", """

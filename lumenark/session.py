@@ -30,7 +30,11 @@ def local_session(app: str = "lumenark", cores: str | int = "*", shuffle: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a private one only where none is configured."""
+    """The cluster's shared scratch folder; a private one only on a local master without one.
+
+    On a cluster a folder of one machine would lose what other machines wrote, so a missing
+    setting is an error there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -38,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
     spark.sparkContext.setCheckpointDir(made)
     return made

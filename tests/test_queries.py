@@ -19,13 +19,16 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, con, name):
     problem = compare(spark, SF, name, QUERIES[name], ORACLES[name], con)
-    # The smallest tables leave a few selective queries without rows on either side.
-    assert problem is None or problem.startswith("empty"), problem
+    if problem is not None and problem.startswith("empty"):
+        # The smallest tables leave a few selective queries without rows: these must have some on the next larger ones.
+        larger = os.path.join(os.path.dirname(SF), "sf0.01")
+        problem = compare(spark, larger, name, QUERIES[name], ORACLES[name], duck(larger))
+    assert problem is None, problem
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_flagship(spark):
