@@ -38,7 +38,7 @@ def cut_rhythm(shots: DataFrame) -> DataFrame:
     a = s.groupBy("entity_key").agg(F.count("*").alias("n"), F.sum("len").alias("dur"), F.avg("len").alias("asl"),
                                     F.stddev_pop("len").alias("sd"), M.slope(F.col("len"), F.col("mid")).alias("slope"))
     # Rounded so that a band never hangs on the order in which partial sums met.
-    cv, cpm = F.round(M.cv(F.col("sd"), F.col("asl")), 9), (F.col("n") - 1) / F.col("dur") * 60.0
+    cv, cpm = F.round(M.cv(F.col("sd"), F.col("asl")), 9), F.round((F.col("n") - 1) / F.col("dur") * 60.0, 9)
     return _claims(a, "style", [
         ("asl", F.format_string("%.2fs average shot", "asl"), F.round("asl", 3)),
         ("cut_rate", F.concat(F.format_string("%.1f cuts/min across %d shot", cpm, F.col("n")), F.when(F.col("n") != 1, "s").otherwise("")), F.round(cpm, 2)),
@@ -59,9 +59,9 @@ def frame_differences(frames: DataFrame, bounds: DataFrame, t: str = "t", diff:
 def motion(frames: DataFrame, shots: DataFrame) -> DataFrame:
     """Motion energy overall and per shot; two readings are the least that describe motion."""
     d = frame_differences(frames, shots)
-    whole = d.groupBy("entity_key").agg(F.count("*").alias("n"), F.avg("mafd").alias("e")).filter(F.col("n") >= 2)
+    whole = d.groupBy("entity_key").agg(F.count("*").alias("n"), F.round(F.avg("mafd"), 9).alias("e")).filter(F.col("n") >= 2)
     total = _claims(whole, "style", [("motion_energy", M.named_band("motion_energy", F.col("e")), F.round("e", 4))])
-    per = series_per_interval(d, shots, "entity_key", "t", "mafd", 2, cell_seconds=10.0)
+    per = series_per_interval(d, shots, "entity_key", "t", "mafd", 2, cell_seconds=10.0).withColumn("mean", F.round("mean", 9))
     return total.unionByName(per.join(whole.select("entity_key"), "entity_key", "left_semi").select(
         "entity_key", F.lit("style").alias("channel"), F.lit("motion_energy").alias("kind"), M.named_band("motion_energy", F.col("mean")).alias("value"),
         F.round("mean", 4).alias("num"), F.col("idx").cast("int").alias("shot_idx"), F.lit(None).cast("int").alias("ordinal")))
@@ -106,7 +106,7 @@ def loudness(summary: DataFrame, curve: DataFrame, silences: DataFrame, duration
         ("dynamic_range", F.when(ranged.isNotNull(), M.named_band("dynamic_range", ranged)), F.round(ranged, 2)),
         ("silence_ratio", F.when(ratio.isNotNull(), F.format_string("%.0f%% below -50 dBFS for 0.3s+", ratio * 100)), F.round(ratio, 4)),
         ("loudness_peak", F.when(F.col("peak_m").isNotNull(), F.format_string("%.1f LUFS momentary", "peak_m")), F.round("peak_m", 2))])
-    per = series_per_interval(curve, shots, "entity_key", "t", "m", 1, cell_seconds=10.0).select(
+    per = series_per_interval(curve, shots, "entity_key", "t", "m", 1, cell_seconds=10.0).withColumn("mean", F.round("mean", 9)).select(
         "entity_key", F.lit("audio").alias("channel"), F.lit("shot_level").alias("kind"), F.format_string("%.1f LUFS", "mean").alias("value"),
         F.round("mean", 2).alias("num"), F.col("idx").cast("int").alias("shot_idx"), F.lit(None).cast("int").alias("ordinal"))
     return main.unionByName(per)

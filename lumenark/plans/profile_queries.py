@@ -324,14 +324,34 @@ WITH s AS (SELECT l_orderkey AS entity_key, l_quantity / 10.0 AS len, (l_linenum
 a AS (SELECT entity_key, count(*) AS n, avg(len) AS asl, sum(len) AS dur, stddev_pop(len) AS sd,
         CASE WHEN count(*) >= 3 AND regr_sxx(len, mid) >= 1e-12 THEN regr_slope(len, mid) ELSE 0 END AS sl FROM s GROUP BY 1)
 SELECT entity_key, 'asl' AS kind, CAST(NULL AS VARCHAR) AS value, round(asl, 3) AS num FROM a
+UNION ALL SELECT entity_key, 'cut_rate', NULL, round(round((n - 1) / dur * 60, 9), 2) FROM a
 UNION ALL SELECT entity_key, 'rhythm', CASE WHEN round(sd / asl, 9) < 0.15 THEN 'metronomic' WHEN round(sd / asl, 9) < 0.4 THEN 'even' WHEN round(sd / asl, 9) < 0.8 THEN 'varied' ELSE 'erratic' END, NULL FROM a
 UNION ALL SELECT entity_key, 'acceleration', NULL, round(sl, 5) FROM a""")
 def cut_rhythm(spark, sf):
-    return G.cut_rhythm(shots(spark, sf)).filter("kind <> 'cut_rate'").select(
+    return G.cut_rhythm(shots(spark, sf)).select(
         "entity_key", "kind", F.when(F.col("kind") == "rhythm", F.col("value")).alias("value"), F.when(F.col("kind") != "rhythm", F.col("num")).alias("num"))
 
 
-@query("motion_energy")
+MOTION_BAND = "CASE WHEN {0} < 0.6 THEN 'still' WHEN {0} < 2.0 THEN 'gentle' WHEN {0} < 6.0 THEN 'active' ELSE 'frenetic' END"
+
+
+@query("motion_energy", f"""
+WITH {FRAMES_SQL},
+b AS (SELECT DISTINCT user_id AS entity_key, t AS b FROM ev WHERE event_type = 'error' AND t > 0),
+g AS (SELECT entity_key, t - lag(t) OVER (PARTITION BY entity_key ORDER BY t) AS gap FROM fr),
+r AS (SELECT entity_key, gap, row_number() OVER (PARTITION BY entity_key ORDER BY gap) AS rn, count(*) OVER (PARTITION BY entity_key) AS n FROM g WHERE gap IS NOT NULL),
+tol AS (SELECT entity_key, gap AS tol FROM r WHERE rn = n // 2 + 1),
+pairs AS (SELECT b.entity_key, b.b, fr.t, abs(fr.t - b.b) AS d, coalesce(tol.tol, 0.05) AS tol FROM b JOIN fr USING (entity_key) LEFT JOIN tol USING (entity_key)),
+near AS (SELECT * FROM pairs WHERE d <= tol),
+lone AS (SELECT entity_key, b, arg_min(t, d) AS t FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.entity_key = p.entity_key AND n.b = p.b) GROUP BY entity_key, b),
+skip AS (SELECT entity_key, t FROM near UNION SELECT entity_key, t FROM lone),
+d AS (SELECT entity_key, t, mafd FROM (SELECT *, min(t) OVER (PARTITION BY entity_key) AS first FROM fr) x
+      WHERE t > first AND NOT EXISTS (SELECT 1 FROM skip s WHERE s.entity_key = x.entity_key AND s.t = x.t)),
+w AS (SELECT entity_key, round(avg(mafd), 9) AS e FROM d GROUP BY 1 HAVING count(*) >= 2),
+sh AS (SELECT user_id AS entity_key, event_id AS idx, t AS t0, t + 20000.0 AS t1 FROM ev WHERE event_type = 'error'),
+p AS (SELECT sh.entity_key, sh.idx, round(avg(mafd), 9) AS e FROM sh JOIN d ON d.entity_key = sh.entity_key AND d.t >= sh.t0 AND d.t < sh.t1 GROUP BY ALL HAVING count(mafd) >= 2)
+SELECT entity_key, 'motion_energy' AS kind, {MOTION_BAND.format('e')} AS value, round(e, 4) AS num, CAST(NULL AS INT) AS shot_idx FROM w
+UNION ALL SELECT entity_key, 'motion_energy', {MOTION_BAND.format('e')}, round(e, 4), CAST(idx AS INT) FROM p WHERE entity_key IN (SELECT entity_key FROM w)""")
 def motion_energy(spark, sf):
     ev = events_timed(spark, sf)
     sh = ev.filter("event_type = 'error'").select(F.col("user_id").alias("entity_key"), F.col("event_id").alias("idx"), F.col("t").alias("t0"), (F.col("t") + 20000.0).alias("t1"))
@@ -358,7 +378,19 @@ def palette_bins(spark, sf):
     return G.palette(px).select("entity_key", F.col("rank").cast("bigint").alias("rank"), "share")
 
 
-@query("loudness_claims")
+@query("loudness_claims", f"""
+WITH {EVENTS_TIMED_SQL},
+a AS (SELECT user_id AS entity_key, -avg(value) / 5 AS lufs, -min(value) / 10 AS tp, max(value) / 20 AS lra, max(t) + 1 AS dur, stddev_pop(-value / 4) AS spread, max(-value / 4) AS pk,
+        coalesce(sum(greatest(0, (t + value) - t)) FILTER (event_type = 'error'), 0) AS quiet FROM ev GROUP BY 1),
+c AS (SELECT *, quiet / dur AS ratio, CASE WHEN lra > 0.05 OR coalesce(spread, 0) <= 1.0 THEN lra END AS ranged FROM a),
+sh AS (SELECT user_id AS entity_key, event_id AS idx, t AS t0, t + 30000.0 AS t1 FROM ev WHERE event_type = 'view'),
+p AS (SELECT sh.entity_key, sh.idx, round(avg(-ev.value / 4), 9) AS m FROM sh JOIN ev ON ev.user_id = sh.entity_key AND ev.t >= sh.t0 AND ev.t < sh.t1 GROUP BY ALL HAVING count(ev.value) >= 1)
+SELECT entity_key, 'lufs' AS kind, printf('%.1f', round(lufs, 1)) || ' LUFS integrated' AS value, round(lufs, 2) AS num, CAST(NULL AS INT) AS shot_idx FROM c
+UNION ALL SELECT entity_key, 'true_peak', printf('%.1f', round(tp, 1)) || ' dBTP' || CASE WHEN tp > -1.0 THEN ' — clipping' ELSE '' END, round(tp, 2), NULL FROM c
+UNION ALL SELECT entity_key, 'dynamic_range', CASE WHEN ranged < 3 THEN 'compressed' WHEN ranged < 8 THEN 'controlled' WHEN ranged < 15 THEN 'dynamic' ELSE 'wide' END, round(ranged, 2), NULL FROM c WHERE ranged IS NOT NULL
+UNION ALL SELECT entity_key, 'silence_ratio', CAST(CAST(round(ratio * 100) AS BIGINT) AS VARCHAR) || '% below -50 dBFS for 0.3s+', round(ratio, 4), NULL FROM c
+UNION ALL SELECT entity_key, 'loudness_peak', printf('%.1f', round(pk, 1)) || ' LUFS momentary', round(pk, 2), NULL FROM c
+UNION ALL SELECT entity_key, 'shot_level', CASE WHEN m < 0 THEN '-' ELSE '' END || printf('%.1f', CAST(abs(round(CAST(m AS DECIMAL(18, 9)), 1)) AS DOUBLE)) || ' LUFS', CAST(round(CAST(m AS DECIMAL(18, 9)), 2) AS DOUBLE), CAST(idx AS INT) FROM p""")
 def loudness_claims(spark, sf):
     ev = events_timed(spark, sf).select(F.col("user_id").alias("entity_key"), "t", "value", "event_type", "event_id")
     s = ev.groupBy("entity_key").agg((-F.avg("value") / 5).alias("lufs"), (-F.min("value") / 10).alias("true_peak"), (F.max("value") / 20).alias("lra"))
