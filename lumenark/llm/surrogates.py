@@ -65,7 +65,11 @@ KINDS = [
     ("phone", r"(?<![\p{L}\p{N}+])\+[0-9](?:[ .-]?[0-9]){7,13}(?![0-9])"),
     ("person", rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?"),
 ]
-PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
+#: What a mention of each kind can begin with, looked at before anything else of its pattern.
+_HEADS = {"email": r"[\p{L}\p{N}._%+-]", "iban": "[A-Z]", "person": f"[{''.join(sorted({t[0] for g in TITLES.values() for t in g}))}]"}
+PATTERN = "|".join(f"(?={_HEADS.get(k, '[0-9(+]')}){p}" for k, p in KINDS)
+#: A title and the beginning of a name.
+_TITLED = rf"(?={_HEADS['person']})(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def digits(text: Column) -> Column:
@@ -138,9 +142,13 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
         .otherwise(like)
 
 
-def mentions(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct mentions with their kind, in ``kind``."""
-    found = texts.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).alias("mention")).distinct()
+def maybe(text: Column) -> Column:
+    """A cheap test that every text with a mention passes: each kind needs an at sign, a digit or a title."""
+    return F.coalesce(text.contains("@") | text.rlike("[0-9]") | text.rlike(_TITLED), F.lit(False))
+
+
+def kinds_of(found: DataFrame) -> DataFrame:
+    """``found`` (mention) with the kind of each mention, in ``kind``."""
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(KINDS):
         kind = F.when(F.col("mention").rlike(rf"^(?:{pattern})$"), name).otherwise(kind)
@@ -202,9 +210,9 @@ def _in_format(mention: Column, sur: Column, kept: str) -> Column:
     return F.array_join(F.transform(_chars(mention), one), "")
 
 
-def replacements(texts: DataFrame, key: str, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """(mention, replacement) of every distinct mention of a corpus."""
-    pieces = scratch.keep(parts(mentions(texts, text_col)), "parts")
+def replacements(found: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(mention, replacement) of the distinct mentions of a corpus."""
+    pieces = scratch.keep(parts(kinds_of(found)), "parts")
     drawn = assign(pieces.select("kind", "form").distinct(), key, scratch)
     named = pieces.join(drawn, ["kind", "form"]).groupBy("mention").agg(
         F.max(F.when(F.col("part") == "only", F.col("kind"))).alias("kind"), F.max(F.when(F.col("part") == "only", F.col("sur"))).alias("sur"),
@@ -221,18 +229,20 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """``docs`` with every detected entity replaced; ``count_col`` adds the number of mentions replaced."""
     scratch = Scratch(docs.sparkSession, "surrogates")
     text = F.col(text_col)
-    has = F.coalesce(text.rlike(PATTERN), F.lit(False))
-    map_ = replacements(docs.where(has), key, scratch, text_col)
-    tag = F.xxhash64(text), F.hash(F.lit(31), text)
-    touched = docs.where(has).withColumn("__t1", tag[0]).withColumn("__t2", tag[1])
-    own = docs.where(has).select(tag[0].alias("t1"), tag[1].alias("t2"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).alias("mention")).distinct()
-    by_text = own.join(map_, "mention").groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("__map"))
-    joined = touched.join(by_text, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")))
+    key1, key2 = F.xxhash64(text), F.hash(F.lit(31), text)
     matches = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    new = F.array_join(F.zip_with(F.split(text, PATTERN, -1), matches, lambda gap, m: F.concat(gap, F.when(m.isNull(), "").otherwise(F.element_at("__map", m)))), "")
-    columns = [F.col(c) for c in docs.columns]
-    rewritten = joined.select(*[new.alias(text_col) if c == text_col else F.col(c) for c in docs.columns], *([F.size(matches).alias(count_col)] if count_col else []))
-    return docs.where(~has).select(*columns, *([F.lit(0).alias(count_col)] if count_col else [])).unionByName(rewritten)
+    likely = docs.where(maybe(text))
+    own = scratch.keep(likely.select(key1.alias("t1"), key2.alias("t2"), F.explode(F.array_distinct(matches)).alias("mention")).distinct(), "own")
+    known = replacements(own.select("mention").distinct(), key, scratch)
+    by_text = own.join(known, "mention").groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("__map"))
+    by_text = by_text.withColumnsRenamed({"t1": "__map1", "t2": "__map2"})
+    joined = likely.withColumn("__t1", key1).withColumn("__t2", key2).join(by_text, (F.col("__t1") == F.col("__map1")) & (F.col("__t2") == F.col("__map2")), "left")
+    pieces = F.zip_with(F.split(text, PATTERN, -1), matches, lambda gap, m: F.concat(gap, F.when(m.isNull(), "").otherwise(F.element_at("__map", m))))
+    new = F.when(F.col("__map").isNull(), text).otherwise(F.array_join(pieces, ""))
+    number = F.when(F.col("__map").isNull(), F.lit(0)).otherwise(F.size(matches))
+    rewritten = joined.select(*[new.alias(text_col) if c == text_col else F.col(c) for c in docs.columns], *([number.alias(count_col)] if count_col else []))
+    rest = docs.where(~maybe(text)).select(*[F.col(c) for c in docs.columns], *([F.lit(0).alias(count_col)] if count_col else []))
+    return rest.unionByName(rewritten)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
