@@ -385,12 +385,12 @@ a AS (SELECT user_id AS entity_key, -avg(value) / 5 AS lufs, -min(value) / 10 AS
 c AS (SELECT *, quiet / dur AS ratio, CASE WHEN lra > 0.05 OR coalesce(spread, 0) <= 1.0 THEN lra END AS ranged FROM a),
 sh AS (SELECT user_id AS entity_key, event_id AS idx, t AS t0, t + 30000.0 AS t1 FROM ev WHERE event_type = 'view'),
 p AS (SELECT sh.entity_key, sh.idx, round(avg(-ev.value / 4), 9) AS m FROM sh JOIN ev ON ev.user_id = sh.entity_key AND ev.t >= sh.t0 AND ev.t < sh.t1 GROUP BY ALL HAVING count(ev.value) >= 1)
-SELECT entity_key, 'lufs' AS kind, printf('%.1f', round(lufs, 1)) || ' LUFS integrated' AS value, round(lufs, 2) AS num, CAST(NULL AS INT) AS shot_idx FROM c
-UNION ALL SELECT entity_key, 'true_peak', printf('%.1f', round(tp, 1)) || ' dBTP' || CASE WHEN tp > -1.0 THEN ' — clipping' ELSE '' END, round(tp, 2), NULL FROM c
-UNION ALL SELECT entity_key, 'dynamic_range', CASE WHEN ranged < 3 THEN 'compressed' WHEN ranged < 8 THEN 'controlled' WHEN ranged < 15 THEN 'dynamic' ELSE 'wide' END, round(ranged, 2), NULL FROM c WHERE ranged IS NOT NULL
-UNION ALL SELECT entity_key, 'silence_ratio', CAST(CAST(round(ratio * 100) AS BIGINT) AS VARCHAR) || '% below -50 dBFS for 0.3s+', round(ratio, 4), NULL FROM c
-UNION ALL SELECT entity_key, 'loudness_peak', printf('%.1f', round(pk, 1)) || ' LUFS momentary', round(pk, 2), NULL FROM c
-UNION ALL SELECT entity_key, 'shot_level', CASE WHEN m < 0 THEN '-' ELSE '' END || printf('%.1f', CAST(abs(round(CAST(m AS DECIMAL(18, 9)), 1)) AS DOUBLE)) || ' LUFS', CAST(round(CAST(m AS DECIMAL(18, 9)), 2) AS DOUBLE), CAST(idx AS INT) FROM p""")
+SELECT entity_key, 'lufs' AS kind, CASE WHEN lufs < 0 THEN '-' ELSE '' END || printf('%.1f', CAST(abs(round(CAST(CAST(lufs AS VARCHAR) AS DECIMAL(38, 20)), 1)) AS DOUBLE)) || ' LUFS integrated' AS value, CAST(round(CAST(CAST(lufs AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) AS num, CAST(NULL AS INT) AS shot_idx FROM c
+UNION ALL SELECT entity_key, 'true_peak', CASE WHEN tp < 0 THEN '-' ELSE '' END || printf('%.1f', CAST(abs(round(CAST(CAST(tp AS VARCHAR) AS DECIMAL(38, 20)), 1)) AS DOUBLE)) || ' dBTP' || CASE WHEN tp > -1.0 THEN ' — clipping' ELSE '' END, CAST(round(CAST(CAST(tp AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE), NULL FROM c
+UNION ALL SELECT entity_key, 'dynamic_range', CASE WHEN ranged < 3 THEN 'compressed' WHEN ranged < 8 THEN 'controlled' WHEN ranged < 15 THEN 'dynamic' ELSE 'wide' END, CAST(round(CAST(CAST(ranged AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE), NULL FROM c WHERE ranged IS NOT NULL
+UNION ALL SELECT entity_key, 'silence_ratio', CAST(CAST(round(ratio * 100) AS BIGINT) AS VARCHAR) || '% below -50 dBFS for 0.3s+', CAST(round(CAST(CAST(ratio AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE), NULL FROM c
+UNION ALL SELECT entity_key, 'loudness_peak', CASE WHEN pk < 0 THEN '-' ELSE '' END || printf('%.1f', CAST(abs(round(CAST(CAST(pk AS VARCHAR) AS DECIMAL(38, 20)), 1)) AS DOUBLE)) || ' LUFS momentary', CAST(round(CAST(CAST(pk AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE), NULL FROM c
+UNION ALL SELECT entity_key, 'shot_level', CASE WHEN m < 0 THEN '-' ELSE '' END || printf('%.1f', CAST(abs(round(CAST(CAST(m AS VARCHAR) AS DECIMAL(38, 20)), 1)) AS DOUBLE)) || ' LUFS', CAST(round(CAST(CAST(m AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE), CAST(idx AS INT) FROM p""")
 def loudness_claims(spark, sf):
     ev = events_timed(spark, sf).select(F.col("user_id").alias("entity_key"), "t", "value", "event_type", "event_id")
     s = ev.groupBy("entity_key").agg((-F.avg("value") / 5).alias("lufs"), (-F.min("value") / 10).alias("true_peak"), (F.max("value") / 20).alias("lra"))
