@@ -120,7 +120,7 @@ def search(index: DataFrame, queries: DataFrame, n_pivots: int, top: int, share:
         vectors = vectors.sort_by("id")
         ids, v = vectors.column("id").to_numpy(), _matrix(vectors.column("v"))
         files = InvertedFiles(_perms(vectors), n_pivots)
-        keep = min(len(ids), max(4 * top, int(np.ceil(share * len(ids)))) + 1)
+        keep = min(len(ids), max(10 * top, int(np.ceil(share * len(ids)))) + 1)
         out = []
         for query, q, perm in zip(asked.column("id").to_pylist(), _matrix(asked.column("v")), _perms(asked)):
             order = files.nearness(perm).astype(np.int64) * len(ids) - np.arange(len(ids))  # ties to the smaller id
@@ -144,7 +144,8 @@ def nearest(vectors: DataFrame, asks: Column, top: int = 20, id_col: str = "vec_
             share: float = 0.2, sample: int = 4096, block: int = 16_384, query_block: int = 256) -> DataFrame:
     """For every vector whose ``id`` satisfies ``asks``, its ``top`` nearest others by inner product.
 
-    ``share`` is the part of the index ranked exactly for a query: higher is slower and finds more.
+    ``share`` is the part of the index ranked exactly for a query, at least ten times ``top`` of each
+    block: higher is slower and finds more.
     """
     scratch = Scratch(vectors.sparkSession, "pivots")
     rows = scratch.keep(usable(vectors, id_col, vector_col), "rows")
