@@ -92,10 +92,20 @@ def small_batches(batches, rows: int = 512, size: int = 4 << 20):
             at += n
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str, rows: int = 512, size: int = 4 << 20) -> DataFrame:
-    """``mapInArrow`` over small batches; ``fn`` takes a batch and returns one, or None."""
+#: What a Python worker keeps between tasks, by name. Workers serve one operator after another, so each drops what others left.
+WORKER: dict[str, object] = {}
+
+
+def release(keeps: str | None) -> None:
+    for name in [n for n in WORKER if n != keeps]:
+        del WORKER[name]
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str, rows: int = 512, size: int = 4 << 20, keeps: str | None = None) -> DataFrame:
+    """``mapInArrow`` over small batches; ``fn`` takes a batch and returns one, or None. ``keeps`` names the worker state it uses."""
 
     def run(batches):
+        release(keeps)
         for batch in small_batches(batches, rows, size):
             out = fn(batch)
             if out is not None:

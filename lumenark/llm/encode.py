@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import re
 
+from lumenark.llm.common import WORKER
+
 #: Letters of one byte or two in UTF-8 that both tokenizers keep together and lower-case alike.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: ASCII punctuation without the apostrophe, which opens contractions, and without angle brackets and bars, which write special tokens.
@@ -119,11 +121,12 @@ class Encoder:
             return b"".join(map(self.wide.__getitem__, _BOUNDARY.split(text)))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+STATE = "encoder"
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder per Python worker: the one of the vocabulary file asked for last."""
+    kept = WORKER.get(STATE)
+    if kept is None or kept[0] != path:
+        WORKER[STATE] = kept = (path, Encoder(path))
+    return kept[1]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenark.llm.common import Scratch, arrow_map, table
-from lumenark.llm.encode import encoder
+from lumenark.llm.encode import STATE, encoder
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, tie bigint"
 
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "tie"])
 
-    return arrow_map(rows, encode, PIECE_SCHEMA)
+    return arrow_map(rows, encode, PIECE_SCHEMA, keeps=STATE)
 
 
 class Histogram:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenark.llm.common import Scratch, arrow_map, table
-from lumenark.llm.encode import encoder
+from lumenark.llm.encode import STATE, encoder
 
 FILE_SCHEMA = "doc_id bigint, part int, at bigint, n_tokens bigint, ids array<int>"
 #: Row groups of 32 MB and pages of 256 KB or 500 documents; ids by dictionary, positions by delta.
@@ -67,7 +67,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(chunks), part, dtype=np.int32)),
                                            pa.array(at), pa.array(sizes), ids], ["doc_id", "part", "at", "n_tokens", "ids"])
 
-    arrow_map(ordered, encode, FILE_SCHEMA).write.options(**{**FILE_OPTIONS, **(options or {})}).mode("overwrite").parquet(path)
+    arrow_map(ordered, encode, FILE_SCHEMA, keeps=STATE).write.options(**{**FILE_OPTIONS, **(options or {})}).mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None, where=None) -> DataFrame:
