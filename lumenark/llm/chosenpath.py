@@ -5,8 +5,9 @@ Each set has a MinHash signature of ``t`` coordinates. A run splits the sets rec
 the recursion picks each coordinate with probability ``1 / (threshold * t)``, by a hash of its path,
 and a set falls into a child for every coordinate picked, named by its value there. So two sets of
 similarity ``threshold`` meet in one child on average, dissimilar ones part. A node of at most
-``bucket`` sets is compared by brute force; one that stays larger to the last level is compared in
-blocks of that size, so that no pair is given up. Runs are repeated until a pair at the threshold is
+``bucket`` sets is compared by brute force. So is, in blocks of that size, a larger one whose sets
+are mostly alike, which splitting would not part, or which stays large to the last level: no pair is
+given up. Runs are repeated until a pair at the threshold is
 missed with a probability of at most ``1 - recall``.
 
 Pairs are never written out. Brute force on signatures joins sets into candidate components; within
@@ -95,6 +96,12 @@ def _first_level(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
     return arrow_map(sets.select("id", "sig"), split, "node bigint, id binary", rows=10_000)
 
 
+def _dense(large: DataFrame) -> DataFrame:
+    """Nodes whose sets are mostly alike: over some coordinates they have few distinct values for their size."""
+    few = [F.approx_count_distinct(F.substring("sig", 4 * c + 1, 4)) for c in range(0, T, T // 8)]
+    return large.groupBy("node").agg((sum(few, F.lit(0)) / (F.lit(len(few)) * F.max("size"))).alias("share")).where("share <= 0.5").select("node")
+
+
 def leaves(sets: DataFrame, scratch: Scratch, threshold: float, recall: float, bucket: int, depth: int) -> DataFrame:
     """Rows (node, size, id) of every node to compare by brute force."""
     found = None
@@ -108,7 +115,10 @@ def leaves(sets: DataFrame, scratch: Scratch, threshold: float, recall: float, b
         large = sized.where(F.col("size") > bucket)
         if k == depth - 1 or large.isEmpty():
             break
-        level = _split(large.join(sets.select("id", "sig"), "id"), threshold)
+        large = scratch.keep(large.join(sets.select("id", "sig"), "id"), f"large{k}")
+        dense = scratch.keep(_dense(large), f"dense{k}")
+        found = found.unionByName(large.join(dense, "node", "left_semi").select("node", "size", "id"))
+        level = _split(large.join(dense, "node", "left_anti"), threshold)
     return found.select("node", "size", "id")
 
 
