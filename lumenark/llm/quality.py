@@ -78,7 +78,7 @@ def measures(column) -> np.ndarray:
     hashes, words_at = word_hashes(column)
     runs = hashes.copy()
     for k in (1, 2, 3, 4):
-        runs[: len(runs) - k] += hashes[k:] * np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15)
+        runs[: max(len(runs) - k, 0)] += hashes[k:] * np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15)
     n = np.diff(words_at).astype(np.float64)
     distinct, repeated = np.full(len(n), np.nan), np.full(len(n), np.nan)
     for i, (a, b) in enumerate(zip(words_at[:-1].tolist(), words_at[1:].tolist())):

@@ -58,7 +58,7 @@ def shingle_sets(column, width: int = 5) -> list[np.ndarray]:
     words, at = word_hashes(column)
     joined = np.zeros(len(words), dtype=np.uint64)
     for k in range(width):
-        joined[: len(words) - k] += words[k:] * _STEP[k]
+        joined[: max(len(words) - k, 0)] += words[k:] * _STEP[k]
     joined = mix(joined)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
