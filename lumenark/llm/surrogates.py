@@ -5,10 +5,14 @@ numbers, and persons after a title. A mention's *canonical form* (digits of a ph
 address in lower case, a family name) names its entity, so that all spellings of an entity get one
 surrogate, each in its own format. A surrogate is drawn from a hash of key, type, form and attempt:
 digits become digits, letters letters of the same script and case, cards keep their Luhn check,
-names come from lists of the title's gender and the name's script. Surrogates are then checked
+names come from lists of the title's gender and the name's script, initials become other initials. Surrogates are then checked
 against each other and against all originals of the type; an entity that collides draws again until
 none does, so distinct entities stay distinct and no surrogate is someone else's original.
 
+A person is found after a title, with initials, particles and any number of names. The names found
+in a text are its own list: their untitled mentions in it, the family name alone or after known given
+names, are replaced alike, and a title without gender (Dr, Prof) takes the person that the text knows.
+
 Texts are cut at the matches and joined again with the mention's replacement; only texts with a
 mention travel.
 
@@ -19,6 +23,8 @@ through untouched, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +36,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Signora", "госпожа", "Госпожа", "κυρία", "Κυρία"],
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Signor", "господин", "Господин", "κύριος", "Κύριος"],
+    "n": ["Dr", "Prof", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "доктор", "Доктор", "профессор", "Профессор", "Δρ"],
 }
 #: Given and family names by gender and script (fixed values).
 GIVEN = {
@@ -48,12 +55,29 @@ FAMILY = {
     ("m", "greek"): "Αγγέλου Βλάχος Γεωργίου Δήμου Ζέρβας Κοσμάς Λάμπρου Μάνος Παππάς Ρήγας".split(),
 }
 FAMILY["m", "latin"] = FAMILY["f", "latin"]
+for _s in ("latin", "cyrillic", "greek"):
+    GIVEN["n", _s], FAMILY["n", _s] = GIVEN["f", _s] + GIVEN["m", _s], FAMILY["m", _s]
 #: Letters of each script in either case; a letter of no listed script becomes a Latin one.
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
              "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "0123456789"]
 
-_NAME = r"\p{Lu}[\p{L}'’-]+"
-_TITLE = "|".join(TITLES["f"] + TITLES["m"])
+#: White space with one line end at most.
+_WS = r"(?:[\p{Z}\t\r\f]++\n?+|\n)[\p{Z}\t\r\f]*+"
+_GENDERED, _NEUTRAL, _TITLE = "|".join(TITLES["f"] + TITLES["m"]), "|".join(TITLES["n"]), "|".join(TITLES["f"] + TITLES["m"] + TITLES["n"])
+_AFTER = rf"(?:\.(?:{_WS})?+|{_WS})"
+_NEUTRAL_HEAD = rf"(?:(?:{_NEUTRAL}){_AFTER})++"
+_HEAD = rf"(?:(?:{_GENDERED}){_AFTER}(?:(?:{_NEUTRAL}){_AFTER})*+|{_NEUTRAL_HEAD})"
+#: A name of two letters or more, without a possessive s, and an initial. No title is a name.
+_MORE = r"['’-](?!s(?!\p{L}))[\p{L}\p{M}]++"
+_NAME = rf"(?<![\p{{L}}\p{{M}}])(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}(?:[\p{{L}}\p{{M}}]++(?:{_MORE})*+|(?:{_MORE})++)"
+_LETTER = r"(?<![\p{L}\p{M}])\p{Lu}(?![\p{L}\p{M}'’-])"
+_INITIAL = rf"(?:-?{_LETTER}(?:\.(?:{_WS})?+|{_WS}))"
+#: Particles right after a title; only the first ones can also stand after a name, where others are articles.
+_LEADS = r"van|von|vom|zu|de|del|della|da|di|du|dos|bin|ibn|af|av|ten|ter"
+_PARTICLE = rf"(?:(?:{_LEADS}|zum|zur|den|der|des|degli|dei|das|do|la|las|los|le|el|al|ben|te){_WS}|[dl]['’])"
+_INNER = rf"(?:(?=(?:{_LEADS}){_WS}|[dl]['’])(?:{_PARTICLE})++)?+"
+_PERSON = rf"(?:{_PARTICLE})*+(?:{_INITIAL})*+{_INNER}{_NAME}(?:{_WS}(?:{_INITIAL})*+{_INNER}{_NAME})*+"
+_TOKEN = rf"{_NAME}|{_LETTER}"
 #: Kind and pattern, tried in this order at each place. Look-behinds keep each scan of a run of letters or digits to one.
 KINDS = [
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
@@ -63,13 +87,13 @@ KINDS = [
     ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![ .-]?[0-9])"),
     ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
     ("phone", r"(?<![\p{L}\p{N}+])\+[0-9](?:[ .-]?[0-9]){7,13}(?![0-9])"),
-    ("person", rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?"),
+    ("person", rf"(?<!\p{{L}}){_HEAD}{_PERSON}"),
 ]
 #: What a mention of each kind can begin with, looked at before anything else of its pattern.
 _HEADS = {"email": r"[\p{L}\p{N}._%+-]", "iban": "[A-Z]", "person": f"[{''.join(sorted({t[0] for g in TITLES.values() for t in g}))}]"}
 PATTERN = "|".join(f"(?={_HEADS.get(k, '[0-9(+]')}){p}" for k, p in KINDS)
-#: A title and the beginning of a name.
-_TITLED = rf"(?={_HEADS['person']})(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
+#: A title.
+_TITLED = rf"(?={_HEADS['person']})(?<!\p{{L}}){_HEAD}"
 
 
 def digits(text: Column) -> Column:
@@ -155,22 +179,42 @@ def kinds_of(found: DataFrame) -> DataFrame:
     return found.withColumn("kind", kind)
 
 
+def _tail(mention: Column) -> Column:
+    """A person's mention without its titles."""
+    return F.regexp_replace(mention, f"^{_HEAD}", "")
+
+
+def _tokens(tail: Column) -> Column:
+    """Names and initials in order; the last one is the family name."""
+    return F.regexp_extract_all(tail, F.lit(_TOKEN), F.lit(0))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, though lambdas in it read it for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parts(found: DataFrame) -> DataFrame:
-    """The entities of each mention: (mention, part, kind, form); a person has a family name and perhaps a given one."""
+    """The entities of each mention: (mention, part, kind, form, word); a person has a family name and perhaps given ones."""
     m = F.col("mention")
-    title = F.regexp_replace(F.substring_index(m, " ", 1), r"\.$", "")
-    gender = F.when(title.isin(TITLES["f"]), "f").otherwise("m")
-    names = F.slice(F.split(m, " "), 2, 2)
+    title = F.regexp_extract(m, rf"^(?:{_TITLE})(?!\p{{L}})", 0)
+    gender = F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").otherwise("n")
     phone = digits(m)
     form = F.when(F.col("kind") == "email", F.lower(m)).when(F.col("kind") == "ip", m) \
         .when(F.col("kind") == "iban", F.regexp_replace(m, " ", "")) \
         .when(F.col("kind") == "phone", F.when(F.length(phone) > 10, F.substring(phone, -10, 10)).otherwise(phone)).otherwise(digits(m))
-    one = F.struct(F.lit("only").alias("part"), F.col("kind").alias("kind"), form.alias("form"))
-    family = F.struct(F.lit("family").alias("part"), F.concat(F.lit("family "), gender).alias("kind"), F.initcap(F.element_at(names, -1)).alias("form"))
-    given = F.struct(F.lit("given").alias("part"), F.concat(F.lit("given "), gender).alias("kind"), F.initcap(F.element_at(names, 1)).alias("form"))
-    person = F.when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family))
-    return found.select("mention", F.explode(F.when(F.col("kind") == "person", person).otherwise(F.array(one))).alias("e")) \
-        .select("mention", F.col("e.part").alias("part"), F.col("e.kind").alias("kind"), F.col("e.form").alias("form"))
+
+    def entity(part: str, kind: Column, of: Column, word: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), kind.alias("kind"), of.alias("form"), word.alias("word"))
+
+    def named(part: str) -> Callable[[Column], Column]:
+        return lambda t: entity(part, F.concat(F.lit(f"{part} "), F.col("gender")), F.initcap(t), t)
+
+    found = found.withColumn("gender", gender).withColumn("names", F.when(F.col("kind") == "person", _tokens(_tail(m))))
+    given = F.array_distinct(F.filter(F.slice("names", F.lit(1), F.size("names") - 1), lambda t: F.length(t) > 1))
+    person = F.concat(F.transform(given, named("given")), F.transform(F.slice("names", -1, 1), named("family")))
+    one = F.array(entity("only", F.col("kind"), form, F.lit(None).cast("string")))
+    return found.select("mention", F.explode(F.when(F.col("kind") == "person", person).otherwise(one)).alias("e")).select("mention", "e.*")
 
 
 def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -210,19 +254,81 @@ def _in_format(mention: Column, sur: Column, kept: str) -> Column:
     return F.array_join(F.transform(_chars(mention), one), "")
 
 
-def replacements(found: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """(mention, replacement) of the distinct mentions of a corpus."""
+def _renamed(tail: Column, key: str, given: Callable[[Column], Column], family: Callable[[Column], Column]) -> Column:
+    """A person's names written anew; particles and white space stay. ``given`` and ``family`` find the surrogate of a form."""
+    def renamed(names: Column) -> Column:
+        last = F.element_at(names, -1)
+
+        def one(t: Column) -> Column:
+            initial = _like(t, F.sha2(F.concat_ws("\u001f", F.lit(key), F.lit("initial"), F.initcap(last), t), 256))
+            return loud(t, F.when(F.length(t) == 1, initial).otherwise(given(F.initcap(t))))
+
+        first = F.transform(F.slice(names, F.lit(1), F.size(names) - 1), one)
+        return F.concat(first, F.array(loud(last, family(F.initcap(last)))))
+
+    def loud(t: Column, new: Column) -> Column:
+        return F.when((F.length(t) > 1) & (t == F.upper(t)), F.upper(F.coalesce(new, t))).otherwise(F.coalesce(new, t))
+
+    return F.array_join(F.zip_with(F.split(tail, _TOKEN, -1), _bound(_tokens(tail), renamed), lambda gap, t: F.concat(gap, F.coalesce(t, F.lit("")))), "")
+
+
+def replacements(found: DataFrame, key: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(mention, replacement) of the distinct mentions of a corpus, and (mention, part, gender, form, word, sur) of its persons."""
     pieces = scratch.keep(parts(kinds_of(found)), "parts")
     drawn = assign(pieces.select("kind", "form").distinct(), key, scratch)
-    named = pieces.join(drawn, ["kind", "form"]).groupBy("mention").agg(
+    known = pieces.join(drawn, ["kind", "form"])
+    entry = F.when(F.col("part") != "only", F.struct(F.concat_ws(":", "part", "form").alias("key"), F.col("sur").alias("value")))
+    named = known.groupBy("mention").agg(
         F.max(F.when(F.col("part") == "only", F.col("kind"))).alias("kind"), F.max(F.when(F.col("part") == "only", F.col("sur"))).alias("sur"),
-        F.max(F.when(F.col("part") == "given", F.col("sur"))).alias("given"), F.max(F.when(F.col("part") == "family", F.col("sur"))).alias("family"))
+        F.map_from_entries(F.collect_set(entry)).alias("names"))
     m, sur = F.col("mention"), F.col("sur")
     loud = (m == F.upper(m)) & (m != F.lower(m))
-    person = F.concat_ws(" ", F.substring_index(m, " ", 1), "given", "family")
+    tail = _tail(m)
+    person = F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(tail)),
+                      _renamed(tail, key, *[lambda form, p=p: F.element_at("names", F.concat(F.lit(p), form)) for p in ("given:", "family:")]))
     out = F.when(F.col("kind").isNull(), person).when(F.col("kind") == "email", F.when(loud, F.upper(sur)).otherwise(sur)).when(F.col("kind") == "ip", sur) \
         .when(F.col("kind") == "iban", _in_format(m, sur, "A-Z0-9")).otherwise(_in_format(m, sur, "0-9"))
-    return scratch.keep(named.select("mention", out.alias("replacement")), "replacements")
+    people = known.where("part != 'only'").select("mention", "part", F.substring("kind", -1, 1).alias("gender"), "form", "word", "sur")
+    return scratch.keep(named.select("mention", out.alias("replacement")), "replacements"), scratch.keep(people, "people")
+
+
+def _any_of(words: Column) -> Column:
+    """A pattern of any of ``words`` as written, with a capital or in capitals, longest first."""
+    spelt = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.initcap(w), F.upper(w)))))
+    ordered = F.transform(F.array_sort(F.transform(spelt, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda e: e["w"])
+    return F.concat(F.lit("(?:"), F.array_join(F.concat(F.array(F.lit("(?!)")), ordered), "|"), F.lit(")"))
+
+
+def names_of_texts(own: DataFrame, people: DataFrame) -> DataFrame:
+    """(t1, t2, __pattern, __names): the names of each text that has a person, and the pattern of its mentions, titled or not.
+
+    ``__names`` has (gender, surrogate) by part and form, and by part, gender and form; a title that
+    tells the gender goes before one that does not.
+    """
+    rows = own.join(people, "mention").select("t1", "t2", "part", "gender", "form", "word", "sur")
+    keys = F.array(F.concat_ws(":", "part", "form"), F.concat_ws(":", "part", "gender", "form"))
+    best = rows.withColumn("key", F.explode(keys)).groupBy("t1", "t2", "key").agg(F.min(F.struct("gender", "sur")).alias("value"))
+    found = best.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("__names"))
+    words = rows.groupBy("t1", "t2").agg(*[F.sort_array(F.collect_set(F.when(F.col("part") == p, F.col("word")))).alias(p) for p in ("given", "family")])
+    end = r"(?![\p{L}\p{M}\p{N}])"
+    pattern = F.concat(F.lit(PATTERN + r"|(?=\p{Lu})(?<![\p{L}\p{M}\p{N}])(?:"), _any_of(F.col("given")), F.lit(rf"{end}{_WS}(?:{_INITIAL})*+{_INNER}){{0,9}}"),
+                       _any_of(F.col("family")), F.lit(end + r"(?![\p{L}\p{N}._%+-]*+@)"))
+    return found.join(words.select("t1", "t2", pattern.alias("__pattern")), ["t1", "t2"])
+
+
+def _known(mention: Column, key: str) -> Column:
+    """An untitled mention, or one whose title tells no gender, by the names of its text."""
+    tail = _tail(mention)
+    first = F.initcap(F.element_at(F.filter(_tokens(tail), lambda t: F.length(t) > 1), 1))
+    gender = F.element_at("__names", F.concat(F.lit("given:"), first))["gender"]
+
+    def family(form: Column) -> Column:
+        return F.coalesce(F.element_at("__names", F.concat(F.lit("family:"), gender, F.lit(":"), form))["sur"], F.element_at("__names", F.concat(F.lit("family:"), form))["sur"])
+
+    def given(form: Column) -> Column:
+        return F.element_at("__names", F.concat(F.lit("given:"), form))["sur"]
+
+    return F.concat(F.substring(mention, F.lit(1), F.length(mention) - F.length(tail)), _renamed(tail, key, given, family))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -230,16 +336,27 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     scratch = Scratch(docs.sparkSession, "surrogates")
     text = F.col(text_col)
     key1, key2 = F.xxhash64(text), F.hash(F.lit(31), text)
-    matches = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     likely = docs.where(maybe(text))
-    own = scratch.keep(likely.select(key1.alias("t1"), key2.alias("t2"), F.explode(F.array_distinct(matches)).alias("mention")).distinct(), "own")
-    known = replacements(own.select("mention").distinct(), key, scratch)
+    own = scratch.keep(likely.select(key1.alias("t1"), key2.alias("t2"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).alias("mention")).distinct(), "own")
+    known, people = replacements(own.select("mention").distinct(), key, scratch)
     by_text = own.join(known, "mention").groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("__map"))
-    by_text = by_text.withColumnsRenamed({"t1": "__map1", "t2": "__map2"})
+    by_text = by_text.join(names_of_texts(own, people), ["t1", "t2"], "left").withColumnsRenamed({"t1": "__map1", "t2": "__map2"})
     joined = likely.withColumn("__t1", key1).withColumn("__t2", key2).join(by_text, (F.col("__t1") == F.col("__map1")) & (F.col("__t2") == F.col("__map2")), "left")
-    pieces = F.zip_with(F.split(text, PATTERN, -1), matches, lambda gap, m: F.concat(gap, F.when(m.isNull(), "").otherwise(F.element_at("__map", m))))
-    new = F.when(F.col("__map").isNull(), text).otherwise(F.array_join(pieces, ""))
-    number = F.when(F.col("__map").isNull(), F.lit(0)).otherwise(F.size(matches))
+
+    def rewritten_by(pattern: Column, replacement: Callable[[Column], Column]) -> tuple[Column, Column]:
+        matches = F.regexp_extract_all(text, pattern, F.lit(0))
+        pieces = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.concat(gap, F.when(m.isNull(), "").otherwise(replacement(m))))
+        return F.array_join(pieces, ""), F.size(matches)
+
+    def mapped(m: Column) -> Column:
+        return F.element_at("__map", m)
+
+    def person(m: Column) -> Column:
+        return F.when(mapped(m).isNull() | m.rlike(rf"^{_NEUTRAL_HEAD}{_PERSON}$"), _known(m, key)).otherwise(mapped(m))
+
+    plain, named = rewritten_by(F.lit(PATTERN), mapped), rewritten_by(F.col("__pattern"), person)
+    new = F.when(F.col("__map").isNull(), text).when(F.col("__pattern").isNull(), plain[0]).otherwise(named[0])
+    number = F.when(F.col("__map").isNull(), F.lit(0)).when(F.col("__pattern").isNull(), plain[1]).otherwise(named[1])
     rewritten = joined.select(*[new.alias(text_col) if c == text_col else F.col(c) for c in docs.columns], *([number.alias(count_col)] if count_col else []))
     rest = docs.where(~maybe(text)).select(*[F.col(c) for c in docs.columns], *([F.lit(0).alias(count_col)] if count_col else []))
     return rest.unionByName(rewritten)
