@@ -3,8 +3,9 @@
 A vector is represented by its ``depth`` nearest pivots in order. Every vector is posted in the
 inverted files of these pivots with its rank there. A query runs through the files of its own nearest
 pivots and adds up, for each posting met, how far the two ranks lie inside the depth; a pivot missing
-on one side counts as ranked at ``depth``. That sum orders the vectors by footrule distance, and the
-nearest ``share`` of them is ranked again by the exact inner product in double precision.
+on one side counts as ranked at ``depth``. That sum tells directions apart; how far it lies above the
+block's mean, times the vector's length, stands for the inner product, and the ``share`` of the
+vectors where it is largest is ranked again by the exact inner product in double precision.
 
 Scale. Vectors are dealt over blocks by a hash of their id, so equal or crowded vectors spread; a
 block holds the inverted files of its own vectors. Query blocks meet index blocks, each pair one
@@ -119,12 +120,15 @@ def search(index: DataFrame, queries: DataFrame, n_pivots: int, top: int, share:
             return kinds.empty_table()
         vectors = vectors.sort_by("id")
         ids, v = vectors.column("id").to_numpy(), _matrix(vectors.column("v"))
-        files = InvertedFiles(_perms(vectors), n_pivots)
+        files, length = InvertedFiles(_perms(vectors), n_pivots), np.sqrt((v * v).sum(axis=1))
         keep = min(len(ids), max(10 * top, int(np.ceil(share * len(ids)))) + 1)
         out = []
         for query, q, perm in zip(asked.column("id").to_pylist(), _matrix(asked.column("v")), _perms(asked)):
-            order = files.nearness(perm).astype(np.int64) * len(ids) - np.arange(len(ids))  # ties to the smaller id
-            near = np.argpartition(order, len(ids) - keep)[len(ids) - keep:]
+            order = files.nearness(perm)
+            order = (order - order.mean()) * length
+            least = np.partition(order, len(ids) - keep)[len(ids) - keep]
+            above = np.flatnonzero(order > least)
+            near = np.concatenate([above, np.flatnonzero(order == least)[: keep - len(above)]])  # ties to the smaller id
             near = near[ids[near] != query]
             score = (v[near] * q).sum(axis=1)
             best = np.lexsort((ids[near], -score))[:top]
