@@ -2,10 +2,10 @@
 
 Three base kinds are found in every whole text: assignments to secret-like names, access key ids and
 long hex runs. Further kinds (key blocks, signed tokens, prefixed tokens) are candidates. Values are
-hashed and their owners and repositories counted over the corpus: a value that several owners carry
-is a copied example, one that stays with its owner looks live. Base spans always stay; a further
-kind's span is reported only while its value belongs to one owner, and where it lies inside no span
-of its own kind.
+hashed and their owners, repositories and distinct texts counted over the corpus: a value that several
+owners carry in different texts, or that very many texts carry, is a copied example, one that stays
+with its owner looks live. Copies of one text count as one, so a live value is not cleared by them.
+``judged`` has every span with its verdict; ``scan`` leaves out the further kinds' copied examples.
 
 Places come from the pieces between matches: a text split at a pattern and the matches themselves
 alternate, so places are running sums of lengths, in code points.
@@ -40,7 +40,7 @@ ORDER = {k[0]: i for i, k in enumerate(KINDS)}
 
 
 def spans(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
-    """Every kept match: (k1, k2, owner, repo, kind, start, end, value hash v1 and v2).
+    """Every kept match: (k1, k2, owner, repo, hash of the text t, kind, start, end, value hash v1 and v2).
 
     ``docs`` has doc_id and text; the key is ``row_key(doc_id, text)``.
     """
@@ -48,38 +48,47 @@ def spans(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     any_kind = F.lit(False)
     for _, pattern, _, _ in KINDS:
         any_kind = any_kind | text.rlike(pattern)
-    few = docs.where(any_kind).select(*row_key("doc_id", "text"), owner.cast("string").alias("owner"), repository.cast("string").alias("repo"), "text").distinct()
+    few = docs.where(any_kind).select(*row_key("doc_id", "text"), owner.cast("string").alias("owner"), repository.cast("string").alias("repo"), F.xxhash64(F.lit(43), "text").alias("t"), "text").distinct()
     kinds = [F.struct(F.lit(name).alias("kind"), F.lit(least).alias("least"),
                       F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
                       F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
                       F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values")) for name, pattern, group, least in KINDS]
-    rows = few.select("k1", "k2", "owner", "repo", F.explode(F.array(*kinds)).alias("m"))
-    rows = rows.where("size(m.found) > 0").select("k1", "k2", "owner", "repo", F.col("m.kind").alias("kind"), F.col("m.least").alias("least"),
+    rows = few.select("k1", "k2", "owner", "repo", "t", F.explode(F.array(*kinds)).alias("m"))
+    rows = rows.where("size(m.found) > 0").select("k1", "k2", "owner", "repo", "t", F.col("m.kind").alias("kind"), F.col("m.least").alias("least"),
                                                    F.posexplode(F.arrays_zip(F.slice("m.gaps", F.lit(1), F.size("m.found")).alias("gap"), F.col("m.found").alias("found"),
                                                                              F.col("m.values").alias("value"))).alias("i", "x"))
     length = F.length("x.found")
     passed = F.sum(F.col("x.gap") + length).over(Window.partitionBy("k1", "k2", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("end", passed).withColumn("start", passed - length).where(F.length("x.value") >= F.col("least"))
-    return placed.select("k1", "k2", "owner", "repo", "kind", "start", "end", F.xxhash64("x.value").alias("v1"), F.hash(F.lit(3), "x.value").alias("v2"))
+    return placed.select("k1", "k2", "owner", "repo", "t", "kind", "start", "end", F.xxhash64("x.value").alias("v1"), F.hash(F.lit(3), "x.value").alias("v2"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Distinct owners and repositories of each value: (v1, v2, n_owners, n_repos), reduced before each shuffle."""
-    pairs = found.select("v1", "v2", F.coalesce(F.concat(F.lit("="), "owner"), F.lit("")).alias("o"), F.coalesce(F.concat(F.lit("="), "repo"), F.lit("")).alias("r")).distinct()
+    """Distinct owners, repositories and texts of each value: (v1, v2, n_owners, n_repos, n_texts), reduced before each shuffle."""
+    pairs = found.select("v1", "v2", F.coalesce(F.concat(F.lit("="), "owner"), F.lit("")).alias("o"), F.coalesce(F.concat(F.lit("="), "repo"), F.lit("")).alias("r"), "t").distinct()
     owners = pairs.select("v1", "v2", "o").distinct().groupBy("v1", "v2").agg(F.count("*").alias("n_owners"))
     repos = pairs.select("v1", "v2", "r").distinct().groupBy("v1", "v2").agg(F.count("*").alias("n_repos"))
-    return owners.join(repos, ["v1", "v2"])
+    texts = pairs.select("v1", "v2", "t").distinct().groupBy("v1", "v2").agg(F.count("*").alias("n_texts"))
+    return owners.join(repos, ["v1", "v2"]).join(texts, ["v1", "v2"])
 
 
-def scan(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text", example_owners: int = 2) -> DataFrame:
-    """All spans with their verdict: (k1, k2, kind, start, end, n_owners, n_repos, live)."""
+def judged(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text",
+           example_owners: int = 2, example_texts: int = 20) -> DataFrame:
+    """All spans with their verdict: (k1, k2, kind, start, end, n_owners, n_repos, n_texts, live).
+
+    A value is a copied example, not live, if ``example_owners`` carry it in two different texts or
+    more, or if ``example_texts`` different texts carry it, whoever owns them.
+    """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.col(owner_col).alias("owner_"), F.col(repository_col).alias("repo_"))
     found = spans(rows, F.col("owner_"), F.col("repo_"))
-    judged = found.join(ownership(found), ["v1", "v2"])
-    live = F.col("n_owners") < example_owners
-    return judged.select("k1", "k2", "kind", "start", "end", "n_owners", "n_repos", live.alias("live")).distinct() \
-        .where(F.col("kind").isin([k[0] for k in BASE]) | F.col("live"))
+    copied = ((F.col("n_owners") >= example_owners) & (F.col("n_texts") > 1)) | (F.col("n_texts") >= example_texts)
+    return found.join(ownership(found), ["v1", "v2"]).select("k1", "k2", "kind", "start", "end", "n_owners", "n_repos", "n_texts", (~copied).alias("live")).distinct()
+
+
+def scan(docs: DataFrame, **options) -> DataFrame:
+    """The spans of ``judged`` without copied examples of the further kinds."""
+    return judged(docs, **options).where(F.col("kind").isin([k[0] for k in BASE]) | F.col("live"))
 
 
 def listed(kinds: list[str] | None = None) -> Column:
@@ -93,7 +102,7 @@ def listed(kinds: list[str] | None = None) -> Column:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = scan(docs)
+    found = judged(docs)
     base = [k[0] for k in BASE]
 
     def tally(kind: str) -> Column:
