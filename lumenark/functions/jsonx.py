@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-# How deep a cell is read, and the fields that are scores or ids rather than words.
-MAX_DEPTH = 4
+# The fields that are scores or ids rather than words.
 SKIPPED = ("conf", "confidence", "score", "prob", "id", "bbox", "box", "xyxy", "index", "idx")
 
 
-def _phrase(node, depth: int = 0) -> str:
-    if depth > MAX_DEPTH:
-        return ""
-    if isinstance(node, str):
-        return node
-    if isinstance(node, dict):
-        node = [v for k, v in node.items() if k.lower() not in SKIPPED]
-    if isinstance(node, list):
-        return ", ".join(p for p in (_phrase(v, depth + 1) for v in node) if p)
-    return ""
+def _phrase(node) -> str:
+    """The words of a cell in document order, at any depth."""
+    out, left = [], [node]
+    while left:
+        node = left.pop()
+        if isinstance(node, str) and node:
+            out.append(node)
+        elif isinstance(node, dict):
+            left.extend(v for k, v in reversed(node.items()) if k.lower() not in SKIPPED)
+        elif isinstance(node, list):
+            left.extend(reversed(node))
+    return ", ".join(out)
 
 
 def flatten_json(cell: Column) -> Column:
@@ -36,7 +37,7 @@ def flatten_json(cell: Column) -> Column:
         def one(s):
             try:
                 return None if s is None else _phrase(json.loads(s))
-            except ValueError:
+            except (ValueError, RecursionError):  # no JSON, or nested deeper than the parser reads
                 return s
         return cells.map(one)
 
