@@ -8,7 +8,7 @@ candidate list ends in a distributed top-k.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,11 +43,11 @@ def _count_term(low: Column, term: str, prefix: bool) -> Column:
 
 
 def bm25_scores(moments: DataFrame, terms: Sequence[str], prefix: str | None = None,
-                require_all: bool = False, within: Column | None = None) -> DataFrame:
+                require_all: bool = False, within: Column | None = None, among: DataFrame | None = None) -> DataFrame:
     """moments with ``bm25`` for the rows that match; ``score`` = bm25 scaled by weight.
 
     Document frequencies, corpus size and mean length come from one aggregate over the
-    same scan; ``within`` narrows the rows that are scored, not these statistics.
+    same scan; ``within`` and ``among`` (entity_key) narrow the rows that are scored, not these statistics.
     """
     probes = [(t, False) for t in terms] + ([(prefix, True)] if prefix else [])
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
@@ -64,6 +64,8 @@ def bm25_scores(moments: DataFrame, terms: Sequence[str], prefix: str | None = N
         present = here if present is None else combine(present, here)
     # One scalar subquery, carried as a column and read by every term.
     inside = moments if within is None else moments.filter(within)
+    if among is not None:
+        inside = inside.join(among, "entity_key", "left_semi")
     t = inside.filter(likely).filter(present).withColumns(
         {"dl": length, "corpus": stats.select(F.struct("*")).scalar()})
     corpus = F.col("corpus")
@@ -91,7 +93,8 @@ def top_ranked(df: DataFrame, limit: int, by: str = "score", tie: str = "id", di
     return best.withColumn("rank", F.row_number().over(w)).drop("__o")
 
 
-def lexical(moments: DataFrame, query: str, limit: int = CANDIDATES, enough: int = 8, within: Column | None = None) -> DataFrame:
+def lexical(moments: DataFrame, query: str, limit: int = CANDIDATES, enough: int = 8, within: Column | None = None,
+            among: DataFrame | None = None) -> DataFrame:
     """(id, rank): AND hits; short lists are widened with OR hits, none at all with prefix hits.
 
     The three shapes are branches of one plan: each is cut to ``limit`` rows, and a branch
@@ -103,9 +106,9 @@ def lexical(moments: DataFrame, query: str, limit: int = CANDIDATES, enough: int
     any_terms, _ = T.query_terms(query, "or")
     head, prefix = T.query_terms(query, "prefix")
 
-    strict = top_ranked(bm25_scores(moments, all_terms, require_all=True, within=within), limit).select("id", "rank")
-    loose = top_ranked(bm25_scores(moments, any_terms, within=within), limit).select("id", "rank")
-    typed = top_ranked(bm25_scores(moments, head, prefix, within=within), limit).select("id", "rank")
+    strict = top_ranked(bm25_scores(moments, all_terms, require_all=True, within=within, among=among), limit).select("id", "rank")
+    loose = top_ranked(bm25_scores(moments, any_terms, within=within, among=among), limit).select("id", "rank")
+    typed = top_ranked(bm25_scores(moments, head, prefix, within=within, among=among), limit).select("id", "rank")
 
     n_strict = strict.agg(F.count("*")).scalar()
     n_loose = loose.agg(F.count("*")).scalar()
@@ -171,6 +174,10 @@ class Filters:
     max_dur: float | None = None
     min_hits: int | None = None
 
+    def on_cards(self) -> bool:
+        """Whether any filter but ``min_hits`` is set."""
+        return bool(self.creator or self.category or self.collection) or self.min_dur is not None or self.max_dur is not None
+
     def apply(self, df: DataFrame) -> DataFrame:
         dur = F.coalesce(F.col("duration"), F.lit(0.0))
         if self.creator:
@@ -236,24 +243,32 @@ def hybrid(moments: DataFrame, cards: DataFrame, query: str, vectors: DataFrame
            sort: str = "relevance", filters: Filters = Filters(), moments_shown: int = 24) -> SearchResult:
     """Lexical and dense candidates fused by reciprocal rank, grouped per entity.
 
-    Source and entity filters come before the candidate cut, so a filtered search loses no
-    match to it; facets are counted before the facet filters, so an active filter still
+    Source, entity and card filters come before the candidate cut, so a search filtered by
+    them loses no match to it; ``min_hits`` counts passages of the candidates. Facets are counted before the facet filters, so an active filter still
     shows its own count. ``candidates`` is how deep each ranking is read.
     """
     within = None
     for wanted in ([F.col("source").isin(*sources)] if sources else []) + ([F.col("entity_key") == F.lit(entity_key)] if entity_key is not None else []):
         within = wanted if within is None else within & wanted
-    lists = [(lexical(moments, query, candidates, within=within), 1.0)]
-    if vectors is not None and query_vector is not None:
-        near = vectors if within is None else vectors.join(moments.filter(within).select("id"), "id", "left_semi")
-        lists.append((dense(near, query_vector, candidates), 1.0))
-    rows = moments.join(fuse(*lists), "id")
-    scored = rows.withColumn(
-        "score", F.round(F.col("fused") * F.coalesce(F.col("weight"), F.lit(1.0))
-                         * (1.0 + T.phrase_bonus(F.col("text"), query)), 6))
-    grouped = entity_scores(scored)
-    pool = cards.join(grouped, "entity_key")
+
+    def ranked(among: DataFrame | None) -> DataFrame:
+        lists = [(lexical(moments, query, candidates, within=within, among=among), 1.0)]
+        if vectors is not None and query_vector is not None:
+            inside = moments if within is None else moments.filter(within)
+            inside = inside if among is None else inside.join(among, "entity_key", "left_semi")
+            near = vectors if within is None and among is None else vectors.join(inside.select("id"), "id", "left_semi")
+            lists.append((dense(near, query_vector, candidates), 1.0))
+        rows = moments.join(fuse(*lists), "id")
+        return rows.withColumn(
+            "score", F.round(F.col("fused") * F.coalesce(F.col("weight"), F.lit(1.0))
+                             * (1.0 + T.phrase_bonus(F.col("text"), query)), 6))
+
+    scored = ranked(None)
+    pool = cards.join(entity_scores(scored), "entity_key")
     kept = filters.apply(pool)
+    if filters.on_cards():
+        scored = ranked(replace(filters, min_hits=None).apply(cards).select("entity_key"))
+        kept = filters.apply(cards.join(entity_scores(scored), "entity_key"))
     order = order_columns(sort)
     page = kept.orderBy(*order).offset(offset).limit(limit)
     w = Window.partitionBy("entity_key").orderBy(F.coalesce("t_start", F.lit(-1.0)), "id")
