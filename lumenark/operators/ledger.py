@@ -110,7 +110,7 @@ def throughput(items: DataFrame, now: float, window: float = 3600.0) -> DataFram
 
 def queue_page(items: DataFrame, state: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
     df = items.filter(F.col("state") == state) if state else items
-    return df.orderBy("position", "key").offset(offset).limit(min(limit, 500))
+    return df.orderBy("position", "key").offset(offset).limit(limit)
 
 
 def export_urls(items: DataFrame, state: str = UPLOADED) -> DataFrame:
