@@ -44,6 +44,19 @@ class Scratch:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
