@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenark.llm import chosenpath, decontam, langid, linededup, packing, pivots, quality, secrets, surrogates, tokenfile, wordpiece
+from lumenark.llm import chosenpath, decontam, langid, linededup, packing, pivots, prefixtrie, quality, secrets, surrogates, tokenfile, wordpiece
 
 QUERIES = {
     "op1_permutation_index": pivots.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8,
     "op9_chosen_path_join": chosenpath.op9,
     "op10_byte_network": langid.op10,
+    "op11_conversation_trie": prefixtrie.op11,
     "op13_line_dedup": linededup.op13,
 }
 
 ORACLES = {
     "op2_prefix_decontamination": decontam.OP2_SQL,
+    "op11_conversation_trie": prefixtrie.OP11_SQL,
     "op13_line_dedup": linededup.OP13_SQL,
 }
