@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenark.llm import chosenpath, decontam, langid, linededup, packing, pivots, prefixtrie, quality, secrets, surrogates, tokenfile, wordpiece
+from lumenark.llm import chosenpath, crosstok, decontam, langid, linededup, packing, pivots, prefixtrie, quality, secrets, surrogates, tokenfile, wordpiece
 
 QUERIES = {
     "op1_permutation_index": pivots.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chosen_path_join": chosenpath.op9,
     "op10_byte_network": langid.op10,
     "op11_conversation_trie": prefixtrie.op11,
+    "op12_cross_tokenizer": crosstok.op12,
     "op13_line_dedup": linededup.op13,
 }
 
