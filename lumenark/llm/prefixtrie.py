@@ -6,8 +6,9 @@ nodes; their last turn is stripped, they meet the conversations that end one tur
 are grouped by path again. So each step discovers the nodes of one depth and finishes their
 aggregates at once (members, children, leaves, tokens saved), from sums that the children carried
 up. A step is one grouping with map-side sums, so a first turn that a third of all conversations
-share costs one row a task. Each level is written, which cuts lineage; there are as many steps as
-the longest conversation has turns.
+share costs one row a task. Each level is written, which cuts lineage. Where a conversation has no
+company, its turns are stripped all at once down to the first node that it shares, so there are as
+many steps as the deepest shared node has turns, however long single conversations are.
 
 The ids that end in a node are hashed in order without meeting as one list: blocks of 4,096
 consecutive ids are joined to strings first, then the blocks of a node stream through one digest.
@@ -16,7 +17,7 @@ Defined results. NULL role or text is empty. Turns are ordered by ``turn``, NULL
 tie by role, the first 64 characters of the text, and hash, so repeated rows stay repeated turns.
 Rows without a conversation id belong to none. A conversation without turns ends in the root. An
 empty table has no nodes. Other columns are not read, whatever their names. Turns are compared as
-two 64-bit hashes. A conversation's own path, 20 bytes a turn, is one row, as a document is.
+two 64-bit hashes. A conversation's own path, 24 bytes a turn, is one row, as a document is.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from lumenark.llm.common import Scratch, table
 
 #: Ids of a block are consecutive, so a block holds so many at most.
 BLOCK_BITS = 12
-NODE_SCHEMA = "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string"
 
 
 def numbered_turns(rows: DataFrame) -> DataFrame:
@@ -45,9 +45,9 @@ def numbered_turns(rows: DataFrame) -> DataFrame:
 
 
 def paths(turns: DataFrame) -> DataFrame:
-    """(conv_id, depth, path) of turns (conv_id, part, pos, h1, h2, chars) in order of part and position.
+    """(conv_id, path) of turns (conv_id, part, pos, h1, h2, chars) in order of part and position.
 
-    ``path[d]`` names the prefix of d turns by a running hash and has the length of its last text.
+    ``path[d]`` names the prefix of d turns by a running hash and has the code points of its texts.
     A row with ``part`` -1 for each conversation stands for the empty prefix.
     """
     order = Window.partitionBy("conv_id").orderBy("part", "pos")
@@ -56,22 +56,55 @@ def paths(turns: DataFrame) -> DataFrame:
     root = F.col("d") == 0
     x1 = F.when(root, F.lit(0)).otherwise(F.xxhash64("d", "h1", "h2"))
     x2 = F.when(root, F.lit(0)).otherwise(F.xxhash64("h2", "d", "h1"))
-    running = placed.select("conv_id", "d", "chars", F.bit_xor(x1).over(so_far).alias("p1"), F.bit_xor(x2).over(so_far).alias("p2"))
-    steps = F.array_sort(F.collect_list(F.struct("d", "p1", "p2", "chars")))
-    path = F.transform(steps, lambda s: F.struct(s["p1"].alias("p1"), s["p2"].alias("p2"), s["chars"].alias("chars")))
-    return running.groupBy("conv_id").agg(path.alias("path")).withColumn("depth", F.size("path") - 1)
-
-
-def peel(chains: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """The nodes (depth, p1, p2, above1, above2, conv_id, n_convs, n_children, n_leaves, saved_tokens) of written paths; None without any."""
-    deepest = chains.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return None
-    zero = F.lit(0).cast("bigint")
-    levels, survivors = [], None
-    for depth in range(deepest, -1, -1):
-        level = chains.where(F.col("depth") == depth).select(
-            "path", "conv_id", F.lit(1).cast("bigint").alias("n_convs"), zero.alias("child"), zero.alias("leaves"), zero.alias("saved"))
+    running = placed.select("conv_id", "d", F.sum("chars").over(so_far).alias("total"), F.bit_xor(x1).over(so_far).alias("p1"), F.bit_xor(x2).over(so_far).alias("p2"))
+    steps = F.array_sort(F.collect_list(F.struct("d", "p1", "p2", "total")))
+    path = F.transform(steps, lambda s: F.struct(s["p1"].alias("p1"), s["p2"].alias("p2"), s["total"].alias("total")))
+    return running.groupBy("conv_id").agg(path.alias("path"))
+
+
+NODE = "depth int, p1 bigint, p2 bigint, above1 bigint, above2 bigint, conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint"
+
+
+def _named(depth: Column) -> list[Column]:
+    """Depth, name and parent's name of the node at ``depth`` of a path; the root has its own name twice."""
+    at, above = F.get("path", depth), F.get("path", F.greatest(depth - 1, F.lit(0)))
+    return [depth.cast("int").alias("depth"), at["p1"].alias("p1"), at["p2"].alias("p2"), above["p1"].alias("above1"), above["p2"].alias("above2")]
+
+
+def tails(chains: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(nodes, entries): the nodes that a single path goes through, and what is left of every path above them.
+
+    Copies of a conversation are one path. Where a path is alone, nothing can meet it, so all turns down
+    to the first shared node are stripped at once; ``entries`` (at, path, conv_id, n_convs, child, leaves,
+    saved) take part in the peeling from depth ``at`` on. So a conversation of many turns costs no steps.
+    """
+    merged = scratch.keep(chains.groupBy("path").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")), "merged")
+    steps = merged.select("conv_id", F.posexplode("path").alias("d", "x")).groupBy("d", "x.p1", "x.p2").agg(F.count("*").alias("n"), F.min("conv_id").alias("conv_id"))
+    alone = steps.where("n = 1").groupBy("conv_id").agg(F.min("d").alias("first"))
+    depth, total = F.size("path") - 1, lambda d: F.get("path", d)["total"]
+    split = scratch.keep(merged.join(alone, "conv_id", "left").withColumn("depth", depth).withColumn("first", F.coalesce("first", F.col("depth") + 1)), "split")
+    d = F.col("d")
+    one = F.lit(1).cast("bigint")
+    nodes = split.where("first <= depth").withColumn("d", F.explode(F.sequence("first", "depth"))).select(
+        *_named(d), "conv_id", "n_convs", (d < F.col("depth")).cast("bigint").alias("n_children"), one.alias("n_leaves"),
+        ((F.col("n_convs") - 1) * (total(F.col("depth")) - F.when(d > 0, total(d - 1)).otherwise(0))).alias("saved_tokens"))
+    cut = F.col("first") <= F.col("depth")
+    entries = split.where("first > 0").select(
+        (F.col("first") - 1).alias("at"), F.slice("path", F.lit(1), F.col("first")).alias("path"), "conv_id", "n_convs", cut.cast("bigint").alias("child"),
+        cut.cast("bigint").alias("leaves"), F.when(cut, (F.col("n_convs") - 1) * (total(F.col("depth")) - total(F.col("first") - 1))).otherwise(0).cast("bigint").alias("saved"))
+    return nodes, entries
+
+
+def peel(chains: DataFrame, scratch: Scratch) -> DataFrame:
+    """The nodes of written paths."""
+    spark = chains.sparkSession
+    nodes, entries = tails(chains, scratch)
+    entries.write.partitionBy("at").mode("overwrite").parquet(scratch.path("entries"))
+    entries = spark.read.schema(entries.schema).parquet(scratch.path("entries"))
+    deepest = entries.agg(F.max("at")).first()[0]
+    survivors = None
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        level = entries.where(F.col("at") == depth).drop("at")
         if survivors is not None:
             level = level.unionByName(survivors.select(
                 F.slice("path", 1, depth + 1).alias("path"), "conv_id", "n_convs", F.lit(1).cast("bigint").alias("child"),
@@ -79,18 +112,15 @@ def peel(chains: DataFrame, scratch: Scratch) -> DataFrame | None:
         grouped = level.groupBy("path").agg(
             F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.sum("child").alias("n_children"),
             F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
-        last = F.col("path")[depth]
-        above = F.col("path")[depth - 1] if depth else last
-        nodes = grouped.select(
-            "path", F.lit(depth).alias("depth"), last["p1"].alias("p1"), last["p2"].alias("p2"), above["p1"].alias("above1"), above["p2"].alias("above2"),
-            "conv_id", "n_convs", "n_children", F.when(F.col("n_children") == 0, F.lit(1)).otherwise(F.col("leaves")).cast("bigint").alias("n_leaves"),
-            (F.col("saved") + (F.col("n_convs") - 1) * last["chars"]).alias("saved_tokens"))
-        survivors = scratch.keep(nodes, f"level{depth}")
-        levels.append(survivors.drop("path"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        last = F.get("path", F.lit(depth))["total"] - (F.get("path", F.lit(depth - 1))["total"] if depth else 0)
+        met = grouped.select(
+            "path", *_named(F.lit(depth)), "conv_id", "n_convs", "n_children",
+            F.when(F.col("n_children") == 0, F.lit(1)).otherwise(F.col("leaves")).cast("bigint").alias("n_leaves"),
+            (F.col("saved") + (F.col("n_convs") - 1) * last).alias("saved_tokens"))
+        survivors = scratch.keep(met, f"levels/level={depth}")
+    if survivors is None:
+        return nodes
+    return nodes.unionByName(spark.read.schema(NODE).parquet(scratch.path("levels")).select(*nodes.columns))
 
 
 def end_digests(chains: DataFrame) -> DataFrame:
@@ -98,7 +128,7 @@ def end_digests(chains: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     last = F.element_at("path", -1)
-    ended = chains.select("depth", last["p1"].alias("p1"), last["p2"].alias("p2"), "conv_id", F.shiftright("conv_id", BLOCK_BITS).alias("block"))
+    ended = chains.select((F.size("path") - 1).alias("depth"), last["p1"].alias("p1"), last["p2"].alias("p2"), "conv_id", F.shiftright("conv_id", BLOCK_BITS).alias("block"))
     ids = F.array_join(F.array_sort(F.collect_list("conv_id")).cast("array<string>"), ",")
     blocks = ended.groupBy("depth", "p1", "p2", "block").agg(ids.alias("ids"))
     streamed = blocks.repartition("depth", "p1", "p2").sortWithinPartitions("depth", "p1", "p2", "block")
@@ -129,13 +159,9 @@ def end_digests(chains: DataFrame) -> DataFrame:
 
 def trie(turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row for each node of the trie of turns (conv_id, part, pos, h1, h2, chars), as ``paths`` takes them."""
-    spark = turns.sparkSession
-    scratch = scratch or Scratch(spark, "prefix-trie")
-    paths(turns).write.partitionBy("depth").mode("overwrite").parquet(scratch.path("paths"))
-    chains = spark.read.schema("conv_id bigint, path array<struct<p1 bigint, p2 bigint, chars int>>, depth int").parquet(scratch.path("paths"))
+    scratch = scratch or Scratch(turns.sparkSession, "prefix-trie")
+    chains = scratch.keep(paths(turns), "paths")
     nodes = peel(chains, scratch)
-    if nodes is None:
-        return spark.createDataFrame([], NODE_SCHEMA)
     above = nodes.select((F.col("depth") + 1).alias("depth"), F.col("p1").alias("above1"), F.col("p2").alias("above2"), F.col("conv_id").alias("parent_conv_id"))
     none = hashlib.sha256(b"").hexdigest()
     return nodes.join(above, ["depth", "above1", "above2"], "left").join(end_digests(chains), ["depth", "p1", "p2"], "left").select(

@@ -79,3 +79,13 @@ def test_one_grouping_a_level(spark):
     turns = prefixtrie.numbered_turns(spark.createDataFrame([(1, 0, "user", "a")], SCHEMA)).withColumn("part", F.lit(0))
     plan = prefixtrie.paths(turns)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(conv_id") == 1  # numbering, running hashes and paths share one shuffle
+
+
+def test_long_conversations_take_no_steps_of_their_own(spark, tmp_path):
+    rows = [(c, t, "user", f"turn {t}" if t < 3 else f"turn {t} of {c % 2}") for c in (11, 12, 14) for t in range(60 + c % 5)] + [(13, 0, "user", "turn 0")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert Counter(map(tuple, prefixtrie.conversation_trie(df).collect())) == brute(rows, rebuild=False)
+    turns = prefixtrie.numbered_turns(df.where("conv_id <> 14")).withColumn("part", F.lit(0))
+    chains = prefixtrie.paths(prefixtrie.marked(turns, turns.select("conv_id").distinct()))
+    _, entries = prefixtrie.tails(chains, prefixtrie.Scratch(spark, "test"))
+    assert entries.agg(F.max("at")).first()[0] == 3
