@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from lumenark.llm.common import Scratch, arrow_map, table
 from lumenark.llm.encode import STATE, encoder
 
-PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, tie bigint"
+PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, tie bigint"
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
             for k, (start, length) in enumerate(cut(len(raw) // 4, capacity)):
                 out.append((doc, k, start, length, zlib.crc32(raw[4 * start: 4 * (start + length)]), whole))
         cols = list(zip(*out))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "tie"])
 
     return arrow_map(rows, encode, PIECE_SCHEMA, keeps=STATE)
@@ -214,10 +214,10 @@ def place(found: DataFrame, capacity: int, per_bucket: int = 50_000) -> DataFram
             sequence[mine] = at[k, 2] + rank[mine] - at[k, 1]
             offset[mine] = at[k, 3]
         keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(sequence), pa.array(offset.astype(np.int32))],
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(sequence), pa.array(offset)],
                                           keep + ["sequence_id", "offset"])
 
-    return arrow_map(ranked, locate, "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, sequence_id bigint, offset int", rows=10_000)
+    return arrow_map(ranked, locate, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint", rows=10_000)
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
