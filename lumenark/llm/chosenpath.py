@@ -8,7 +8,8 @@ similarity ``threshold`` meet in one child on average, dissimilar ones part. A n
 ``bucket`` sets is compared by brute force. So is, in blocks of that size, a larger one whose sets
 are mostly alike, which splitting would not part, or which stays large to the last level: no pair is
 given up. Runs are repeated until a pair at the threshold is
-missed with a probability of at most ``1 - recall``.
+missed with a probability of at most ``1 - recall``. Every block of a node is compared for itself
+first; across blocks only what is not joined by then is compared.
 
 Pairs are never written out. Brute force on signatures joins sets into candidate components; within
 a component all pairs are then verified on the exact sets, block against block, which yields each
@@ -154,30 +155,33 @@ def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def candidates(found: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float, bucket: int) -> DataFrame:
-    """A forest (id, root) that joins all sets of one node whose signatures agree often enough."""
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, T)
+
+
+def _binary(values) -> object:
     import pyarrow as pa
 
-    least = int(T * threshold - 4.5 * math.sqrt(T * threshold * (1 - threshold)))
-    short = sets.select("id", F.col("short"))
-    rows = _blocks(found, "node", bucket, 4000, max(1, found.count())).join(short, "id")
+    return pa.array(list(values), type=pa.binary())
+
+
+def _within(least: int):
+    """A forest (id, root), one row a set at most, of the sets of each unit whose signatures agree in ``least`` coordinates."""
+    import pyarrow as pa
 
     def forest(t):
         unit = t.column("unit").to_numpy()
         order = _by_id(t.column("id"), unit)  # so that a forest hangs on least ids, and forests of one group on few
         unit = unit[order]
         ids = np.array(t.column("id").to_pylist(), dtype=object)[order]
-        side = (t.column("mine").to_numpy() == t.column("hi").to_numpy())[order]
-        cross = (t.column("lo").to_numpy() != t.column("hi").to_numpy())[order]
-        sig = np.frombuffer(b"".join(t.column("short").to_pylist()), dtype=np.uint8).reshape(-1, T)[order]
+        sig = _signatures(t.column("short"))[order]
         a, b, step = [], [], 1
         live = np.arange(len(unit))
         while len(live):
             live = live[live + step < len(unit)]
             live = live[unit[live] == unit[live + step]]
-            look = live[~cross[live] | (side[live] != side[live + step])]
-            for k in range(0, len(look), 20_000):
-                i = look[k: k + 20_000]
+            for k in range(0, len(live), 20_000):
+                i = live[k: k + 20_000]
                 i = i[(sig[i] == sig[i + step]).sum(axis=1) >= least]
                 a.append(i)
                 b.append(i + step)
@@ -185,10 +189,72 @@ def candidates(found: DataFrame, sets: DataFrame, scratch: Scratch, threshold: f
         a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (a, b))
         label = _components(a, b, len(unit))
         moved = np.flatnonzero(label != np.arange(len(unit)))
-        return pa.table({"id": pa.array(ids[moved].tolist(), type=pa.binary()), "root": pa.array(ids[label[moved]].tolist(), type=pa.binary())})
+        return pa.table({"id": _binary(ids[moved]), "root": _binary(ids[label[moved]])})
+
+    return forest
+
+
+def _across(least: int, bucket: int):
+    """A forest (id, root) of the components that sets of a block and visitors from elsewhere join, one row a component at most."""
+    import pyarrow as pa
+
+    def forest(t):
+        unit, guest = t.column("unit").to_numpy(), t.column("guest").to_numpy(zero_copy_only=False).astype(bool)
+        names, comp = np.unique(np.array(t.column("comp").to_pylist(), dtype=object), return_inverse=True)
+        comp = comp.ravel()
+        sig = _signatures(t.column("short"))
+        order = np.argsort(unit, kind="stable")
+        a, b = [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            home, guests = rows[~guest[rows]], rows[guest[rows]]
+            for i in range(0, len(home), 64):
+                for j in range(0, len(guests), bucket):
+                    x, y = home[i: i + 64], guests[j: j + bucket]
+                    u, v = np.nonzero(((sig[x][:, None, :] == sig[y][None, :, :]).sum(axis=2) >= least) & (comp[x][:, None] != comp[y][None, :]))
+                    a.append(comp[x[u]])
+                    b.append(comp[y[v]])
+        a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (a, b))
+        label = _components(a, b, len(names))
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pa.table({"id": _binary(names[moved]), "root": _binary(names[label[moved]])})
+
+    return forest
 
-    edges = rows.groupBy("g").applyInArrow(forest, "id binary, root binary").where("id != root").distinct()
-    return scratch.keep(edges, "candidate_edges")
+
+def candidates(found: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float, bucket: int) -> DataFrame:
+    """Component (id, root) of every set that shares a node with one whose signature agrees often enough.
+
+    The blocks of a node are compared for themselves first, which costs a row a set. What that joined
+    needs no comparing any more, so across the blocks only sets outside the node's largest component
+    travel: a node of one group of near copies, dealt otherwise in every run, is done by then.
+    """
+    least = int(T * threshold - 4.5 * math.sqrt(T * threshold * (1 - threshold)))
+    short = sets.select("id", "short")
+    blocks = F.ceil(F.col("size") / bucket).cast("int")
+    rows = scratch.keep(found.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int")), "nodes")
+
+    def in_groups(dealt: DataFrame, unit, total: int) -> DataFrame:
+        return dealt.withColumn("unit", unit).withColumn("g", F.pmod("unit", F.lit(max(1, -(-total // 4000)))))
+
+    inner = in_groups(rows.join(short, "id"), F.xxhash64("node", "block"), max(1, rows.count()))
+    edges = scratch.keep(inner.groupBy("g").applyInArrow(_within(least), "id binary, root binary").distinct(), "inner_edges")
+    comps = connect(edges, scratch, "inner")
+    large = rows.where("blocks > 1")
+    if large.isEmpty():
+        return comps
+    named = scratch.keep(large.join(comps, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"), "named")
+    sizes = named.groupBy("node", "comp").agg(F.count("*").alias("n"))
+    nodes = sizes.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).where("all > top.n") \
+        .select("node", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / bucket).cast("int").alias("chunks"))
+    open_ = named.join(nodes, "node").join(short, "id")
+    host = open_.select("node", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "comp", "short", F.lit(False).alias("guest"))
+    guest = open_.where("comp <> main").select(
+        "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node", "id"), F.col("chunks")).cast("int").alias("chunk"),
+        "comp", "short", F.lit(True).alias("guest"))
+    dealt = scratch.keep(host.unionByName(guest), "visits")
+    outer = in_groups(dealt, F.xxhash64("node", "block", "chunk"), max(1, dealt.count()))
+    more = scratch.keep(outer.groupBy("g").applyInArrow(_across(least, bucket), "id binary, root binary").distinct(), "outer_edges")
+    return connect(comps.where("id <> root").unionByName(more), scratch, "candidate")
 
 
 def connect(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -200,8 +266,8 @@ def connect(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     k, before = 0, None
     edges = edges.select(F.greatest("id", "root").alias("v"), F.least("id", "root").alias("u"))
     # A node and all its roots belong to the least of these: one edge a node and a few between roots are left.
-    roots = edges.groupBy("v").agg(F.min("u").alias("m"), F.collect_set("u").alias("us"))
-    edges = scratch.keep(roots.select(F.explode(F.concat("us", F.array("v"))).alias("v"), F.col("m").alias("u")).where("v != u").distinct(), f"{name}_first")
+    least = edges.groupBy("v").agg(F.min("u").alias("m"))
+    edges = scratch.keep(edges.join(least, "v").select(F.explode(F.array("v", "u")).alias("v"), F.col("m").alias("u")).where("v != u").distinct(), f"{name}_first")
     while True:
         both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
@@ -311,8 +377,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: flo
         signed.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("copies"), first.alias("first"), F.first("sig").alias("sig"))
         .withColumn("short", _low_bytes(F.col("sig"))), "sets")
     found = leaves(sets, scratch, threshold, recall, bucket, depth)
-    candidate = connect(candidates(found, sets, scratch, threshold, bucket), scratch, "candidate")
-    comps = scratch.keep(candidate.join(sets.select("id", "copies", "first"), "id"), "comps")
+    comps = scratch.keep(candidates(found, sets, scratch, threshold, bucket).join(sets.select("id", "copies", "first"), "id"), "comps")
     sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
     wanted = comps.join(sizes, "root").select(F.col("id").alias("want"), F.col("root").alias("comp"), "size", "copies",
                                               F.col("first.doc_id").alias("d"), F.col("first.th").alias("h"))
@@ -325,7 +390,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: flo
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))) \
         .select(F.col("want").alias("id"), "comp", "size", "copies", "text")
     members = arrow_map(texts, reshingle, "id binary, comp binary, size bigint, copies bigint, shingles binary", rows=256)
-    exact = scratch.keep(_exact(members, threshold, max(1, comps.count())), "exact")
+    exact = scratch.keep(_exact(members, threshold, max(1, comps.count())).groupBy("id", "root").agg(F.sum("links").alias("links")), "exact")
     linked = connect(exact.where("id != root").select("id", "root"), scratch, "linked")
     links = exact.groupBy("id").agg(F.sum("links").alias("links"))
     named = linked.join(sets.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("top"))
