@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import Scratch, arrow_map, table
+from lumenark.llm.common import Scratch, arrow_map, spare_names, table
 from lumenark.llm.shingles import mix, shingle_sets
 
 T = 64
@@ -414,11 +414,12 @@ def _low_bytes(sig):
 
 def first_of_class(docs: DataFrame, **options) -> DataFrame:
     """The documents with one row kept of each class: its least id, and one of repeated rows."""
+    id_, th, own = spare_names(docs, "keep_id", "keep_th", "text_th")
     keep = classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("th").eqNullSafe(F.col("class_th"))) \
-        .select(F.col("doc_id").alias("__keep_id"), F.col("th").alias("__keep_th")).distinct()
-    marked = docs.withColumn("__text_th", F.xxhash64(F.col("text").cast("string")))
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__text_th") == F.col("__keep_th")))
-    return kept.dropDuplicates(["__keep_id", "__keep_th"]).select(*docs.columns)
+        .select(F.col("doc_id").alias(id_), F.col("th").alias(th)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(th)))
+    return kept.dropDuplicates([id_, th]).select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

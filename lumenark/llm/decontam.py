@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenark.llm.common import SEPARATORS, Scratch, row_key, table, words_of
+from lumenark.llm.common import SEPARATORS, Scratch, row_key, spare_names, table, words_of
 
 #: A broadcast of shingle hashes is asked for up to this size of their file (2 million hashes); beyond it they are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -107,9 +107,10 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 13, share: in
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated ones, columns unchanged."""
-    bad = contamination(docs, items, **options).where("contaminated").select(F.col("k1").alias("__bad1"), F.col("k2").alias("__bad2")).distinct()
+    names = spare_names(docs, "bad1", "bad2")
+    bad = contamination(docs, items, **options).where("contaminated").select("k1", "k2").distinct().toDF(*names)
     row = row_key_of(docs)
-    return docs.join(bad, (row[0] == F.col("__bad1")) & (row[1] == F.col("__bad2")), "left_anti")
+    return docs.join(bad, (row[0] == F.col(names[0])) & (row[1] == F.col(names[1])), "left_anti")
 
 
 def row_key_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:

@@ -5,7 +5,7 @@ numbers, and persons after a title. A mention's *canonical form* (digits of a ph
 address in lower case, a family name) names its entity, so that all spellings of an entity get one
 surrogate, each in its own format. A surrogate is drawn from a hash of key, type, form and attempt:
 digits become digits, letters letters of the same script and case, cards keep their Luhn check,
-names come from lists of the title's gender and the name's script, initials become other initials. Surrogates are then checked
+names come from lists of the title's gender and the name's script, or are composed of syllables of it, initials become other initials. Surrogates are then checked
 against each other and against all originals of the type; an entity that collides draws again until
 none does, so distinct entities stay distinct and no surrogate is someone else's original.
 
@@ -27,7 +27,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenark.llm.common import Scratch, table
 
@@ -55,6 +54,12 @@ FAMILY = {
     ("m", "greek"): "Αγγέλου Βλάχος Γεωργίου Δήμου Ζέρβας Κοσμάς Λάμπρου Μάνος Παππάς Ρήγας".split(),
 }
 FAMILY["m", "latin"] = FAMILY["f", "latin"]
+#: Consonants and vowels of composed names, and their endings: given f, given m, family f, family m.
+SYLLABLES = {
+    "latin": ("bcdfghklmnprstvw", "aeiou", ["a", "ia", "ina", "ella"], ["o", "us", "an", "er"], ["son", "man", "ing", "ford"], ["son", "man", "ing", "ford"]),
+    "cyrillic": ("бвгдзклмнпрст", "аеиоу", ["а", "ия", "ина", "ела"], ["ан", "ир", "ей", "ор"], ["ова", "ина", "ева", "енко"], ["ов", "ин", "ев", "енко"]),
+    "greek": ("βγδκλμνπρστφ", "αεηιο", ["α", "η", "ια", "ινα"], ["ος", "ης", "ας", "ων"], ["ου", "ακη", "ιδου", "α"], ["ος", "ακης", "ιδης", "ας"]),
+}
 for _s in ("latin", "cyrillic", "greek"):
     GIVEN["n", _s], FAMILY["n", _s] = GIVEN["f", _s] + GIVEN["m", _s], FAMILY["m", _s]
 #: Letters of each script in either case; a letter of no listed script becomes a Latin one.
@@ -78,17 +83,21 @@ _PARTICLE = rf"(?:(?:{_LEADS}|zum|zur|den|der|des|degli|dei|das|do|la|las|los|le
 _INNER = rf"(?:(?=(?:{_LEADS}){_WS}|[dl]['’])(?:{_PARTICLE})++)?+"
 _PERSON = rf"(?:{_PARTICLE})*+(?:{_INITIAL})*+{_INNER}{_NAME}(?:{_WS}(?:{_INITIAL})*+{_INNER}{_NAME})*+"
 _TOKEN = rf"{_NAME}|{_LETTER}"
-#: Kind and pattern, tried in this order at each place. Look-behinds keep each scan of a run of letters or digits to one.
+#: Kind and pattern, tried in this order at each place; a host name has 127 labels at most. A *bare* run of digits is a
+#: mention only if it is a number that the corpus has as a phone number. Look-behinds keep each scan of a run of letters or digits to one.
 KINDS = [
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,125}\.\p{L}{2,}"),
     ("ip", rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![ .-]?[0-9])"),
     ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
     ("phone", r"(?<![\p{L}\p{N}+])\+[0-9](?:[ .-]?[0-9]){7,13}(?![0-9])"),
+    ("bare", r"(?<![\p{L}\p{N}+.,-])[0-9]{7,13}(?![\p{L}\p{N}]|[.,-][0-9])"),
     ("person", rf"(?<!\p{{L}}){_HEAD}{_PERSON}"),
 ]
+#: Country codes of one digit and of two; all others have three (fixed values of the numbering plan).
+_COUNTRY = r"1|7|20|27|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
 #: What a mention of each kind can begin with, looked at before anything else of its pattern.
 _HEADS = {"email": r"[\p{L}\p{N}._%+-]", "iban": "[A-Z]", "person": f"[{''.join(sorted({t[0] for g in TITLES.values() for t in g}))}]"}
 PATTERN = "|".join(f"(?={_HEADS.get(k, '[0-9(+]')}){p}" for k, p in KINDS)
@@ -139,6 +148,19 @@ def _listed(lists: dict, gender: Column, script: Column, seed: Column) -> Column
     return out
 
 
+def _composed(part: int, gender: Column, script: Column, seed: Column, syllables: Column) -> Column:
+    """A name of so many syllables and an ending of the gender, in the script; ``part`` is 0 for given names, 2 for family names."""
+    def pick(letters, place: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(c) for c in letters]), _draw(seed, place, len(letters)) + 1)
+
+    out = F.lit(None).cast("string")
+    for name, (consonants, vowels, *endings) in SYLLABLES.items():
+        body = F.array_join(F.transform(F.sequence(F.lit(1), syllables), lambda i: F.concat(pick(consonants, 2 * i), pick(vowels, 2 * i + 1))), "")
+        end = F.when(gender == "f", pick(endings[part], F.lit(1))).otherwise(pick(endings[part + 1], F.lit(1)))
+        out = F.when(script == name, F.initcap(F.concat(body, end))).otherwise(out)
+    return out
+
+
 def _script(text: Column) -> Column:
     return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
@@ -155,14 +177,13 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     last = F.when(_luhn(form) % 10 == 0, check).otherwise(F.substring(like, -1, 1))
     at = F.instr(form, "@")
     top = F.substring_index(form, ".", -1)
-    named = F.concat(F.initcap(like), F.when(attempt > 2, grown).otherwise(""))
     return F.when(kind == "email", F.concat(F.substring(like, F.lit(1), at - 1), grown, F.substring(like, at, F.length(form) - F.length(top) - at + 1), top)) \
         .when(kind == "ip", octets) \
         .when(kind == "card", F.concat(body, last)) \
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(like, 2, 8))) \
         .when(kind == "iban", F.concat(F.substring(form, 1, 2), F.substring(like, F.lit(3), F.length(form)))) \
-        .when(kind.startswith("given"), F.when(attempt < 2, _listed(GIVEN, gender, script, seed)).otherwise(named)) \
-        .when(kind.startswith("family"), F.when(attempt < 2, _listed(FAMILY, gender, script, seed)).otherwise(named)) \
+        .when(kind.startswith("given"), F.when(attempt < 1, _listed(GIVEN, gender, script, seed)).otherwise(_composed(0, gender, script, seed, attempt + 1))) \
+        .when(kind.startswith("family"), F.when(attempt < 1, _listed(FAMILY, gender, script, seed)).otherwise(_composed(2, gender, script, seed, attempt + 1))) \
         .otherwise(like)
 
 
@@ -199,10 +220,11 @@ def parts(found: DataFrame) -> DataFrame:
     m = F.col("mention")
     title = F.regexp_extract(m, rf"^(?:{_TITLE})(?!\p{{L}})", 0)
     gender = F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").otherwise("n")
-    phone = digits(m)
+    # The national number: behind the country code where there is one, without the zero that only calls inside a country begin with.
+    phone = F.regexp_replace(F.when(m.startswith("+"), F.regexp_replace(digits(m), rf"^(?:{_COUNTRY})", "")).otherwise(digits(m)), "^0", "")
     form = F.when(F.col("kind") == "email", F.lower(m)).when(F.col("kind") == "ip", m) \
         .when(F.col("kind") == "iban", F.regexp_replace(m, " ", "")) \
-        .when(F.col("kind") == "phone", F.when(F.length(phone) > 10, F.substring(phone, -10, 10)).otherwise(phone)).otherwise(digits(m))
+        .when(F.col("kind").isin("phone", "bare"), phone).otherwise(digits(m))
 
     def entity(part: str, kind: Column, of: Column, word: Column) -> Column:
         return F.struct(F.lit(part).alias("part"), kind.alias("kind"), of.alias("form"), word.alias("word"))
@@ -217,6 +239,23 @@ def parts(found: DataFrame) -> DataFrame:
     return found.select("mention", F.explode(F.when(F.col("kind") == "person", person).otherwise(one)).alias("e")).select("mention", "e.*")
 
 
+def entities_of(pieces: DataFrame, scratch: Scratch) -> DataFrame:
+    """The parts of mentions with the kind of their entity.
+
+    A family name is one entity whatever the title; a given name under a title without gender is the
+    one that the corpus knows under a title with one. A bare number that is no phone number is dropped.
+    """
+    pieces = scratch.keep(pieces, "parts")
+    phones = pieces.where("kind = 'phone'").select("form").distinct()
+    bare = pieces.where("kind = 'bare'").join(phones, "form", "left_semi").withColumn("kind", F.lit("phone")).select(*pieces.columns)
+    whole = pieces.where("part = 'only' AND kind <> 'bare'").unionByName(bare)
+    named = pieces.where("part <> 'only'")
+    gender = F.substring("kind", -1, 1)
+    known = named.groupBy("part", "form").agg(F.min(gender).alias("known"))
+    kind = F.concat_ws(" ", "part", F.when((F.col("part") == "family") | (gender == "n"), F.col("known")).otherwise(gender))
+    return named.join(known, ["part", "form"]).withColumn("kind", kind).select(*pieces.columns).unionByName(whole)
+
+
 def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """Collision-free (kind, form, sur) of distinct entities (kind, form).
 
@@ -229,10 +268,12 @@ def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     taken = scratch.keep(drawn.select(F.col("space").alias("s"), F.lower("form").alias("f")).distinct(), "originals")
     k = 0
     while True:
-        rank = F.row_number().over(Window.partitionBy("space", F.lower("sur")).orderBy("attempt", "kind", "form"))
-        own = taken.select("s", "f", F.lit(True).alias("is_original"))
-        seen = drawn.withColumn("r", rank).join(own, (F.col("space") == F.col("s")) & (F.lower("sur") == F.col("f")), "left")
-        bad = (F.col("r") > 1) | F.col("is_original").isNotNull()
+        # The first to draw a surrogate keeps it unless it is an original: one winner a surrogate, looked up by entity, so a surrogate that many draw meets nowhere.
+        first = F.min(F.struct("attempt", "kind", "form")).alias("first")
+        winners = drawn.groupBy(F.col("space").alias("s"), F.lower("sur").alias("f")).agg(first).join(taken, ["s", "f"], "left_anti")
+        settled = winners.select(F.col("first.kind").alias("kind"), F.col("first.form").alias("form"), F.lit(True).alias("settled"))
+        seen = drawn.join(settled, ["kind", "form"], "left")
+        bad = F.col("settled").isNull()
         again = F.col("attempt") + F.when(bad, 1).otherwise(0)
         seen = seen.select("kind", "form", again.alias("attempt"), "space", F.when(bad, surrogate(F.col("kind"), F.col("form"), again, key)).otherwise(F.col("sur")).alias("sur"), bad.alias("moved"))
         k += 1
@@ -274,7 +315,7 @@ def _renamed(tail: Column, key: str, given: Callable[[Column], Column], family:
 
 def replacements(found: DataFrame, key: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(mention, replacement) of the distinct mentions of a corpus, and (mention, part, gender, form, word, sur) of its persons."""
-    pieces = scratch.keep(parts(kinds_of(found)), "parts")
+    pieces = scratch.keep(entities_of(parts(kinds_of(found)), scratch), "entities")
     drawn = assign(pieces.select("kind", "form").distinct(), key, scratch)
     known = pieces.join(drawn, ["kind", "form"])
     entry = F.when(F.col("part") != "only", F.struct(F.concat_ws(":", "part", "form").alias("key"), F.col("sur").alias("value")))
@@ -333,6 +374,12 @@ def _known(mention: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with every detected entity replaced; ``count_col`` adds the number of mentions replaced."""
+    inner = [f"in{i}" for i in range(len(docs.columns))]  # no name of a caller's column meets one of ours
+    out = _pseudonymised(docs.toDF(*inner), key, inner[docs.columns.index(text_col)], count_col and "count")
+    return out.toDF(*docs.columns, *([count_col] if count_col else []))
+
+
+def _pseudonymised(docs: DataFrame, key: str, text_col: str, count_col: str | None) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "surrogates")
     text = F.col(text_col)
     key1, key2 = F.xxhash64(text), F.hash(F.lit(31), text)
@@ -346,15 +393,20 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     def rewritten_by(pattern: Column, replacement: Callable[[Column], Column]) -> tuple[Column, Column]:
         matches = F.regexp_extract_all(text, pattern, F.lit(0))
         pieces = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.concat(gap, F.when(m.isNull(), "").otherwise(replacement(m))))
-        return F.array_join(pieces, ""), F.size(matches)
+        bare = F.size(F.filter(matches, lambda m: mapped(m).isNull() & m.rlike("^[0-9]+$")))
+        return F.array_join(pieces, ""), F.size(matches) - bare
 
     def mapped(m: Column) -> Column:
         return F.element_at("__map", m)
 
+    def kept(m: Column) -> Column:
+        return F.coalesce(mapped(m), m)
+
     def person(m: Column) -> Column:
-        return F.when(mapped(m).isNull() | m.rlike(rf"^{_NEUTRAL_HEAD}{_PERSON}$"), _known(m, key)).otherwise(mapped(m))
+        bare = mapped(m).isNull() & m.rlike("^[0-9]+$")
+        return F.when(bare, m).when(mapped(m).isNull() | m.rlike(rf"^{_NEUTRAL_HEAD}{_PERSON}$"), _known(m, key)).otherwise(mapped(m))
 
-    plain, named = rewritten_by(F.lit(PATTERN), mapped), rewritten_by(F.col("__pattern"), person)
+    plain, named = rewritten_by(F.lit(PATTERN), kept), rewritten_by(F.col("__pattern"), person)
     new = F.when(F.col("__map").isNull(), text).when(F.col("__pattern").isNull(), plain[0]).otherwise(named[0])
     number = F.when(F.col("__map").isNull(), F.lit(0)).when(F.col("__pattern").isNull(), plain[1]).otherwise(named[1])
     rewritten = joined.select(*[new.alias(text_col) if c == text_col else F.col(c) for c in docs.columns], *([number.alias(count_col)] if count_col else []))
