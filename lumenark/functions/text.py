@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,6 +77,15 @@ def search_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
 
 
+#: Latin letters with marks and the letters without them, from the character database.
+_MARKED = [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for i in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(i))) > 1]
+
+
+def fold_accents(c: Column) -> Column:
+    """Latin letters without their marks."""
+    return F.translate(c, "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
+
+
 def words(c: Column) -> Column:
     """Lower-cased words; combining marks stay with their letter, digits are no words."""
     return F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), F.lit(1))

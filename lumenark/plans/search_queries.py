@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as R
+from ..operators.lexindex import LexicalIndex
+from ..session import shared_dir, stored
 from .registry import query
-from .tables import MOMENTS_SQL, load, moments
+from .tables import MOMENTS_SQL, document_index, load, moment_index, moments
 
 TOK_SQL = """
 tok AS (SELECT id, entity_key, source, weight, text,
@@ -47,7 +51,7 @@ WITH {MOMENTS_SQL}, {TOK_SQL} {bm25_sql(['tion', 'onth', 'the', 'que'])}, {ENTIT
 SELECT entity_key, round(score, 5) AS score, hit_count, n_sources FROM g
 ORDER BY round(score, 5) DESC, entity_key LIMIT 10""")
 def lexical_bm25_groups(spark, sf):
-    hits = R.bm25_scores(moments(spark, sf), ["tion", "onth", "the", "que"])
+    hits = moment_index(spark, sf).scores(["tion", "onth", "the", "que"])
     return (R.entity_scores(hits).withColumn("score", F.round("score", 5))
             .orderBy(F.col("score").desc(), "entity_key").limit(10))
 
@@ -56,9 +60,9 @@ def lexical_bm25_groups(spark, sf):
 WITH {MOMENTS_SQL}, {TOK_SQL} p AS (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM tok)
 SELECT term, count(DISTINCT id) AS df, count(*) AS cf, round(max(1.0 / dl), 6) AS best_share FROM p GROUP BY term""")
 def postings_index(spark, sf):
-    p = R.postings(moments(spark, sf))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"),
-                                 F.round(F.max(1.0 / F.col("dl")), 6).alias("best_share"))
+    p = moment_index(spark, sf).read("postings")
+    return p.groupBy("term").agg(F.sum("n").cast("bigint").alias("df"), F.sum("cf").cast("bigint").alias("cf"),
+                                 F.round(F.max(1.0 / F.col("min_dl")), 6).alias("best_share"))
 
 
 @query("lexical_escalation", f"""
@@ -71,7 +75,60 @@ u AS (SELECT id, 0 AS tier, rk FROM a UNION ALL SELECT id, 1, rk FROM o WHERE (S
 f AS (SELECT id, min(struct_pack(tier := tier, rk := rk)) AS p FROM u GROUP BY id)
 SELECT id, CAST(row_number() OVER (ORDER BY p.tier, p.rk) AS BIGINT) AS rank FROM f""")
 def lexical_escalation(spark, sf):
-    return R.lexical(moments(spark, sf), "the tion enre", limit=50).withColumn("rank", F.col("rank").cast("bigint"))
+    return moment_index(spark, sf).search("the tion enre", limit=50).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _tier(name, inner, where="true"):
+    return f"SELECT '{name}' AS shape, id, CAST(rk AS BIGINT) AS rank FROM (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rk FROM {inner}) AS x WHERE {where}"
+
+
+@query("lexical_tiers", f"""
+WITH {MOMENTS_SQL}, {TOK_SQL}
+{bm25_sql(['tion', 'onth'], every=True, out='s1')},
+{bm25_sql(['zzqx'], prefix='schlic', out='s3')},
+{bm25_sql(['the', 'tion', 'enre'], every=True, out='s2')},
+{bm25_sql(['tion', 'enre'], out='s4')},
+strict AS ({_tier('strict', 's1', 'rk <= 40')}),
+typed AS ({_tier('typed', 's3', 'rk <= 40')}),
+narrow AS ({_tier('widened', 's2', 'rk <= 40')}),
+wide AS ({_tier('widened', 's4', 'rk <= 40 AND (SELECT count(*) FROM narrow) < 1000')}),
+widened AS (SELECT 'widened' AS shape, id, row_number() OVER (ORDER BY tier, rank) AS rank FROM (
+  SELECT id, 0 AS tier, rank FROM narrow UNION ALL SELECT id, 1, rank FROM wide WHERE id NOT IN (SELECT id FROM narrow)) AS u)
+SELECT * FROM strict UNION ALL SELECT * FROM typed UNION ALL SELECT shape, id, CAST(rank AS BIGINT) AS rank FROM widened""")
+def lexical_tiers(spark, sf):
+    """All shapes of a search: every word, every word then any, and a half-typed last word."""
+    index = moment_index(spark, sf)
+    found = [("strict", index.search("tion onth", limit=40, enough=1)), ("widened", index.search("the tion enre", limit=40, enough=1000)),
+             ("typed", index.search("zzqx schlic", limit=40))]
+    out = None
+    for name, df in found:
+        part = df.select(F.lit(name).alias("shape"), "id", F.col("rank").cast("bigint").alias("rank"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("lexical_appended", f"""
+WITH {MOMENTS_SQL}, {TOK_SQL} {bm25_sql(['que', 'the'])}
+SELECT id, round(score, 5) AS score FROM scored""")
+def lexical_appended(spark, sf):
+    """An index grown by three batches, one of them written twice and one overlapping, scores like one of the whole."""
+    index = LexicalIndex(spark, f"{shared_dir(spark).rstrip('/')}/appended-{uuid.uuid4().hex}")
+    rows = moments(spark, sf)
+    for batch, part in ((0, F.col("entity_key") % 3 == 0), (1, F.col("entity_key") % 3 < 2), (1, F.col("entity_key") % 3 < 2), (2, F.lit(True))):
+        index.append(rows.where(part), batch)
+    return index.scores(["que", "the"]).select("id", F.round("score", 5).alias("score"))
+
+
+@query("vocabulary_folded", f"""
+WITH {MOMENTS_SQL}, t AS (SELECT id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS term FROM moments)
+SELECT term, CAST(count(DISTINCT id) AS BIGINT) AS df, count(*) AS cf FROM t WHERE starts_with(term, 'e') GROUP BY term""")
+def vocabulary_folded(spark, sf):
+    """A range of the dictionary of an index that strips accents."""
+    def build(path):
+        LexicalIndex(spark, path, fold=True).append(moments(spark, sf), 0)
+
+    index = LexicalIndex(spark, stored(spark, "moment-index-folded", [f"{sf}/conversations.parquet"], build), fold=True)
+    return index.vocabulary("e").select("term", F.col("df").cast("bigint").alias("df"), F.col("cf").cast("bigint").alias("cf"))
 
 
 @query("like_fallback", """
@@ -79,9 +136,7 @@ SELECT doc_id AS id, CAST(row_number() OVER (ORDER BY w DESC, doc_id) AS BIGINT)
 FROM (SELECT doc_id, CAST(n_chars % 7 AS DOUBLE) AS w FROM documents
       WHERE contains(lower(text), 'tion') OR contains(lower(text), 'schlich') ) QUALIFY rank <= 200""")
 def like_fallback(spark, sf):
-    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text",
-                                               (F.col("n_chars") % 7).cast("double").alias("weight"))
-    return R.like_fallback(docs, "find the tion schlich").withColumn("rank", F.col("rank").cast("bigint"))
+    return document_index(spark, sf).like("find the tion schlich").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("rrf_two_rankings", """
@@ -130,9 +185,8 @@ u AS (SELECT text, 'name' AS kind, 0 AS prio, 0 AS df FROM n
       UNION ALL SELECT text, 'term', 9, df FROM d WHERE text NOT IN (SELECT lower(text) FROM n))
 SELECT text, kind, CAST(df AS BIGINT) AS df FROM u ORDER BY prio, df DESC, text LIMIT 8""")
 def suggest_prefix(spark, sf):
-    d = load(spark, sf, "documents")
-    cards = d.select(F.col("source").alias("creator"))
-    return R.suggest(cards, d.select(F.col("doc_id").alias("id"), "text"), "sr").select("text", "kind", "df")
+    names = load(spark, sf, "documents").groupBy(F.lower("source").alias("text")).agg(F.min("source").alias("shown")).withColumn("prio", F.lit(0))
+    return document_index(spark, sf).suggest("sr", names).select("text", "kind", "df")
 
 
 @query("search_sorts_paging", """

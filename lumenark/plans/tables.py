@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lexindex import LexicalIndex
+from ..session import stored
+
 EPOCH = "1970-01-01 00:00:00"
 
 
@@ -69,6 +72,23 @@ moments AS (
 )"""
 
 
+def moment_index(spark: SparkSession, sf: str) -> LexicalIndex:
+    """The stored inverted index of the moments, written by the first query that needs it."""
+    def build(path: str) -> None:
+        LexicalIndex(spark, path).append(moments(spark, sf), 0)
+
+    return LexicalIndex(spark, stored(spark, "moment-index", [f"{sf}/conversations.parquet"], build))
+
+
+def document_index(spark: SparkSession, sf: str) -> LexicalIndex:
+    """The same of the documents, weighted by a digit of their length."""
+    def build(path: str) -> None:
+        docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("n_chars") % 7).cast("double").alias("weight"), "source")
+        LexicalIndex(spark, path).append(docs, 0)
+
+    return LexicalIndex(spark, stored(spark, "document-index", [f"{sf}/documents.parquet"], build))
+
+
 def order_slots(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem as intervals on its order's timeline: line n covers [3n, 3n + quantity/10)."""
     return load(spark, sf, "lineitem").select(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +59,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[str], None]) -> str:
+    """Folder of a derived table set, built once for each state of the files it derives from.
+
+    ``build(folder)`` writes it. The folder's name carries names, sizes and times of the input files, so
+    changed input gives another one; it appears by a rename when whole, so readers never see half of it.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    seen = []
+    for path in inputs:
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(conf).listFiles(root, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    digest = hashlib.sha256("\n".join([name, *sorted(seen)]).encode()).hexdigest()[:24]
+    final = f"{shared_dir(spark).rstrip('/')}/{name}-{digest}"
+    target = jvm.org.apache.hadoop.fs.Path(final)
+    fs = target.getFileSystem(conf)
+    if not fs.exists(target):
+        part = f"{final}-{uuid.uuid4().hex}"
+        build(part)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(part), target) and not fs.exists(target):
+            raise OSError(f"could not move {part} to {final}")
+    return final
