@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its ``depth`` nearest pivots in order. Every vector is posted in the
-inverted files of these pivots with its rank there. A query runs through the files of its own nearest
-pivots and adds up, for each posting met, how far the two ranks lie inside the depth; a pivot missing
+inverted files of these pivots with its rank there. A query runs through the files of its own ``visits``
+nearest pivots and adds up, for each posting met, how far the two ranks lie inside the depth; a pivot missing
 on one side counts as ranked at ``depth``. That sum tells directions apart; how far it lies above the
 block's mean, times the vector's length, stands for the inner product, and the ``share`` of the
 vectors where it is largest is ranked again by the exact inner product in double precision.
@@ -12,8 +12,8 @@ block holds the inverted files of its own vectors. Query blocks meet index block
 bounded task that returns the best of every query; the merge ranks these few rows a query.
 
 Pivots are chosen from at most ``sample`` vectors (those of least hash), each next one farthest from
-those before, so that a crowded spot gives one pivot. Every vector is indexed. Measured recall at 20
-with the defaults is in the README.
+those before, so that a crowded spot gives one pivot. Every vector is indexed. How large a share has to
+be ranked exactly is measured on some of the queries against all rows. Recall is in the README.
 
 Defined results. Vectors that are NULL, zero, hold a NULL or non-finite component, or have another
 number of components than most, take no part, nor do rows without an id. Rows that share an id are
@@ -103,13 +103,50 @@ class InvertedFiles:
         return out
 
 
-def search(index: DataFrame, queries: DataFrame, n_pivots: int, top: int, share: float, block: int, query_block: int) -> DataFrame:
+def _blocked(index: DataFrame, block: int) -> tuple[Column, int]:
+    blocks = max(1, -(-index.count() // block))
+    return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), blocks
+
+
+def needed_share(index: DataFrame, queries: DataFrame, n_pivots: int, visits: int, top: int, block: int, recall: float, trials: int) -> float:
+    """The share of each block that holds ``recall`` of the true neighbours of ``trials`` queries, those of least hash.
+
+    Every row of the index is compared with them exactly, which is work in proportion to the rows.
+    """
+    import pyarrow as pa
+
+    asked = queries.orderBy(F.xxhash64(F.lit(13), "id"), "id").limit(trials).select("id", "v", "perm").toArrow()
+    if not asked.num_rows:
+        return 1.0
+    ids, vectors, perms = asked.column("id").to_pylist(), _matrix(asked.column("v")), _perms(asked)
+    here, _ = _blocked(index, block)
+
+    def place(t):
+        v, mine = _matrix(t.column("v")), t.column("id").to_numpy()
+        files, length = InvertedFiles(_perms(t), n_pivots), np.sqrt((v * v).sum(axis=1))
+        out = []
+        for query, q, perm in zip(ids, vectors, perms):
+            nearness = files.nearness(perm[:visits])
+            order = (nearness - nearness.mean()) * length
+            score = np.where(mine == query, -np.inf, v @ q)
+            best = np.argsort(-score, kind="stable")[:top]
+            best = best[np.isfinite(score[best])]
+            at = np.searchsorted(np.sort(-order), -order[best], side="right") / len(mine)
+            out.append((np.full(len(best), query), score[best], at))
+        return pa.table([np.concatenate(c) for c in zip(*out)], names=["query_id", "score", "at"])
+
+    found = index.groupBy(here.alias("b")).applyInArrow(place, "query_id bigint, score double, at double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    needed = found.withColumn("r", rank).where(F.col("r") <= top).agg(F.percentile("at", recall)).first()[0]
+    return 1.0 if needed is None else min(1.0, 1.1 * needed)
+
+
+def search(index: DataFrame, queries: DataFrame, n_pivots: int, visits: int, top: int, share: float, block: int, query_block: int) -> DataFrame:
     """The best ``top`` of each query (id, v, perm): (query_id, vec_id, score, rank)."""
     import pyarrow as pa
 
-    blocks = max(1, -(-index.count() // block))
+    here, blocks = _blocked(index, block)
     query_blocks = max(1, -(-queries.count() // query_block))
-    here = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     there = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(query_blocks)).cast("int")
     left = index.select(here.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), "id", "v", "perm")
     right = queries.select(there.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "id", "v", "perm")
@@ -124,7 +161,7 @@ def search(index: DataFrame, queries: DataFrame, n_pivots: int, top: int, share:
         keep = min(len(ids), max(10 * top, int(np.ceil(share * len(ids)))) + 1)
         out = []
         for query, q, perm in zip(asked.column("id").to_pylist(), _matrix(asked.column("v")), _perms(asked)):
-            order = files.nearness(perm)
+            order = files.nearness(perm[:visits])
             order = (order - order.mean()) * length
             least = np.partition(order, len(ids) - keep)[len(ids) - keep]
             above = np.flatnonzero(order > least)
@@ -144,12 +181,14 @@ def _perms(t) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("perm").to_pylist()), dtype=np.int16).reshape(t.num_rows, -1)
 
 
-def nearest(vectors: DataFrame, asks: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 128, depth: int = 64,
-            share: float = 0.2, sample: int = 4096, block: int = 16_384, query_block: int = 256) -> DataFrame:
+def nearest(vectors: DataFrame, asks: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 1024, depth: int = 128, visits: int = 64,
+            share: float | None = None, recall: float = 0.97, trials: int = 32, sample: int = 4096, block: int = 16_384, query_block: int = 1024) -> DataFrame:
     """For every vector whose ``id`` satisfies ``asks``, its ``top`` nearest others by inner product.
 
     ``share`` is the part of the index ranked exactly for a query, at least ten times ``top`` of each
-    block: higher is slower and finds more.
+    block: higher is slower and finds more. Without one it is what ``recall`` took for ``trials`` of the
+    queries, measured on all rows, so it grows with the dimension as far as the vectors call for it.
+    ``visits`` is how many of its nearest pivots' files a query reads.
     """
     scratch = Scratch(vectors.sparkSession, "pivots")
     rows = scratch.keep(usable(vectors, id_col, vector_col), "rows")
@@ -159,7 +198,9 @@ def nearest(vectors: DataFrame, asks: Column, top: int = 20, id_col: str = "vec_
     rows = rows.where(F.size("v") == sizes["d"])
     found = choose_pivots(rows, pivots, sample)
     index = scratch.keep(build(rows, found, min(depth, len(found))), "index")
-    return search(index, index.where(asks), len(found), top, share, block, query_block)
+    if share is None:
+        share = needed_share(index, index.where(asks), len(found), visits, top, block, recall, trials)
+    return search(index, index.where(asks), len(found), visits, top, share, block, query_block)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
