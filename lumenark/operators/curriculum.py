@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,22 +49,21 @@ def concepts(members: DataFrame, labels: DataFrame, weights: DataFrame | None =
 def prerequisites(members: DataFrame, kept: DataFrame) -> DataFrame:
     """(src, dst, shared, p_forward, p_back, strength): what is seen before what.
 
-    Entities are first reduced to their distinct concept sets with a count (map-side
-    combined), then each set adds its bits to one row of counters per concept: as many
-    sums per row as there are concepts in the plan, no entity ever meets another and no
-    pairs are emitted. ``kept`` is the plan, as many rows as its reader asked for.
+    Entities are first reduced to their distinct sets of the plan's concepts with a count
+    (map-side combined), so no entity ever meets another. Each distinct set then counts, once for
+    each of its concepts, the rarer ones beside it: sparse counters, combined before they are
+    shuffled. ``kept`` is the plan, as many rows as its reader asked for; it is written first,
+    since four places read it.
     """
     w = Window.orderBy(F.col("videos").desc(), "concept")
+    kept = cut_lineage(kept.select("concept", "videos"))
     ranked = kept.select("concept", "videos", (F.row_number().over(w) - 1).alias("i"))
-    breadth = kept.count()
     own = members.join(ranked.select("concept", "i"), "concept")
     sets = own.groupBy("entity_key").agg(F.array_sort(F.collect_set("i")).alias("s"))
     patterns = sets.groupBy("s").agg(F.count("*").alias("n"))
-    rows = patterns.select("s", "n", F.explode("s").alias("a"))
-    counters = F.transform(F.sequence(F.lit(0), F.lit(max(breadth - 1, 0))), lambda j: F.array_contains("s", j).cast("double") * F.col("n"))
-    flat = rows.select("a", array_to_vector(counters).alias("c"))
-    sums = flat.groupBy("a").agg(Summarizer.sum(F.col("c")).alias("c"))
-    pairs = sums.select("a", F.posexplode(vector_to_array("c")).alias("b", "shared")).withColumn("shared", F.round("shared").cast("bigint"))
+    rows = patterns.select("s", "n", F.posexplode("s").alias("at", "a"))
+    rarer = rows.select("a", "n", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("b"))
+    pairs = rarer.groupBy("a", "b").agg(F.sum("n").alias("shared"))
     A = ranked.select(F.col("i").alias("a"), F.col("concept").alias("src"), F.col("videos").alias("na"))
     B = ranked.select(F.col("i").alias("b"), F.col("concept").alias("dst"), F.col("videos").alias("nb"))
     e = (pairs.filter(F.col("shared") >= MIN_SHARED).join(A, "a").join(B, "b")

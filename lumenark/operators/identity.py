@@ -201,6 +201,16 @@ def absorb(state: DataFrame, keys: DataFrame, arrived: DataFrame) -> tuple[DataF
     return learn(old.unionByName(new), every)
 
 
+def learned(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(aliases, conflicts) of the witnesses that ``learn_stream`` has written, over all batches.
+
+    Pairs are merged by strength, whatever batch brought them first, so the map is that of learning from
+    everything at once: an entity that arrives late makes earlier witnesses of it count.
+    """
+    own = pairs.filter((F.col("kind") == "self") & (F.col("alias") == F.col("entity_key")))
+    return learn(pairs.select("alias", "entity_key", "kind", "prio"), own.select("entity_key"))
+
+
 def forget(aliases: DataFrame, alias: str) -> DataFrame:
     return aliases.filter((F.col("alias") != alias) | (F.col("kind") == "self"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import identity as I
 from ..operators import merge as M
+from ..session import shared_dir
+from ..streaming import pipelines as St
 from .registry import query
 from .tables import EVENTS_TIMED_SQL, SLOTS_SQL, events_timed, load, order_slots
 
@@ -46,10 +50,12 @@ per AS (SELECT alias, entity_key, min(prio) AS prio FROM cand GROUP BY ALL),
 won AS (SELECT * FROM per QUALIFY row_number() OVER (PARTITION BY alias ORDER BY prio, entity_key) = 1)"""
 
 
+def arrival_candidates(spark, sf):
+    return I.candidates_from_entities(entities(spark, sf)).unionByName(I.candidates_from_messages(messages(spark, sf)))
+
+
 def alias_map(spark, sf):
-    e = entities(spark, sf)
-    cand = I.candidates_from_entities(e).unionByName(I.candidates_from_messages(messages(spark, sf)))
-    return I.learn(cand, e)
+    return I.learn(arrival_candidates(spark, sf), entities(spark, sf))
 
 
 @query("alias_map", f"WITH {CAND_SQL} SELECT alias, entity_key, prio FROM won")
@@ -206,6 +212,19 @@ def identity_absorb(spark, sf):
     return I.absorb(alias_map(spark, sf)[0], entities(spark, sf), s)[0].select("alias", "entity_key")
 
 
+@query("identity_arrivals", f"WITH {CAND_SQL} SELECT alias, entity_key, prio FROM won")
+def identity_arrivals(spark, sf):
+    """Identity fed by a stream in two arrivals, the witnesses of some entities before the entities: equal to learning at once."""
+    path = f"{shared_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex[:12]}"
+    every = arrival_candidates(spark, sf)
+    early = F.pmod(F.xxhash64("alias", "entity_key"), F.lit(3)) == 0
+    for n, part in enumerate((every.where(early), every.where(~early))):
+        part.write.parquet(f"{path}/in/arrival={n}")
+        stream = spark.readStream.schema(every.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        St.learn_stream(stream, f"{path}/out", f"{path}/cp")
+    return I.learned(spark.read.parquet(f"{path}/out"))[0].select("alias", "entity_key", "prio")
+
+
 @query("key_shapes", """
 SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'up_' || o_custkey WHEN 1 THEN 'tg' || o_custkey WHEN 2 THEN CAST(o_custkey AS VARCHAR) WHEN 3 THEN 'Short' || o_custkey ELSE 'a b' END AS k,
        o_orderkey % 5 IN (0, 3) AS canonical, CASE WHEN o_orderkey % 5 IN (0, 1, 2) THEN o_custkey ELSE 0 END AS message FROM orders""")

@@ -26,11 +26,21 @@ def classify(name: Column) -> Column:
             .when(low.rlike(r"\.(zst|part\d+|db)$"), "bundle").otherwise("uninteresting"))
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Everything that has arrived, then stop; the cursor only moves with a finished batch."""
-    q = (stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> list[dict]:
+    """Everything that has arrived, then stop; the cursor only moves with a finished batch. Returns the progress of each batch.
+
+    State is kept in RocksDB, so it may exceed an executor's memory and a checkpoint holds what changed.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKSDB)
+    try:
+        q = (stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    finally:
+        conf.set(name, before)
     q.awaitTermination()
+    return [p for p in q.recentProgress if p["numInputRows"]]
 
 
 def debounced(stream: DataFrame, rebuild: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 45):
@@ -39,26 +49,29 @@ def debounced(stream: DataFrame, rebuild: Callable[[DataFrame, int], None], chec
             .trigger(processingTime=f"{seconds} seconds").start())
 
 
-def ingest_once(stream: DataFrame, target: str, keys: list[str], checkpoint: str) -> None:
-    """Append each key once: a replayed batch finds its rows already there.
+def ingest_once(stream: DataFrame, target: str, keys: list[str], checkpoint: str, within: tuple[str, str] | None = None) -> list[dict]:
+    """Append each key once: a replayed row finds its key already there. Returns the progress of each batch.
 
-    Every batch lands in its own folder of the target (a retried batch overwrites its own),
-    and is compared with the earlier folders only.
+    The keys seen are the stream's own state, dealt by key: a batch looks up its own keys and reads
+    nothing that it wrote before, however long the past is. Every batch lands in its own folder of the
+    target, so a batch that was lost half way overwrites itself. ``within`` (time column, delay)
+    forgets keys older than the delay, where replays cannot come later. NULL is a key like any other.
     """
-    def each(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        earlier = [f"{target}/batch={i:08d}" for i in range(n)]
-        have = [p for p in earlier if _exists(spark, p)]
-        base = spark.read.parquet(*have) if have else spark.createDataFrame([], batch.schema)
-        fresh = insert_or_ignore(base.limit(0), batch.join(base.select(*keys), keys, "left_anti"), keys)
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={n:08d}")
+    if within is None:
+        fresh = stream.dropDuplicates(keys)
+    else:
+        fresh = stream.withWatermark(*within).dropDuplicatesWithinWatermark(keys)
+    return run_available(fresh, lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch={n:08d}"), checkpoint)
 
-    run_available(stream, each, checkpoint)
 
+def learn_stream(candidates: DataFrame, target: str, checkpoint: str) -> list[dict]:
+    """Keeps the strongest witness of every (alias, entity_key) of a stream of candidates; see ``identity.learned``.
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    The state is one row a pair, and a batch writes the pairs whose witness it changed.
+    """
+    per = candidates.filter(F.trim("alias") != "").groupBy("alias", "entity_key").agg(F.min(F.struct("prio", "kind")).alias("w"))
+    rows = per.select("alias", "entity_key", "w.prio", "w.kind")
+    return run_available(rows, lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch={n:08d}"), checkpoint, mode="update")
 
 
 def enrich_late(base: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
