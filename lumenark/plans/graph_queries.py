@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import curriculum as C
 from ..operators import graph as G
+from ..operators.graphstore import StoredGraph
+from ..session import shared_dir, stored
 from .registry import query
 from .tables import load
 
@@ -30,7 +34,23 @@ def attr_part(spark, sf):
 
 
 def graph(spark, sf):
-    return G.build(cards(spark, sf), fk_part(spark, sf), attr_part(spark, sf))
+    """The stored graph, written by the first query that needs it."""
+    def build(path):
+        StoredGraph(spark, path).append(*G.build(cards(spark, sf), fk_part(spark, sf), attr_part(spark, sf)), 0)
+
+    return StoredGraph(spark, stored(spark, "graph", [f"{sf}/{t}.parquet" for t in ("customer", "nation", "orders")], build))
+
+
+def part_links(spark, sf):
+    """Customers and the parts they ordered, stored."""
+    def build(path):
+        o = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+        li = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+        edges = o.join(li, "o_orderkey").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"),
+                                                F.lit("ordered").alias("rel"), F.lit(1.0).alias("weight"), F.lit("lineitem|l_partkey").alias("ref"))
+        StoredGraph(spark, path).append(None, edges, 0)
+
+    return StoredGraph(spark, stored(spark, "part-links", [f"{sf}/{t}.parquet" for t in ("orders", "lineitem")], build))
 
 
 GRAPH_SQL = """
@@ -60,7 +80,7 @@ def attr_graph(spark, sf):
 
 @query("graph_nodes", f"WITH {GRAPH_SQL} SELECT id, kind, label, sub, weight FROM nodes")
 def graph_nodes(spark, sf):
-    return graph(spark, sf)[0].drop("meta")
+    return graph(spark, sf).nodes().drop("meta")
 
 
 @query("tag_graph", """
@@ -92,8 +112,7 @@ f AS (SELECT dst AS id, rel, weight FROM edges WHERE src = 'd:nation:7' UNION AL
 SELECT f.id, f.rel, CAST(f.weight AS DOUBLE) AS weight, n.kind, (SELECT count(*) FROM f) AS total FROM f JOIN nodes n USING (id)
 ORDER BY f.weight DESC, f.id, f.rel LIMIT 60""")
 def graph_neighbors(spark, sf):
-    nodes, edges = graph(spark, sf)
-    ring, _, total = G.neighbors(nodes, edges, "d:nation:7")
+    ring, _, total = graph(spark, sf).neighbors("d:nation:7")
     return ring.withColumn("total", total.select("total").scalar()).select("id", "rel", "weight", "kind", "total")
 
 
@@ -104,7 +123,26 @@ l AS (SELECT src FROM edges JOIN h ON h.id = dst QUALIFY row_number() OVER (PART
 i AS (SELECT id FROM h UNION SELECT src FROM l)
 SELECT src, dst, rel FROM edges WHERE src IN (SELECT id FROM i) AND dst IN (SELECT id FROM i)""")
 def graph_hubs(spark, sf):
-    return G.overview(*graph(spark, sf))[2].select("src", "dst", "rel")
+    return graph(spark, sf).overview()[2].select("src", "dst", "rel")
+
+
+@query("graph_deltas", """
+WITH e AS (SELECT 'c' || o_custkey AS src, 's' || o_orderstatus AS dst, count(*) AS n, CAST(sum(floor(o_totalprice)) AS DOUBLE) AS w, min(CAST(o_orderkey AS VARCHAR)) AS ref FROM orders GROUP BY ALL),
+d AS (SELECT id, sum(w) AS degree FROM (SELECT src AS id, w FROM e UNION ALL SELECT dst, w FROM e) GROUP BY id)
+SELECT src, dst, w AS weight, ref, d.degree FROM e JOIN d ON d.id = e.src""")
+def graph_deltas(spark, sf):
+    """Edges that arrive in three batches, one written twice: weights and degrees add up over them."""
+    store = StoredGraph(spark, f"{shared_dir(spark).rstrip('/')}/deltas-{uuid.uuid4().hex}")
+    o = load(spark, sf, "orders")
+    edges = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "o_orderstatus").alias("dst"), F.lit("status").alias("rel"),
+                     F.floor("o_totalprice").cast("double").alias("weight"), F.col("o_orderkey").cast("string").alias("ref"), (F.col("o_orderkey") % 3).alias("part"))
+    for batch in (0, 1, 1, 2):
+        part = edges.where(F.col("part") == batch)
+        ids = part.select(F.col("src").alias("id")).distinct()
+        nodes = ids.select("id", F.lit("customer").alias("kind"), F.col("id").alias("label"), F.lit("").alias("sub"), F.lit(None).cast("map<string,string>").alias("meta"))
+        store.append(nodes, part.drop("part"), batch)
+    degree = store.nodes().select(F.col("id").alias("src"), F.col("weight").alias("degree"))
+    return store.edges().select("src", "dst", "weight", "ref").join(degree, "src")
 
 
 @query("graph_find", f"""
@@ -112,7 +150,7 @@ WITH {GRAPH_SQL}
 SELECT id, kind, label, weight FROM nodes WHERE contains(lower(label), 'nation_1') OR (kind = 'attr' AND contains(lower(sub), 'nation_1'))
 ORDER BY CASE WHEN starts_with(lower(label), 'nation_1') THEN 0 ELSE 1 END, weight DESC, id LIMIT 30""")
 def graph_find(spark, sf):
-    return G.find(graph(spark, sf)[0], "nation_1").select("id", "kind", "label", "weight")
+    return G.find(graph(spark, sf).nodes(), "nation_1").select("id", "kind", "label", "weight")
 
 
 @query("graph_from_keys", f"""
@@ -124,12 +162,12 @@ SELECT src, dst, rel FROM edges WHERE src IN (SELECT id FROM i) AND dst IN (SELE
 def graph_from_keys(spark, sf):
     keys = (load(spark, sf, "customer").orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(24)
             .select(F.col("c_custkey").alias("entity_key")))
-    return G.from_keys(*graph(spark, sf), keys)[1].select("src", "dst", "rel")
+    return graph(spark, sf).from_keys(keys)[1].select("src", "dst", "rel")
 
 
 @query("graph_counts", f"WITH {GRAPH_SQL} SELECT kind, sub, count(*) AS n FROM nodes GROUP BY ALL")
 def graph_counts(spark, sf):
-    return G.counts(graph(spark, sf)[0])
+    return G.counts(graph(spark, sf).nodes())
 
 
 @query("graph_node_detail", """
@@ -142,7 +180,7 @@ def graph_node_detail(spark, sf):
 @query("graph_edge_detail", """
 SELECT o_orderkey, o_orderpriority AS value FROM orders WHERE o_custkey = 42 AND contains(lower(o_orderpriority), '1-urgent')""")
 def graph_edge_detail(spark, sf):
-    nodes, edges = graph(spark, sf)
+    edges = graph(spark, sf).links("v:42").where("forward").withColumnsRenamed({"anchor": "src", "other": "dst"})
     o = load(spark, sf, "orders").withColumn("value", F.col("o_orderpriority"))
     found = G.edge_provenance(edges, "v:42", "a:orders.priority:1-urgent", "priority", {"orders": (o, "o_custkey")})
     return (o.limit(0) if found is None else found).select("o_orderkey", "value")
@@ -165,10 +203,7 @@ e AS (SELECT DISTINCT a, b FROM l UNION SELECT b, a FROM l),
 walk AS (SELECT 'c0' AS id, 0 AS d UNION SELECT e.b, d + 1 FROM walk JOIN e ON e.a = walk.id WHERE d < 4)
 SELECT min(d) AS steps FROM walk WHERE id = 'c1'""")
 def graph_shortest_path(spark, sf):
-    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    li = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
-    edges = o.join(li, "o_orderkey").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
-    path = G.shortest_path(edges, "c0", "c1")
+    path = part_links(spark, sf).shortest_path("c0", "c1")
     return path.agg((F.count("*") - 1).cast("int").alias("steps"))
 
 
@@ -296,4 +331,4 @@ def goal_scope(spark, sf):
 @query("suggest_goals", f"""
 WITH {GRAPH_SQL} SELECT id, label FROM nodes WHERE kind = 'attr' ORDER BY weight DESC, label, id LIMIT 14""")
 def suggest_goals(spark, sf):
-    return C.suggest_goals(graph(spark, sf)[0]).select("id", "label")
+    return C.suggest_goals(graph(spark, sf).nodes()).select("id", "label")
