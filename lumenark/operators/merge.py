@@ -93,18 +93,30 @@ def time_link(rows: DataFrame, intervals: DataFrame, key: str = "entity_key", st
             .withColumn(start, F.coalesce(start, "__s0")).withColumn(end, F.col("__e")).drop("__s0", "__s1", "__e"))
 
 
+def interval_cells(intervals: DataFrame, t0: str, t1: str, cell_seconds: float) -> DataFrame:
+    """Intervals with ``__class`` and ``__cell``: two rows an interval at most, however long it is.
+
+    An interval of class c is no longer than a cell of its class, which is ``cell_seconds * 2 ** c`` wide.
+    """
+    length = (F.col(t1) - F.col(t0)) / F.lit(float(cell_seconds))
+    classed = intervals.filter(F.col(t1) > F.col(t0)).withColumn("__class", F.greatest(F.ceil(F.log2(length)), F.lit(0)).cast("int"))
+    width = F.lit(float(cell_seconds)) * F.pow(F.lit(2.0), F.col("__class"))
+    return classed.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(t0) / width), F.floor(F.col(t1) / width))))
+
+
 def intervals_containing(points: DataFrame, intervals: DataFrame, key: str, t: str, t0: str = "t0", t1: str = "t1",
                          cell_seconds: float = 60.0) -> DataFrame:
-    """Every (point, interval) pair with t0 <= t < t1, met through time cells of one key.
+    """Every (point, interval) pair with t0 <= t < t1, met through time cells of one key, of doubling width by interval length.
 
-    A point meets only the intervals of its own cell, so neither a hot key nor a long
-    timeline turns into all pairs.
+    A point probes one cell of each class that the intervals have (some tens at most, whatever their
+    lengths) and meets only the intervals there, so neither a hot key nor a long timeline nor a
+    long interval turns into many rows.
     """
-    cell = F.lit(float(cell_seconds))
-    wide = intervals.filter(F.col(t1) > F.col(t0)).withColumn(
-        "__cell", F.explode(F.sequence(F.floor(F.col(t0) / cell), F.floor(F.col(t1) / cell))))
-    p = points.withColumn("__cell", F.floor(F.col(t) / cell))
-    return p.join(wide, [key, "__cell"]).filter((F.col(t) >= F.col(t0)) & (F.col(t) < F.col(t1))).drop("__cell")
+    wide = interval_cells(intervals, t0, t1, cell_seconds)
+    classes = wide.agg(F.array_sort(F.collect_set("__class"))).scalar()
+    width = F.lit(float(cell_seconds)) * F.pow(F.lit(2.0), F.col("__class"))
+    p = points.withColumn("__class", F.explode(classes)).withColumn("__cell", F.floor(F.col(t) / width))
+    return p.join(wide, [key, "__class", "__cell"]).filter((F.col(t) >= F.col(t0)) & (F.col(t) < F.col(t1))).drop("__class", "__cell")
 
 
 def interval_at(points: DataFrame, intervals: DataFrame, key: str, t: str, point_id: Sequence[str], idx: str = "idx",
