@@ -160,10 +160,13 @@ class LexicalIndex:
             score = score + M.bm25_term(F.col(f"tf{i}"), F.lit(corpus[f"df{i}"]), n, F.col("dl"), avgdl)
         return score
 
-    def _scored(self, lists: DataFrame, probes: Sequence[tuple[str, bool]], corpus: Row, require_all: bool, within: Column | None) -> DataFrame:
+    def _scored(self, lists: DataFrame, probes: Sequence[tuple[str, bool]], corpus: Row, require_all: bool, within: Column | None,
+                among: DataFrame | None = None) -> DataFrame:
         rows = lists.select("probe", F.explode("posts").alias("p")).select("probe", *[F.col(f"p.{c}").alias(c) for c in _POSTING])
         if within is not None:
             rows = rows.where(within)
+        if among is not None:
+            rows = rows.join(among, "entity_key", "left_semi")
         tfs = [F.coalesce(F.sum(F.when(F.col("probe") == i, F.col("tf"))), F.lit(0)).cast("double").alias(f"tf{i}") for i in range(len(probes))]
         hits = rows.groupBy("id").agg(*tfs, *[F.first(c).alias(c) for c in ("dl", "weight", "entity_key", "source")])
         if require_all:
@@ -172,10 +175,11 @@ class LexicalIndex:
         return hits.select("id", "entity_key", "source", "weight", self._bm25(probes, corpus).alias("bm25")) \
             .withColumn("score", F.col("bm25") * F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.05)))
 
-    def scores(self, terms: Sequence[str], prefix: str | None = None, require_all: bool = False, within: Column | None = None) -> DataFrame:
-        """(id, entity_key, source, weight, bm25, score) of every passage that matches; ``within`` reads the attributes only."""
+    def scores(self, terms: Sequence[str], prefix: str | None = None, require_all: bool = False, within: Column | None = None,
+               among: DataFrame | None = None) -> DataFrame:
+        """(id, entity_key, source, weight, bm25, score) of every passage that matches; ``within`` (attributes only) and ``among`` (entity_key) narrow them."""
         probes = self.probes(terms, prefix)
-        return self._scored(self._lists(probes), probes, self._corpus(probes), require_all, within)
+        return self._scored(self._lists(probes), probes, self._corpus(probes), require_all, within, among)
 
     def bounds(self, probes: Sequence[tuple[str, bool]], corpus: Row | None = None) -> DataFrame:
         """(block, bound): no passage of a block scores higher; of the postings only the bounds are read."""
@@ -186,22 +190,32 @@ class LexicalIndex:
             F.min("dl").alias("dl"), F.max("weight").alias("weight"))
         return wide.select("block", (self._bm25(probes, corpus) * F.col("weight")).alias("bound"))
 
-    def best(self, terms: Sequence[str], limit: int, prefix: str | None = None, require_all: bool = False, within: Column | None = None) -> DataFrame:
+    def best(self, terms: Sequence[str], limit: int, prefix: str | None = None, require_all: bool = False, within: Column | None = None,
+             among: DataFrame | None = None) -> DataFrame:
         """The ``limit`` best rows of ``scores`` with a ``rank``, ties by id; blocks that cannot hold one are not opened."""
         probes = self.probes(terms, prefix)
         lists, corpus = self._lists(probes), self._corpus(probes)
         if corpus["n"] > SEEDS * BLOCK:  # else the first blocks to score are all blocks
             bounds = self.bounds(probes, corpus)
             first = bounds.orderBy(F.col("bound").desc(), "block").limit(SEEDS).select("block")
-            seeds = self._scored(lists.join(first, "block", "left_semi"), probes, corpus, require_all, within).select("score").orderBy(F.col("score").desc()).limit(limit)
+            seeds = self._scored(lists.join(first, "block", "left_semi"), probes, corpus, require_all, within, among).select("score").orderBy(F.col("score").desc()).limit(limit)
             least = seeds.agg(F.when(F.count("*") == limit, F.min("score"))).first()[0] or 0.0
             # A margin of one unit in the last digit of the order below.
             lists = lists.join(bounds.where(F.col("bound") >= least - 1e-8).select("block"), "block", "left_semi")
-        found = self._scored(lists, probes, corpus, require_all, within)
+        found = self._scored(lists, probes, corpus, require_all, within, among)
         kept = found.withColumn("o", F.round("score", 9)).orderBy(F.col("o").desc(), "id").limit(limit)
         return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.col("o").desc(), "id"))).drop("o")
 
-    def search(self, query: str, limit: int = 200, enough: int = 8, within: Column | None = None) -> DataFrame:
+    def matches(self, query: str, within: Column | None = None, among: DataFrame | None = None) -> DataFrame:
+        """(id, entity_key, source) of every passage that has any content word of the query, or its half-typed last word if none has."""
+        terms, _ = T.query_terms(query, "or")
+        found = self.scores(terms, within=within, among=among)
+        if not terms or not found.isEmpty():
+            return found.select("id", "entity_key", "source")
+        head, prefix = T.query_terms(query, "prefix")
+        return self.scores(head, prefix, within=within, among=among).select("id", "entity_key", "source")
+
+    def search(self, query: str, limit: int = 200, enough: int = 8, within: Column | None = None, among: DataFrame | None = None) -> DataFrame:
         """(id, rank): passages with all words; fewer than ``enough`` are followed by those with any, none at all by prefix matches.
 
         A wider shape is only run if the one before it left too few; at most ``limit`` ids are handed on between them.
@@ -213,7 +227,7 @@ class LexicalIndex:
         kept: list = []
         for mode, every in shapes:
             terms, prefix = T.query_terms(query, mode)
-            ids = [r["id"] for r in self.best(terms, limit, prefix, every, within).select("id", "rank").orderBy("rank").collect()]
+            ids = [r["id"] for r in self.best(terms, limit, prefix, every, within, among).select("id", "rank").orderBy("rank").collect()]
             seen = set(kept)
             kept += [i for i in ids if i not in seen]
             if len(ids) >= enough or (mode != "and" and kept):

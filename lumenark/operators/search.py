@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths as M
 from ..functions import text as T
+from .lexindex import LexicalIndex
 
 CANDIDATES = 200
 
@@ -240,19 +241,23 @@ class SearchResult:
 def hybrid(moments: DataFrame, cards: DataFrame, query: str, vectors: DataFrame | None = None,
            query_vector: Sequence[float] | None = None, limit: int = 24, offset: int = 0,
            sources: Sequence[str] | None = None, entity_key=None, candidates: int = CANDIDATES,
-           sort: str = "relevance", filters: Filters = Filters(), moments_shown: int = 24) -> SearchResult:
+           sort: str = "relevance", filters: Filters = Filters(), moments_shown: int = 24,
+           index: LexicalIndex | None = None) -> SearchResult:
     """Lexical and dense candidates fused by reciprocal rank, grouped per entity.
 
     Source, entity and card filters come before the candidate cut, so a search filtered by
-    them loses no match to it; ``min_hits`` counts passages of the candidates. Facets are counted before the facet filters, so an active filter still
-    shows its own count. ``candidates`` is how deep each ranking is read.
+    them loses no match to it. Facets are counted before the facet filters, so an active filter still
+    shows its own count. ``candidates`` is how deep each ranking is read. With a stored ``index`` of the
+    moments the words are looked up there, and ``hit_count``, ``n_sources``, ``min_hits`` and the facets count
+    every passage that matches; without one they count the candidates.
     """
     within = None
     for wanted in ([F.col("source").isin(*sources)] if sources else []) + ([F.col("entity_key") == F.lit(entity_key)] if entity_key is not None else []):
         within = wanted if within is None else within & wanted
 
     def ranked(among: DataFrame | None) -> DataFrame:
-        lists = [(lexical(moments, query, candidates, within=within, among=among), 1.0)]
+        words = lexical(moments, query, candidates, within=within, among=among) if index is None else index.search(query, candidates, within=within, among=among)
+        lists = [(words, 1.0)]
         if vectors is not None and query_vector is not None:
             inside = moments if within is None else moments.filter(within)
             inside = inside if among is None else inside.join(among, "entity_key", "left_semi")
@@ -263,12 +268,20 @@ def hybrid(moments: DataFrame, cards: DataFrame, query: str, vectors: DataFrame
             "score", F.round(F.col("fused") * F.coalesce(F.col("weight"), F.lit(1.0))
                              * (1.0 + T.phrase_bonus(F.col("text"), query)), 6))
 
-    scored = ranked(None)
-    pool = cards.join(entity_scores(scored), "entity_key")
-    kept = filters.apply(pool)
-    if filters.on_cards():
-        scored = ranked(replace(filters, min_hits=None).apply(cards).select("entity_key"))
-        kept = filters.apply(cards.join(entity_scores(scored), "entity_key"))
+    if index is None:
+        scored = ranked(None)
+        pool = cards.join(entity_scores(scored), "entity_key")
+        kept = filters.apply(pool)
+        if filters.on_cards():
+            scored = ranked(replace(filters, min_hits=None).apply(cards).select("entity_key"))
+            kept = filters.apply(cards.join(entity_scores(scored), "entity_key"))
+    else:
+        every = index.matches(query, within).groupBy("entity_key").agg(F.count("*").alias("hit_count"), F.count_distinct("source").alias("n_sources"))
+        pool = cards.join(every, "entity_key")
+        scored = ranked(filters.apply(pool).select("entity_key") if filters.on_cards() or filters.min_hits is not None else None)
+        # An entity that only its vectors put forward has no word that matches.
+        counted = entity_scores(scored).drop("hit_count", "n_sources").join(every, "entity_key", "left")
+        kept = filters.apply(cards.join(counted.fillna(0, ["hit_count", "n_sources"]), "entity_key"))
     order = order_columns(sort)
     page = kept.orderBy(*order).offset(offset).limit(limit)
     w = Window.partitionBy("entity_key").orderBy(F.coalesce("t_start", F.lit(-1.0)), "id")

@@ -119,6 +119,21 @@ def lexical_appended(spark, sf):
     return index.scores(["que", "the"]).select("id", F.round("score", 5).alias("score"))
 
 
+@query("hybrid_counts", f"""
+WITH {MOMENTS_SQL}, {TOK_SQL}
+m AS (SELECT id, entity_key, source FROM tok WHERE list_contains(tokens, 'tion') OR list_contains(tokens, 'onth')),
+e AS (SELECT entity_key, count(*) AS hit_count, count(DISTINCT source) AS n_sources FROM m GROUP BY entity_key)
+SELECT 'hits' AS field, CAST(hit_count AS VARCHAR) AS value, count(*) AS n FROM e GROUP BY hit_count
+UNION ALL SELECT 'creators', CAST(entity_key % 7 AS VARCHAR), count(*) FROM e GROUP BY entity_key % 7""")
+def hybrid_counts(spark, sf):
+    """Hit counts and facets of a search, over every passage that matches."""
+    rows = moments(spark, sf)
+    cards = rows.select("entity_key").distinct().withColumn("creator", (F.col("entity_key") % 7).cast("string"))
+    found = R.hybrid(rows, cards, "tion onth", index=moment_index(spark, sf))
+    hits = found.matched.groupBy(F.lit("hits").alias("field"), F.col("hit_count").cast("string").alias("value")).agg(F.count("*").alias("n"))
+    return hits.unionByName(found.facets.select("field", "value", "n"))
+
+
 @query("vocabulary_folded", f"""
 WITH {MOMENTS_SQL}, t AS (SELECT id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS term FROM moments)
 SELECT term, CAST(count(DISTINCT id) AS BIGINT) AS df, count(*) AS cf FROM t WHERE starts_with(term, 'e') GROUP BY term""")

@@ -92,3 +92,15 @@ def test_plans_prune(grown):
     assert not re.search(r"text#|passages", plan)
     plan = index.vocabulary("bi")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(term), StringStartsWith(term,bi)]" in plan
+
+
+def test_hybrid_counts_every_match(grown, spark):
+    df, index = grown
+    cards = df.select("entity_key").distinct().withColumn("creator", (F.col("entity_key") % 2).cast("string"))
+    want = {r["entity_key"]: r["n"] for r in search.bm25_scores(df, ["red"]).groupBy("entity_key").agg(F.count("*").alias("n")).collect()}
+    got = search.hybrid(df.withColumn("t_start", F.col("id")), cards, "red", candidates=5, index=index)
+    assert {r["entity_key"]: r["hit_count"] for r in got.matched.collect()} == want
+    assert sum(r["n"] for r in got.facets.collect()) == len(want)
+    most = max(want.values())
+    kept = search.hybrid(df.withColumn("t_start", F.col("id")), cards, "red", candidates=5, index=index, filters=search.Filters(min_hits=most)).hits.collect()
+    assert kept and all(want[r["entity_key"]] == r["hit_count"] == most for r in kept)
