@@ -1,20 +1,49 @@
-"""Exact interpolated percentiles without gathering a group's values in one task.
+"""Exact interpolated percentiles by distributed selection.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one hash map.
-Here the values become a frequency table (map-side combined), the table is cut into value
-blocks, and cumulative counts carry from block to block.
+The built-in exact ``percentile`` keeps every distinct value of a group in one hash map. Here the
+values become a frequency table (map-side combined). A sketch of it gives splitters that cut each
+group into ranges of like size, whatever the shape of its values; the ranges are counted; and only
+those that hold a wanted rank are sorted, each in a task of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.sequences import BLOCK, Carry, with_carry
+#: Ranges of a group, a power of two, and the accuracy of the sketch that cuts them.
+RANGES, ACCURACY = 256, 2000
 
-BLOCKS = 4096
+
+def ranges_of(freq: DataFrame, keys: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """``freq`` (keys, x, n) with ``__range``: ordered like x, about as many distinct values in each range of a group."""
+    cuts = freq.groupBy(*keys).agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], ACCURACY).alias("__cuts"))
+    placed = freq.join(cuts, list(keys)).withColumn("__range", F.lit(0))
+    step = ranges // 2
+    while step:  # binary search, a column a step
+        above = F.get("__cuts", F.col("__range") + F.lit(step - 1)) <= F.col("x")
+        placed = placed.withColumn("__range", F.col("__range") + F.when(above, step).otherwise(0))
+        step //= 2
+    return placed.drop("__cuts")
+
+
+def select_ranks(freq: DataFrame, keys: Sequence[str], ranks: dict[str, Callable[[Column], Column]], ranges: int = RANGES) -> DataFrame:
+    """(keys, total, one column for each of ``ranks``): the value of the 0-based rank that each gives for the total of n."""
+    keys = list(keys)
+    placed = ranges_of(freq, keys, ranges)
+    per = placed.groupBy(*keys, "__range").agg(F.sum("n").alias("__n"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__prior", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("total", F.sum("__n").over(group))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("total")).cast("bigint").alias("rank")) for name, rank in ranks.items()])
+    inside = F.filter(wanted, lambda w: (w["rank"] >= F.col("__prior")) & (w["rank"] < F.col("__prior") + F.col("__n")))
+    holding = per.withColumn("__wanted", inside).where(F.size("__wanted") > 0).select(*keys, "__range", "__prior", "total", "__wanted")
+    upto = Window.partitionBy(*keys, "__range").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sorted_ = placed.join(holding, [*keys, "__range"]).withColumn("__end", F.col("__prior") + F.sum("n").over(upto))
+    met = sorted_.withColumn("w", F.explode("__wanted")).where((F.col("w.rank") < F.col("__end")) & (F.col("w.rank") >= F.col("__end") - F.col("n")))
+    return met.groupBy(*keys, "total").agg(*[F.max(F.when(F.col("w.name") == name, F.col("x"))).alias(name) for name in ranks])
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -24,19 +53,14 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str
     src = df.withColumn("__all", F.lit(1)) if not keys else df
     freq = (src.filter(F.col(value).isNotNull()).groupBy(*one, F.col(value).cast("double").alias("x"))
             .agg(F.count("*").alias("n")))
-    shape = freq.groupBy(*one).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total"))
-    width = F.col("hi") - F.col("lo")
-    placed = freq.join(shape, one).withColumn(
-        BLOCK, F.when(width > 0, F.floor((F.col("x") - F.col("lo")) / width * BLOCKS)).otherwise(F.lit(0)).cast("bigint"))
-    cum = with_carry(placed, one, ["x"], [Carry("prior", "sum", F.col("n"))], BLOCK)
-    aggs = []
+    at = lambda p, total: F.lit(float(p)) * (total - 1)
+    ranks = {}
     for name, p in points.items():
-        pos = F.lit(float(p)) * (F.col("total") - 1)
-        here = lambda i: F.max(F.when((F.col("prior") <= i) & (i < F.col("prior") + F.col("n")), F.col("x")))
-        aggs += [here(F.floor(pos)).alias(f"__lo_{name}"), here(F.ceil(pos)).alias(f"__hi_{name}")]
-    picked = cum.groupBy(*one, "total").agg(*aggs)
+        ranks[f"__lo_{name}"] = lambda total, p=p: F.floor(at(p, total))
+        ranks[f"__hi_{name}"] = lambda total, p=p: F.ceil(at(p, total))
+    picked = select_ranks(freq, one, ranks)
     out = [(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}"))
-            * (F.lit(float(p)) * (F.col("total") - 1) - F.floor(F.lit(float(p)) * (F.col("total") - 1)))).alias(n)
+            * (at(p, F.col("total")) - F.floor(at(p, F.col("total"))))).alias(n)
            for n, p in points.items()]
     return picked.select(*keys, *out)
 

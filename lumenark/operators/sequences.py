@@ -277,16 +277,14 @@ def median_interval(df: DataFrame, keys: Sequence[str], t: str = "t", out: str =
                     block_seconds: float | None = BLOCK_SECONDS) -> DataFrame:
     """Upper median of the positive gaps.
 
-    Gaps are counted per distinct value first, so a key's series reaches the median as a
-    frequency table and never as a list.
+    Gaps are counted per distinct value first and the rank is found by ranges of values, so
+    a key's series reaches the median neither as a list nor in one task.
     """
+    from ..functions.quantiles import select_ranks
+
     step = consecutive_gaps(df, keys, t, block_seconds)
-    freq = step.groupBy(*keys, "gap").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy("gap")
-    ranked = freq.withColumn("upto", F.sum("n").over(w)).join(
-        freq.groupBy(*keys).agg(F.sum("n").alias("total")), list(keys))
-    return (ranked.filter(F.col("upto") > F.floor(F.col("total") / 2))
-            .groupBy(*keys).agg(F.min("gap").alias(out)))
+    freq = step.groupBy(*keys, F.col("gap").alias("x")).agg(F.count("*").alias("n"))
+    return select_ranks(freq, keys, {out: lambda total: F.floor(total / 2)}).select(*keys, out)
 
 
 def gap_statistics(df: DataFrame, keys: Sequence[str], t: str = "t",
