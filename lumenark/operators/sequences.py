@@ -12,14 +12,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from ..session import cut_lineage
 
 BLOCK = "__blk"
 PART = "__part"
 BLOCK_SECONDS = 3600.0
 BLOCK_ROWS = 100_000
+#: Least width of the cells that a chain of cuts is followed in.
+CELL_SECONDS = 64.0
 
 
 def time_block(t: Column, seconds: float = BLOCK_SECONDS) -> Column:
@@ -356,6 +361,99 @@ def across_cuts(frames: DataFrame, bounds: DataFrame, keys: Sequence[str], t: st
     return near.unionByName(fallback).select(*keys, F.col("ft").alias(t)).distinct()
 
 
+def _successors(cuts: np.ndarray, after: np.ndarray, min_shot: float) -> np.ndarray:
+    """Index of the first cut ``min_shot`` past each of ``after``; the subtraction decides, as in a plain loop."""
+    at = np.searchsorted(cuts, after + min_shot)
+    early = (at > 0) & (cuts[np.maximum(at - 1, 0)] - after >= min_shot)
+    at = at - early
+    late = (at < len(cuts)) & (cuts[np.minimum(at, len(cuts) - 1)] - after < min_shot)
+    return at + late
+
+
+def _chain_edges(chained: DataFrame, keys: list[str], min_shot: float) -> DataFrame:
+    """(keys, edge) kept inside chains: ``chained`` has keys, chain, c, opened and prev_c."""
+    width = max(2.0 * min_shot, CELL_SECONDS)
+    place = [*keys, "chain", "cell"]
+    cells = (chained.withColumn("cell", F.floor(F.col("c") / F.lit(width)))
+             .groupBy(*place).agg(F.array_sort(F.collect_list("c")).alias("cuts"),
+                                  F.max((F.col("opened") == 1) | F.col("prev_c").isNull()).alias("first")))
+    cells = cut_lineage(cells)
+    at_zero = F.col("chain") == 0
+    # Chain 0 starts from the edge at 0; every later chain starts from its own first cut.
+    starts = cells.filter("first").select(*place, "cuts", F.when(at_zero, F.lit(0.0)).alias("after"))
+    key_fields = [cells.schema[k] for k in place]
+
+    def opening(row_cuts: np.ndarray, after) -> int:
+        return 0 if after is None or np.isnan(after) else int(_successors(row_cuts, np.array([after]), min_shot)[0])
+
+    def walk(batches):
+        for pdf in batches:
+            kept = []
+            for row_cuts, after in zip(pdf["cuts"], pdf["after"]):
+                i, out = opening(row_cuts, after), []
+                while i < len(row_cuts):
+                    out.append(row_cuts[i])
+                    i = int(_successors(row_cuts, row_cuts[i:i + 1], min_shot)[0])
+                kept.append(out)
+            yield pdf[keys].assign(edge=kept)
+
+    def walked(df: DataFrame) -> DataFrame:
+        out = StructType([*key_fields[:-2], StructField("edge", ArrayType(DoubleType()))])
+        return df.select(*keys, "cuts", "after").mapInPandas(walk, out).select(*keys, F.explode("edge").alias("edge"))
+
+    later = cells.filter(~F.col("first"))
+    if later.isEmpty():
+        return walked(starts)
+
+    def entries(batches):
+        for pdf in batches:
+            ins, outs = [], []
+            for cell, row_cuts, first, chain in zip(pdf["cell"], pdf["cuts"], pdf["first"], pdf["chain"]):
+                if first:
+                    i = opening(row_cuts, 0.0 if chain == 0 else None)
+                    head = np.arange(i, min(i + 1, len(row_cuts)))
+                else:
+                    # An edge before the cell is less than a shot before any cut past this one.
+                    head = np.arange(min(int(_successors(row_cuts, np.array([cell * width]), min_shot)[0]) + 1, len(row_cuts)))
+                step = _successors(row_cuts, row_cuts, min_shot)
+                step = np.where(step < len(row_cuts), step, np.arange(len(row_cuts)))
+                while not np.array_equal(step[step], step):
+                    step = step[step]
+                ins.append(row_cuts[head])
+                outs.append(row_cuts[step[head]])
+            yield pdf[place].assign(ins=ins, outs=outs)
+
+    several = cells.join(later.select(*keys, "chain").distinct(), [*keys, "chain"], "left_semi")
+    spans = StructType([*key_fields, StructField("ins", ArrayType(DoubleType())), StructField("outs", ArrayType(DoubleType()))])
+    spans = cut_lineage(several.select(*place, "cuts", "first").mapInPandas(entries, spans))
+
+    def pointers(batches):
+        for pdf in batches:
+            following = []
+            for outs, heads in zip(pdf["outs"], pdf["heads"]):
+                i = _successors(heads, outs, min_shot) if len(heads) else np.ones(len(outs), dtype=int)
+                padded = np.append(heads, np.nan)
+                following.append(padded[np.minimum(i, len(heads))])
+            yield pdf[[*keys, "chain", "ins"]].assign(following=following)
+
+    ahead = spans.select(*keys, "chain", (F.col("cell") - 1).alias("cell"), F.col("ins").alias("heads"))
+    shape = StructType([*key_fields[:-1], StructField("ins", ArrayType(DoubleType())), StructField("following", ArrayType(DoubleType()))])
+    hops = (spans.join(ahead, place).mapInPandas(pointers, shape)
+            .select(*keys, "chain", F.explode(F.arrays_zip("ins", "following")).alias("z"))
+            .select(*keys, "chain", F.col("z.ins").alias("c"), F.col("z.following").alias("to")).filter(~F.isnan("to")))
+    node = [*keys, "chain", "c"]
+    reached = spans.join(cells.filter("first").select(*place), place, "left_semi").select(*keys, "chain", F.explode("ins").alias("c"))
+    hops = cut_lineage(hops)
+    while not hops.isEmpty():
+        reached = cut_lineage(reached.unionByName(reached.join(hops, node).select(*keys, "chain", F.col("to").alias("c"))).distinct())
+        further = hops.select(*keys, "chain", F.col("c").alias("to"), F.col("to").alias("then"))
+        hops = cut_lineage(hops.join(further, [*keys, "chain", "to"]).select(*keys, "chain", "c", F.col("then").alias("to")))
+    # A cell's own entry is the reached cut in it; the walk starts there.
+    inside = (reached.withColumn("cell", F.floor(F.col("c") / F.lit(width))).join(later, place)
+              .withColumn("cuts", F.filter("cuts", lambda x: x >= F.col("c"))).withColumn("after", F.lit(None).cast("double")))
+    return walked(starts).unionByName(walked(inside))
+
+
 def merge_cuts(cuts: DataFrame, durations: DataFrame, keys: Sequence[str], cut: str = "cut",
                duration: str = "duration", min_shot: float = 0.25) -> DataFrame:
     """Cut times to shot edges: an edge is kept when ``min_shot`` past the last kept one.
@@ -363,6 +461,14 @@ def merge_cuts(cuts: DataFrame, durations: DataFrame, keys: Sequence[str], cut:
     A cut further than ``min_shot`` from the cut before it is kept whatever happened
     earlier, so the greedy choice only runs inside chains of crowded cuts.  0 and the
     duration are always edges; a last cut too close to the end is dropped.
+
+    A chain is cut into cells of fixed width, at least two shots wide, so an edge's successor
+    lies in its own cell or the next. For each cut that may be the first edge of its cell the
+    cell gives the last edge that follows from it; these entries and their successors are the
+    nodes and pointers of a small graph, whose nodes reachable from the chains' first edges
+    are found by pointer doubling, log2 of the longest chain's cells rounds. The cells are
+    then walked from their entries, independently. Cuts are whole milliseconds, so a cell
+    holds at most 1,000 a second of its width, however many rows its key has.
     """
     keys = list(keys)
     rows = (cuts.join(durations.select(*keys, F.col(duration).alias("dur")), keys)
@@ -374,23 +480,7 @@ def merge_cuts(cuts: DataFrame, durations: DataFrame, keys: Sequence[str], cut:
     flagged = linked.withColumn("opened", opened.cast("bigint"))
     chained = with_carry(flagged, keys, ["c"], [Carry("prior", "sum", F.col("opened"))],
                          blk).withColumn("chain", F.col("prior") + F.col("opened"))
-
-    # Chain 0 starts from the edge at 0; every later chain starts from its own first cut.
-    # Chains stream past in sorted batches: a task holds the last kept cut and nothing else.
-    def keep(batches):
-        current, last = None, 0.0
-        for pdf in batches:
-            out = []
-            for row in zip(*(pdf[k] for k in keys), pdf["chain"], pdf["c"]):
-                if row[:-1] != current:
-                    current, last = row[:-1], (0.0 if row[-2] == 0 else float("-inf"))
-                flag = row[-1] - last >= min_shot
-                last = row[-1] if flag else last
-                out.append(flag)
-            yield pdf.drop(columns=["chain"]).rename(columns={"c": "edge"})[out]
-
-    slim = chained.select(*keys, "chain", "c").repartition(*keys, "chain").sortWithinPartitions(*keys, "chain", "c")
-    inner = slim.mapInPandas(keep, StructType([*[slim.schema[k] for k in keys], StructField("edge", DoubleType())]))
+    inner = _chain_edges(chained, keys, min_shot)
     last = inner.groupBy(*keys).agg(F.max("edge").alias("last_edge"))
     trimmed = (inner.join(last, keys).join(durations.select(*keys, F.col(duration).alias("dur")), keys)
                .filter(~((F.col("edge") == F.col("last_edge")) & (F.col("dur") - F.col("edge") < min_shot)))
