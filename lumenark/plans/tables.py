@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.frameindex import FrameIndex
 from ..operators.lexindex import LexicalIndex
 from ..session import stored
 
@@ -125,3 +126,36 @@ vec AS (
   SELECT CAST(label AS BIGINT) AS entity_key, vec_id AS frame_idx, CAST(embedding AS DOUBLE[]) AS v
   FROM embeddings
 )"""
+
+
+def frame_index(spark: SparkSession, sf: str) -> FrameIndex:
+    """The stored coarse-to-fine index of the frame vectors, windows of eight frames or so."""
+    def build(path: str) -> None:
+        vec = vectors(spark, sf)
+        FrameIndex(spark, path).append(vec, 0, budget_bytes=vec.count() * 64 * 4 // 8)
+
+    return FrameIndex(spark, stored(spark, "frame-index", [f"{sf}/embeddings.parquet"], build))
+
+
+def tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """events as frames of slowly turning vectors: an entity a user, eight components of its clock."""
+    turn = [f((F.col("t") / F.lit(40000.0 * i)) + F.col("user_id")) for i in range(1, 5) for f in (F.cos, F.sin)]
+    return events_timed(spark, sf).select(F.col("user_id").alias("entity_key"), F.lit("track").alias("space"),
+                                          F.round(F.col("t") * 1000).cast("bigint").alias("frame_idx"), F.array(*turn).cast("array<float>").alias("v"))
+
+
+TRACKS_SQL = EVENTS_TIMED_SQL + """,
+tr AS (
+  SELECT user_id AS entity_key, CAST(round(t * 1000) AS BIGINT) AS frame_idx,
+         CAST(CAST([cos(t / 40000.0 + user_id), sin(t / 40000.0 + user_id), cos(t / 80000.0 + user_id), sin(t / 80000.0 + user_id), cos(t / 120000.0 + user_id), sin(t / 120000.0 + user_id), cos(t / 160000.0 + user_id), sin(t / 160000.0 + user_id)] AS FLOAT[]) AS DOUBLE[]) AS v
+  FROM ev
+)"""
+
+
+def track_index(spark: SparkSession, sf: str) -> FrameIndex:
+    """The same of the tracks; a window holds some eight frames."""
+    def build(path: str) -> None:
+        vec = tracks(spark, sf)
+        FrameIndex(spark, path).append(vec, 0, budget_bytes=vec.count() * 8 * 4 // 8)
+
+    return FrameIndex(spark, stored(spark, "track-index", [f"{sf}/events.parquet"], build))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import search as R
 from ..operators import vectors as V
 from .registry import query
-from .tables import VECTORS_SQL, load, moments, vectors
+from .tables import TRACKS_SQL, VECTORS_SQL, frame_index, load, moments, track_index, tracks, vectors
 
 COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 
@@ -79,6 +79,25 @@ def frame_spread(spark, sf):
     return V.search_vector(vectors(spark, sf), _query_vector(spark, sf), "frame", limit=40)
 
 
+@query("frame_index_topk", f"""
+WITH {SIM_SQL}
+SELECT entity_key, frame_idx, round(score, 6) AS score FROM sim ORDER BY round(sim.score, 9) DESC, entity_key, frame_idx LIMIT 50""")
+def frame_index_topk(spark, sf):
+    return frame_index(spark, sf).search(_query_vector(spark, sf), "frame", 50).withColumn("score", F.round("score", 6))
+
+
+@query("frame_index_tracks", f"""
+WITH {TRACKS_SQL},
+qv AS (SELECT arg_min(v, (frame_idx, entity_key)) AS q, arg_min(entity_key, (frame_idx, entity_key)) AS own FROM tr),
+sim AS (SELECT entity_key, frame_idx, {COS.format(a='v', b='q')} AS score FROM tr, qv WHERE entity_key <> own)
+SELECT entity_key, frame_idx, round(score, 5) AS score FROM sim ORDER BY round(sim.score, 9) DESC, entity_key, frame_idx LIMIT 100""")
+def frame_index_tracks(spark, sf):
+    """The first frame of all, against every other entity."""
+    first = tracks(spark, sf).agg(F.min_by(F.struct(F.col("v").alias("q"), "entity_key"), F.struct("frame_idx", "entity_key")).alias("f")).select("f.*")
+    own = first.first()["entity_key"]
+    return track_index(spark, sf).search(first, "track", 100, exclude=own).withColumn("score", F.round("score", 5))
+
+
 @query("space_inventory", f"""
 WITH {VECTORS_SQL}
 SELECT 'frame' AS space, count(DISTINCT entity_key) AS entities, CAST(count(*) AS BIGINT) AS frames, CAST(max(len(v)) AS BIGINT) AS dim FROM vec""")
