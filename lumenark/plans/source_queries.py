@@ -9,8 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import keys as K
 from ..functions import text as T
 from ..session import shared_dir
+from ..sources import exports as E
 from ..sources import files as S
 from ..sources import texts as X
 from .registry import query
@@ -166,6 +168,73 @@ def tree_links(spark, sf):
     return X.tree_links(c.select(F.col("c_custkey").alias("doc"), node.alias("text"))).select("doc", "url", "label").distinct()
 
 
+EXPORTS_SQL = """ex AS (
+  SELECT 'dump' || (c_custkey // 40) AS dump, (c_custkey // 40) % 5 AS form, c_custkey,
+         'Code' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS key,
+         CASE (c_custkey // 40) % 5 WHEN 0 THEN lower(c_mktsegment) WHEN 2 THEN lower(c_mktsegment) WHEN 4 THEN 'uncategorised' ELSE c_mktsegment END AS label
+  FROM customer)"""
+
+
+def _exports(spark, sf):
+    """Forty customers a file, as archives of two kinds, a JSON tree, a list with headers and one without."""
+    import io
+    import json
+    import zipfile
+
+    def archive(members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in members.items():
+                z.writestr(name, text)
+        return out.getvalue()
+
+    def write(batches):
+        for pdf in batches:
+            out = []
+            for g, rows in zip(pdf["g"], pdf["rows"]):
+                at = [(r["segment"], "https://instagram.com/reel/" + r["code"]) for r in rows]
+                tree = json.dumps({"saved": [{"string_map_data": {"Name": {"value": s.lower()}, "Post": {"href": u}}} for s, u in at]})
+                form = g % 5
+                if form == 0:
+                    out.append((f"dump{g}.zip", archive({"saved/saved_posts.json": tree, "your/comments.json": tree.replace("Code", "Other")})))
+                elif form == 1:
+                    out.append((f"dump{g}.zip", archive({"page.html": "".join(f"<h2>{s}</h2><p><a href='{u}'>x</a></p>" for s, u in at)})))
+                elif form == 2:
+                    out.append((f"dump{g}.json", tree.encode()))
+                elif form == 3:
+                    out.append((f"dump{g}.md", "".join(f"# {s} #\n- {u}\n" for s, u in at).encode()))
+                else:
+                    out.append((f"dump{g}.txt", "\n".join(u for _, u in at).encode()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    c = load(spark, sf, "customer")
+    code = F.concat(F.lit("Code"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"))
+    rows = c.groupBy(F.floor(F.col("c_custkey") / 40).alias("g")).agg(F.collect_list(F.struct(F.col("c_mktsegment").alias("segment"), code.alias("code"))).alias("rows"))
+    return rows.mapInPandas(write, "path string, content binary")
+
+
+@query("mixed_exports", f"""
+WITH {EXPORTS_SQL} SELECT dump, key, label FROM ex""")
+def mixed_exports(spark, sf):
+    links = E.read_exports(_exports(spark, sf)).links
+    return links.select(F.split_part("path", F.lit("."), F.lit(1)).alias("dump"), K.key_from_url(F.col("url")).alias("key"), "label")
+
+
+@query("export_formats", f"""
+WITH {EXPORTS_SQL}
+SELECT dump, CASE form WHEN 0 THEN 'archive' WHEN 1 THEN 'archive' WHEN 2 THEN 'json' ELSE 'markdown' END AS format, CAST(CASE WHEN form < 2 THEN 1 ELSE 0 END AS BIGINT) AS n_members,
+       CAST(0 AS BIGINT) AS n_damaged, count(*) AS n_links FROM ex GROUP BY dump, form""")
+def export_formats(spark, sf):
+    return E.read_exports(_exports(spark, sf)).summary().withColumn("path", F.split_part("path", F.lit("."), F.lit(1))).withColumnRenamed("path", "dump")
+
+
+@query("export_tally", f"""
+WITH {EXPORTS_SQL} SELECT label, count(*) AS n FROM ex GROUP BY label""")
+def export_tally(spark, sf):
+    """Labels of the links, one count for each link and label it was filed under."""
+    return X.dedupe_links(E.read_exports(_exports(spark, sf)).links)[1]
+
+
 @query("export_slices", """
 SELECT 'Code' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS key, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS collections, arg_min(o_orderstatus, o_orderkey) AS owner FROM orders GROUP BY 1""")
 def export_slices(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -109,6 +110,8 @@ class ExportTree:
                 else:
                     self._state(path, self._name(node, has_link))
             pending.extend(((*path, key), value) for key, value in below)
+        for labelled in self.rows.values():
+            labelled.sort()
 
     def _state(self, path: tuple, label: str) -> None:
         if label:
@@ -145,9 +148,10 @@ class ExportTree:
             if here in self.labels:
                 return self.labels[here]
             if depth and here[:-1] in self.rows:
-                earlier = [i for i in self.rows[here[:-1]] if i < here[-1]]
-                if earlier:
-                    return self.labels[(*here[:-1], max(earlier))]
+                labelled = self.rows[here[:-1]]
+                before = bisect_left(labelled, here[-1])
+                if before:
+                    return self.labels[(*here[:-1], labelled[before - 1])]
         return default
 
 
