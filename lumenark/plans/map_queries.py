@@ -81,7 +81,7 @@ def percentile_rescale(spark, sf):
     return Mp.rescale(points(spark, sf)).select("ref", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("knn_placement", f"""
+KNN_SQL = f"""
 WITH {VECTORS_SQL},
 fit AS (SELECT frame_idx, v, v[1] AS x, v[2] AS y FROM vec WHERE entity_key < 5),
 rest AS (SELECT frame_idx, v FROM vec WHERE entity_key >= 5),
@@ -91,13 +91,26 @@ sim AS (SELECT r.frame_idx AS id, f.x, f.y, f.frame_idx AS f,
 top AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, f) <= 12),
 w AS (SELECT id, x, y, pow(greatest(s, 0), 3) AS w FROM top)
 SELECT id, round(CASE WHEN sum(w) > 1e-9 THEN sum(x * w) / sum(w) ELSE avg(x) END, 5) AS x,
-       round(CASE WHEN sum(w) > 1e-9 THEN sum(y * w) / sum(w) ELSE avg(y) END, 5) AS y FROM w GROUP BY id""")
-def knn_placement(spark, sf):
+       round(CASE WHEN sum(w) > 1e-9 THEN sum(y * w) / sum(w) ELSE avg(y) END, 5) AS y FROM w GROUP BY id"""
+
+
+def _fit_and_rest(spark, sf):
     v = vectors(spark, sf)
     xy = (F.col("v")[0].cast("double").alias("x"), F.col("v")[1].cast("double").alias("y"))
     fit = v.filter("entity_key < 5").select(F.col("frame_idx").alias("id"), "v", *xy)
     rest = v.filter("entity_key >= 5").select(F.col("frame_idx").alias("id"), "v")
-    return Mp.place_rest(fit, rest).select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    return fit, rest
+
+
+@query("knn_placement", KNN_SQL)
+def knn_placement(spark, sf):
+    return Mp.place_rest(*_fit_and_rest(spark, sf)).select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+@query("knn_placement_blocks", KNN_SQL)
+def knn_placement_blocks(spark, sf):
+    """The way of a fit too large to broadcast."""
+    return Mp.place_blocks(*_fit_and_rest(spark, sf)).select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 @query("cluster_terms", """
