@@ -73,31 +73,22 @@ def similar_to_frame(spark, sf):
             .select("entity_key", "frame_idx", "used", F.round("score", 6).alias("score")))
 
 
-@query("frame_spread")
+@query("frame_spread", f"""
+WITH RECURSIVE {SIM_SQL},
+walk AS (
+  SELECT entity_key, CAST([] AS BIGINT[]) AS kept, CAST(0 AS BIGINT) AS n FROM sim GROUP BY entity_key
+  UNION ALL
+  SELECT w.entity_key, list_append(any_value(w.kept), arg_min(s.frame_idx, struct_pack(a := -s.score, b := s.frame_idx))), w.n + 1
+  FROM walk w JOIN sim s ON s.entity_key = w.entity_key AND w.n < 6 AND len(list_filter(w.kept, lambda x: abs(x - s.frame_idx) < 45)) = 0
+  GROUP BY w.entity_key, w.n
+),
+hits AS (SELECT entity_key, unnest(kept) AS frame_idx FROM walk QUALIFY n = max(n) OVER (PARTITION BY entity_key))
+SELECT entity_key, frame_idx, CAST(NULL AS DOUBLE) AS t, round(score, 4) AS score, 'frame' AS space
+FROM hits JOIN sim USING (entity_key, frame_idx) ORDER BY sim.score DESC, entity_key, frame_idx LIMIT 40""")
 def frame_spread(spark, sf):
-    """Greedy suppression has no plain SQL form; brute force on a fixture checks it."""
     return V.search_vector(vectors(spark, sf), _query_vector(spark, sf), "frame", limit=40)
 
 
-@query("frame_index_topk", f"""
-WITH {SIM_SQL}
-SELECT entity_key, frame_idx, round(score, 6) AS score FROM sim ORDER BY round(sim.score, 9) DESC, entity_key, frame_idx LIMIT 50""")
-def frame_index_topk(spark, sf):
-    return frame_index(spark, sf).search(_query_vector(spark, sf), "frame", 50).withColumn("score", F.round("score", 6))
-
-
-@query("frame_index_tracks", f"""
-WITH {TRACKS_SQL},
-qv AS (SELECT arg_min(v, (frame_idx, entity_key)) AS q, arg_min(entity_key, (frame_idx, entity_key)) AS own FROM tr),
-sim AS (SELECT entity_key, frame_idx, {COS.format(a='v', b='q')} AS score FROM tr, qv WHERE entity_key <> own)
-SELECT entity_key, frame_idx, round(score, 5) AS score FROM sim ORDER BY round(sim.score, 9) DESC, entity_key, frame_idx LIMIT 100""")
-def frame_index_tracks(spark, sf):
-    """The first frame of all, against every other entity."""
-    first = tracks(spark, sf).agg(F.min_by(F.struct(F.col("v").alias("q"), "entity_key"), F.struct("frame_idx", "entity_key")).alias("f")).select("f.*")
-    own = first.first()["entity_key"]
-    return track_index(spark, sf).search(first, "track", 100, exclude=own).withColumn("score", F.round("score", 5))
-
-
 @query("space_inventory", f"""
 WITH {VECTORS_SQL}
 SELECT 'frame' AS space, count(DISTINCT entity_key) AS entities, CAST(count(*) AS BIGINT) AS frames, CAST(max(len(v)) AS BIGINT) AS dim FROM vec""")
