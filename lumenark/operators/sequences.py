@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +43,7 @@ class Carry:
     """One running value.
 
     kind: ``max`` / ``sum`` over strictly earlier rows, ``lag`` / ``lead`` one row away,
-    ``last`` = latest non-null value up to and including the row.
+    ``last`` = latest non-null value up to and including the row, ``next`` = earliest one from the row on.
     """
 
     out: str
@@ -74,6 +76,7 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs:
     w = Window.partitionBy(*local_keys).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     local = staged
     for i, s in enumerate(specs):
         v = F.col(f"__v{i}")
@@ -83,6 +86,7 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs:
             "lag": lambda v: F.lag(v).over(w),
             "lead": lambda v: F.lead(v).over(w),
             "last": lambda v: F.last(v, ignorenulls=True).over(upto),
+            "next": lambda v: F.first(v, ignorenulls=True).over(onward),
         }[s.kind](v)
         local = local.withColumn(f"__l{i}", expr)
     if block is None:
@@ -106,10 +110,12 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs:
             "lag": lambda v: F.max_by(v, pos),
             "lead": lambda v: F.min_by(v, pos),
             "last": lambda v: F.max_by(v, F.when(v.isNotNull(), pos)),
+            "next": lambda v: F.min_by(v, F.when(v.isNotNull(), pos)),
         }[s.kind](v).alias(f"__s{i}"))
     blocks = staged.groupBy(*local_keys).agg(*aggs)
     bw = Window.partitionBy(*[f"{PART}.{k}" for k in keys]).orderBy(f"{PART}.{name}")
     bbefore = bw.rowsBetween(Window.unboundedPreceding, -1)
+    bafter = bw.rowsBetween(1, Window.unboundedFollowing)
     for i, s in enumerate(specs):
         v = F.col(f"__s{i}")
         blocks = blocks.withColumn(f"__c{i}", {
@@ -118,6 +124,7 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs:
             "lag": lambda v: F.lag(v).over(bw),
             "lead": lambda v: F.lead(v).over(bw),
             "last": lambda v: F.last(v, ignorenulls=True).over(bbefore),
+            "next": lambda v: F.first(v, ignorenulls=True).over(bafter),
         }[s.kind](v))
     carried = blocks.drop(*[f"__s{i}" for i in range(len(specs))])
     out = local.join(carried, local_keys, "inner")
@@ -129,6 +136,7 @@ def with_carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs:
             "lag": lambda a, b: F.coalesce(a, b).getField("v"),
             "lead": lambda a, b: F.coalesce(a, b).getField("v"),
             "last": lambda a, b: F.coalesce(a, b),
+            "next": lambda a, b: F.coalesce(a, b),
         }[s.kind](here, there))
     return out.drop(*([] if own else [BLOCK, PART]), *[f"__{p}{i}" for i in range(len(specs)) for p in "vlc"])
 
@@ -333,32 +341,29 @@ def across_cuts(frames: DataFrame, bounds: DataFrame, keys: Sequence[str], t: st
                 cell_seconds: float = 10.0) -> DataFrame:
     """Frames within one frame interval of a boundary, else the single nearest frame.
 
-    Boundaries meet frames through a time cell, so a pair is formed only inside the
-    tolerance; the nearest-frame fallback comes from two as-of passes, not from pairs.
+    One ordered pass over frames and boundaries gives each row its neighbours of the other
+    side: a frame lies within the tolerance of some boundary if it does of the nearest one
+    before or after it, so no pair is formed however sparse or dense a series is. A block of the
+    pass is at least ``cell_seconds`` wide.
     """
     keys = list(keys)
     tol = median_interval(frames, keys, t, "tol")
     b = (bounds.select(*keys, F.col(bound).alias("b")).filter(F.col("b") > 0).distinct()
          .join(tol, keys, "left").withColumn("tol", F.coalesce("tol", F.lit(fallback_interval))))
-    cell = F.lit(float(cell_seconds))
-    wide = b.withColumn("cell", F.explode(F.sequence(F.floor((F.col("b") - F.col("tol")) / cell),
-                                                     F.floor((F.col("b") + F.col("tol")) / cell))))
-    f = frames.select(*keys, F.col(t).alias("ft")).withColumn("cell", F.floor(F.col("ft") / cell))
-    near = (f.join(wide, [*keys, "cell"]).filter(F.abs(F.col("ft") - F.col("b")) <= F.col("tol"))
-            .select(*keys, "b", "ft").distinct())
-    lonely = b.join(near.select(*keys, "b").distinct(), [*keys, "b"], "left_anti").select(*keys, "b")
-    ftab = f.select(*keys, "ft")
-    below = as_of(lonely, ftab.withColumn("m", F.col("ft")), keys, "b", "ft", "m", "lo", clamp_first=False)
-    flipped = as_of(lonely.withColumn("nb", -F.col("b")),
-                    ftab.select(*keys, (-F.col("ft")).alias("nf"), F.col("ft").alias("m")),
-                    keys, "nb", "nf", "m", "hi", clamp_first=False).select(*keys, "b", "hi")
-    fallback = (below.join(flipped, [*keys, "b"])
-                .select(*keys, "b", F.when(F.col("lo").isNull(), F.col("hi"))
-                        .when(F.col("hi").isNull(), F.col("lo"))
-                        .when(F.col("b") - F.col("lo") <= F.col("hi") - F.col("b"), F.col("lo"))
-                        .otherwise(F.col("hi")).alias("ft"))
-                .filter(F.col("ft").isNotNull()))
-    return near.unionByName(fallback).select(*keys, F.col("ft").alias(t)).distinct()
+    f = frames.select(*keys, F.col(t).alias("ft")).filter(F.col("ft").isNotNull()).distinct()
+    both = (f.unionByName(b, allowMissingColumns=True).filter(reduce(and_, [F.col(k).isNotNull() for k in keys], F.lit(True)))
+            .withColumn("__t", F.coalesce(F.col("ft").cast("double"), F.col("b").cast("double"))).withColumn("__side", F.col("b").isNotNull()))
+    both, blk = blocked(both, F.col("__t"), max(cell_seconds, BLOCK_SECONDS))
+    cut = F.when(F.col("b").isNotNull(), F.struct("b", "tol"))
+    near = with_carry(both, keys, ["__t", "__side"], [Carry("lo", "last", F.col("ft")), Carry("hi", "next", F.col("ft")),
+                                                      Carry("below", "last", cut), Carry("above", "next", cut)], blk)
+    within = lambda gap, tol: F.coalesce(gap <= tol, F.lit(False))
+    close = within(F.col("ft") - F.col("below.b"), F.col("below.tol")) | within(F.col("above.b") - F.col("ft"), F.col("above.tol"))
+    met = within(F.col("b") - F.col("lo"), F.col("tol")) | within(F.col("hi") - F.col("b"), F.col("tol"))
+    nearest = (F.when(F.col("lo").isNull(), F.col("hi")).when(F.col("hi").isNull(), F.col("lo"))
+               .when(F.col("b") - F.col("lo") <= F.col("hi") - F.col("b"), F.col("lo")).otherwise(F.col("hi")))
+    return (near.select(*keys, F.when(F.col("b").isNull(), F.when(close, F.col("ft"))).when(~met, nearest).alias(t))
+            .filter(F.col(t).isNotNull()).distinct())
 
 
 def _successors(cuts: np.ndarray, after: np.ndarray, min_shot: float) -> np.ndarray:
