@@ -154,7 +154,7 @@ def claim_text(spark, sf):
         F.when(F.col("event_type") == "click", "dominant_colour").when(F.col("event_type") == "view", "transcript")
         .when(F.col("event_type") == "error", "freeze").when(F.col("event_type") == "purchase", "Novel_Kind")
         .otherwise("object").alias("kind"),
-        F.when(v < 5, "no faces found").when(v < 10, F.concat(F.round(v).cast("int").cast("string"), F.lit(" BPM")))
+        F.when(v < 5, "no faces found").when(v < 10, F.concat(F.bround(v).cast("int").cast("string"), F.lit(" BPM")))
         .when(v < 20, "").when(v < 25, "well exposed").when(v < 40, "orange")
         .otherwise("a long tail of many words here").alias("val"), (v / 100.0).alias("conf"))
     return C.admit(c, "kind", "val", "conf").select("event_id", "form", "text")
