@@ -92,8 +92,10 @@ def palette(pixels: DataFrame) -> DataFrame:
 def loudness(summary: DataFrame, curve: DataFrame, silences: DataFrame, durations: DataFrame, shots: DataFrame) -> DataFrame:
     """Loudness claims: summary(entity_key, lufs, true_peak, lra), curve(entity_key, t, m), silences(entity_key, t0, t1).
 
-    A range of zero only counts when the momentary curve is flat as well.
+    A range of zero only counts when the momentary curve is flat as well. A reading of minus zero is zero.
     """
+    plain = lambda c: F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c))
+    summary, curve = summary.withColumns({c: plain(c) for c in ("lufs", "true_peak")}), curve.withColumn("m", plain("m"))
     c = curve.groupBy("entity_key").agg(F.stddev_pop("m").alias("spread"), F.max("m").alias("peak_m"))
     closed = silences.join(durations.select("entity_key", "duration"), "entity_key").withColumn("t1", F.coalesce("t1", "duration"))
     q = closed.groupBy("entity_key").agg(F.sum(F.greatest(F.lit(0.0), F.col("t1") - F.col("t0"))).alias("quiet"))
