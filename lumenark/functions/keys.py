@@ -30,12 +30,16 @@ def key_from_url(url: Column, pattern: str = PERMALINK, group: int = 2) -> Colum
 
 
 def canonical(url: Column, pattern: str = PERMALINK, base: str = "https://www.instagram.com") -> Column:
-    """struct(key, url, kind) of a permalink, or NULL: every spelling of a post collides on one key."""
-    kind = F.lower(F.regexp_extract(url, pattern, 1))
-    kind = F.when(kind == "reels", "reel").otherwise(kind)
-    key = F.regexp_extract(url, pattern, 2)
-    return F.when(key != "", F.struct(key.alias("key"), F.concat(F.lit(f"{base}/"), kind, F.lit("/"), key, F.lit("/")).alias("url"),
-                                      kind.alias("kind")))
+    """struct(key, url, kind) of a permalink, or NULL: every spelling of a post collides on one key.
+
+    The text is searched once; the parts are read from what was found, so ``pattern`` must not look around itself.
+    """
+    def parts(link: Column) -> Column:
+        kind, key = F.lower(F.regexp_extract(link, pattern, 1)), F.regexp_extract(link, pattern, 2)
+        kind = F.when(kind == "reels", "reel").otherwise(kind)
+        return F.when(key != "", F.struct(key.alias("key"), F.concat(F.lit(f"{base}/"), kind, F.lit("/"), key, F.lit("/")).alias("url"),
+                                          kind.alias("kind")))
+    return F.get(F.transform(F.array(F.regexp_extract(url, pattern, 0)), parts), F.lit(0))
 
 
 def is_upload(key: Column) -> Column:

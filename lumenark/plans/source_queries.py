@@ -16,7 +16,7 @@ from ..sources import exports as E
 from ..sources import files as S
 from ..sources import texts as X
 from .registry import query
-from .tables import EVENTS_TIMED_SQL, VECTORS_SQL, events_timed, load, vectors
+from .tables import EVENTS_TIMED_SQL, VECTORS_SQL, dealt, events_timed, load, vectors
 
 
 def _fresh(spark, name):
@@ -247,7 +247,7 @@ def export_slices(spark, sf):
 @query("caption_roundtrip", """
 SELECT 'Code' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS key, lower(c_mktsegment) || ',zeta' AS collections, c_name AS uploader, c_custkey * 1000 AS views, CAST(c_nationkey AS BIGINT) AS likes FROM customer""")
 def caption_roundtrip(spark, sf):
-    c = load(spark, sf, "customer")
+    c = dealt(load(spark, sf, "customer"))
     k = F.concat(F.lit("Code"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"))
     cap = X.build_caption(F.concat(F.lit("https://www.instagram.com/reel/"), k, F.lit("/")), k, F.array(F.lit("zeta"), F.lower("c_mktsegment"), F.lit("zeta")), F.col("c_name"),
                           F.col("c_custkey") * 1000, F.col("c_nationkey").cast("bigint"), F.lit(7).cast("bigint"), F.repeat(F.col("c_name"), 90))
