@@ -157,10 +157,11 @@ def _supported(pairs: DataFrame, by: Sequence[str], n_entities: Column, least: i
 def tag_edges(df: DataFrame, key: str, column: str, table: str, n_entities: Column) -> tuple[DataFrame, DataFrame]:
     """List-valued column to tags; the (entity, token) pairs are distinct before counting.
 
-    A cell is split once per distinct (entity, value), not once per row.
+    A cell is split once per distinct value, not once per row or entity.
     """
     cells = df.select(F.col(key).alias("k"), F.col(column).cast("string").alias("cell")).filter(F.col("cell").isNotNull()).distinct()
-    pairs = cells.select("k", F.explode(list_tokens(F.col("cell"))).alias("token")).distinct()
+    words = cells.select("cell").distinct().select("cell", F.explode(list_tokens(F.col("cell"))).alias("token"))
+    pairs = cells.join(words, "cell").select("k", "token").distinct()
     kept = _supported(pairs, ["token"], n_entities, MIN_SUPPORT)
     nid = tag_id(table, column, F.col("token"))
     nodes = kept.select(nid.alias("id"), F.lit("tag").alias("kind"), F.col("token").alias("label"), F.lit(column).alias("sub"),
