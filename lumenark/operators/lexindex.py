@@ -33,8 +33,11 @@ from ..functions import maths as M
 from ..functions import text as T
 
 BLOCK, BUCKETS = 4096, 64
+#: Blocks of a directory that one task groups and writes.
+SLICE = 16
 #: Blocks that are scored first, to learn what the others must reach.
 SEEDS = 4
+_PASSAGE = ("id", "dl", "weight", "entity_key", "source")
 _POSTING = ("id", "tf", "dl", "weight", "entity_key", "source")
 
 
@@ -43,6 +46,16 @@ def _tokens(text: Column, fold: bool) -> Column:
     return T.search_tokens(T.fold_accents(text) if fold else text)
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """(attributes, term, tf) of passages with ``tokens``, counted inside the row: equal tokens stand together once they are sorted."""
+    same = rows.select(*_PASSAGE, F.sort_array("tokens").alias("s"))
+    heads = F.filter(F.transform("s", lambda t, i: F.struct(t.alias("term"), i.alias("at"))),
+                     lambda h: (h["at"] == 0) | (h["term"] != F.get("s", h["at"] - 1)))
+    same = same.select(*_PASSAGE, heads.alias("heads"))
+    terms = F.transform("heads", lambda h, k: F.struct(h["term"].alias("term"), (F.coalesce(F.get("heads", k + 1)["at"], F.col("dl")) - h["at"]).alias("tf")))
+    return same.select(*_PASSAGE, F.explode(terms).alias("t")).select(*_PASSAGE, "t.term", "t.tf")
+
+
 class LexicalIndex:
     """An index in the folder ``path``; ``fold`` must be the one it was begun with."""
 
@@ -81,21 +94,36 @@ class LexicalIndex:
         here = f"batch={batch}"
         rows = rows.withColumn("dl", F.size("tokens"))
         blocks = max(1, -(-moments.count() // BLOCK))
-        attributes = ("id", "dl", "weight", "entity_key", "source")
-        rows.select(*attributes).write.mode("overwrite").parquet(f"{self.path}/passages/{here}")
-        counted = rows.select(*attributes, F.explode("tokens").alias("term")).groupBy("term", *attributes).agg(F.count("*").cast("int").alias("tf"))
-        block = F.concat_ws(".", F.lit(str(batch)), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("string"))
-        lists = counted.groupBy("term", block.alias("block")).agg(
-            F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
-            F.max(F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.05))).alias("max_weight"), F.collect_list(F.struct(*_POSTING)).alias("posts"))
-        lists.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).repartitionByRange("bucket", "term", "block") \
-            .sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/postings/{here}")
+        rows.select(*_PASSAGE).write.mode("overwrite").parquet(f"{self.path}/passages/{here}")
+        self._grouped(rows, batch, blocks, self._repeated(here)).write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/postings/{here}")
         mine = self.read("postings").where(F.col("batch") == batch)
         mine.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")).repartitionByRange("term").sortWithinPartitions("term") \
             .write.mode("overwrite").parquet(f"{self.path}/terms/{here}")
         self.spark.read.parquet(f"{self.path}/passages/{here}").agg(F.count("*").alias("n"), F.sum(F.col("dl").cast("bigint")).alias("tokens")) \
             .write.mode("overwrite").parquet(f"{self.path}/totals/{here}")
 
+    def _repeated(self, here: str) -> bool:
+        """Whether a batch has a passage twice: its counts then add up in one posting."""
+        passages = self.spark.read.parquet(f"{self.path}/passages/{here}")
+        return not passages.groupBy(*_PASSAGE).count().where("count > 1").isEmpty()
+
+    def _grouped(self, rows: DataFrame, batch: int, blocks: int, repeated: bool) -> DataFrame:
+        """Rows of ``postings`` of passages with ``tokens`` and ``dl``, as they are written.
+
+        One shuffle, by directory and a slice of the blocks: what is grouped and sorted after it lies there already.
+        """
+        number = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        place = ("bucket", "slice", "term", "number")
+        counted = _counted(rows).withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"), "number": number}) \
+            .withColumn("slice", F.pmod("number", F.lit(max(1, blocks // SLICE)))).repartition("bucket", "slice")
+        if repeated:
+            counted = counted.groupBy(*place, *_PASSAGE).agg(F.sum("tf").cast("int").alias("tf"))
+        lists = counted.groupBy(*place).agg(
+            F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
+            F.max(F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.05))).alias("max_weight"), F.collect_list(F.struct(*_POSTING)).alias("posts"))
+        block = F.concat_ws(".", F.lit(str(batch)), F.col("number").cast("string"))
+        return lists.select("term", block.alias("block"), "n", "cf", "max_tf", "min_dl", "max_weight", "posts", "bucket").sortWithinPartitions("bucket", "term", "block")
+
     # ---- the dictionary --------------------------------------------------------------
 
     def vocabulary(self, prefix: str = "") -> DataFrame:

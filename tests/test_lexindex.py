@@ -104,3 +104,22 @@ def test_hybrid_counts_every_match(grown, spark):
     most = max(want.values())
     kept = search.hybrid(df.withColumn("t_start", F.col("id")), cards, "red", candidates=5, index=index, filters=search.Filters(min_hits=most)).hits.collect()
     assert kept and all(want[r["entity_key"]] == r["hit_count"] == most for r in kept)
+
+
+def test_postings_are_counted_in_the_row_and_shuffled_once(spark, tmp_path):
+    index = LexicalIndex(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "b a b", 1.0), (1, "a b b", 1.0), (2, "", 1.0), (None, "c", None)], "id bigint, text string, weight double")
+    rows = rows.select("id", F.split("text", " ").alias("tokens"), "weight", F.lit(None).cast("string").alias("entity_key"), F.lit(None).cast("string").alias("source")) \
+        .withColumn("tokens", F.filter("tokens", lambda t: t != "")).withColumn("dl", F.size("tokens"))
+    for repeated in (False, True):  # the second text of passage 1 adds to the postings of the first
+        out = index._grouped(rows, 0, 1, repeated)
+        assert len(re.findall(r"Exchange ", out._jdf.queryExecution().executedPlan().toString())) == 1
+        got = {r["term"]: (r["n"], r["cf"], sorted((p["id"] or 0, p["tf"]) for p in r["posts"])) for r in out.collect()}
+        both = {True: {"a": (1, 2, [(1, 2)]), "b": (1, 4, [(1, 4)])}, False: {"a": (2, 2, [(1, 1), (1, 1)]), "b": (2, 4, [(1, 2), (1, 2)])}}
+        assert got == both[repeated] | {"c": (1, 1, [(0, 1)])}
+
+
+def test_a_passage_that_comes_twice_is_one_posting(spark, tmp_path):
+    index = LexicalIndex(spark, str(tmp_path))
+    index.append(spark.createDataFrame([(1, "red fox"), (1, "red fox"), (2, "red")], "id bigint, text string"), 0)
+    assert {(r["term"], r["df"], r["cf"]) for r in index.read("terms").collect()} == {("red", 2, 3), ("fox", 1, 2)}
