@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -44,19 +44,20 @@ def learn(candidates: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]
     """(aliases, conflicts): the strongest witness of each alias wins, the others are kept as conflicts.
 
     A candidate whose target is no known key, or whose alias is another entity's own key, is
-    no alias.  One aggregate per alias; disagreements come from the distinct targets only.
+    no alias.  The witnesses of an alias are brought together once and ordered by strength; disagreements
+    come from those of other targets only.
     """
     known = keys.select(F.col("entity_key").cast("string").alias("entity_key")).distinct()
-    ok = (candidates.filter(K.looks_canonical(F.col("entity_key")) & (F.trim("alias") != ""))
-          .join(known, "entity_key", "left_semi")
+    ok = (candidates.filter(F.trim("alias") != "")
+          .join(known.filter(K.looks_canonical(F.col("entity_key"))), "entity_key", "left_semi")
           .join(known.select(F.col("entity_key").alias("alias"), F.lit(True).alias("is_key")), "alias", "left")
           .filter(F.col("is_key").isNull() | (F.col("alias") == F.col("entity_key"))))
-    per = ok.groupBy("alias", "entity_key").agg(F.min(F.struct("prio", "kind")).alias("w"))
-    won = per.groupBy("alias").agg(F.min_by(F.struct("entity_key", "w"), F.struct("w.prio", "entity_key")).alias("x"))
-    aliases = won.select("alias", "x.entity_key", F.col("x.w.kind").alias("kind"), F.col("x.w.prio").alias("prio"))
-    lost = (per.join(aliases.select("alias", F.col("entity_key").alias("kept")), "alias")
+    strongest = Window.partitionBy("alias").orderBy("prio", "entity_key", "kind")
+    aliases = ok.withColumn("rn", F.row_number().over(strongest)).filter(F.col("rn") == 1).select("alias", "entity_key", "kind", "prio")
+    lost = (ok.withColumn("kept", F.first("entity_key").over(strongest.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
             .filter(F.col("entity_key") != F.col("kept"))
-            .select("alias", "kept", F.col("entity_key").alias("refused"), F.col("w.kind").alias("kind")))
+            .groupBy("alias", "kept", F.col("entity_key").alias("refused")).agg(F.min(F.struct("prio", "kind")).alias("w"))
+            .select("alias", "kept", "refused", F.col("w.kind").alias("kind")))
     return aliases, lost
 
 
@@ -124,7 +125,6 @@ def audit(spellings: DataFrame, aliases: DataFrame, keys: DataFrame, advisory: s
     per = r.groupBy("tbl", "col").agg(F.count("*").alias("spellings"), F.count_distinct("entity_key").alias("entities"),
                                       F.count_distinct(F.when(F.col("known").isNull(), F.col("entity_key"))).alias("unresolved"))
     bad = r.filter(F.col("known").isNull() & F.col("entity_key").isNotNull()).select("tbl", "col", "entity_key").distinct()
-    from pyspark.sql import Window
     w = Window.partitionBy("tbl", "col").orderBy("entity_key")
     five = (bad.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 5)
             .groupBy("tbl", "col").agg(F.array_sort(F.collect_list("entity_key")).alias("examples")))
