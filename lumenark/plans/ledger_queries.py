@@ -134,6 +134,10 @@ def item_replay(spark, sf):
     return L.replay(journal(spark, sf))
 
 
+#: Rows of a staged file, and bytes that a task reads of such files.
+FILE_ROWS, SPLIT_BYTES = 500_000, 8 << 20
+
+
 def _stage(spark, df, name, parts=3):
     """Write rows as a few files for a file stream to pick up."""
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
@@ -172,10 +176,12 @@ SELECT user_id, n, count(*) AS sessions FROM (SELECT user_id, g, count(*) AS n F
 def stream_sessions(spark, sf):
     from .tables import epoch_seconds
     e = load(spark, sf, "events").select(F.timestamp_millis((F.round(epoch_seconds(F.col("ts")), 3) * 1000).cast("bigint")).alias("at"), "user_id")
-    path = _stage(spark, e, "sess", 1)
+    # One batch of files of a bounded size, so that no task holds more than a few of them.
+    files = max(1, -(-e.count() // FILE_ROWS))
+    path = _stage(spark, e, "sess", files)
     out = path + "/out"
-    ses = St.sessions(St.parquet_stream(spark, path + "/in", e), "at", "user_id", "12 hours")
-    St.run_available(ses, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/b={n}"), path + "/cp", mode="complete")
+    ses = St.sessions(St.parquet_stream(spark, path + "/in", e, files), "at", "user_id", "12 hours")
+    St.run_available(ses, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/b={n}"), path + "/cp", mode="complete", split_bytes=SPLIT_BYTES)
     last = spark.read.parquet(out)
     newest = last.agg(F.max("b")).scalar()
     return last.filter(F.col("b") == newest).groupBy("user_id", "n").agg(F.count("*").alias("sessions"))
