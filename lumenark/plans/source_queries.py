@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -188,10 +189,13 @@ def _exports(spark, sf):
                 z.writestr(name, text)
         return out.getvalue()
 
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
     def write(batches):
-        for pdf in batches:
-            out = []
-            for g, rows in zip(pdf["g"], pdf["rows"]):
+        for batch in batches:
+            out, size = [], 0
+            for g, rows in zip(*batch.columns):  # one file's rows at a time become Python objects
+                g, rows = g.as_py(), rows.as_py()
                 at = [(r["segment"], "https://instagram.com/reel/" + r["code"]) for r in rows]
                 tree = json.dumps({"saved": [{"string_map_data": {"Name": {"value": s.lower()}, "Post": {"href": u}}} for s, u in at]})
                 form = g % 5
@@ -205,12 +209,17 @@ def _exports(spark, sf):
                     out.append((f"dump{g}.md", "".join(f"# {s} #\n- {u}\n" for s, u in at).encode()))
                 else:
                     out.append((f"dump{g}.txt", "\n".join(u for _, u in at).encode()))
-            yield pd.DataFrame(out, columns=["path", "content"])
+                size += len(out[-1][1])
+                if size > E.BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     c = load(spark, sf, "customer")
     code = F.concat(F.lit("Code"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"))
     rows = c.groupBy(F.floor(F.col("c_custkey") / 40).alias("g")).agg(F.collect_list(F.struct(F.col("c_mktsegment").alias("segment"), code.alias("code"))).alias("rows"))
-    return rows.mapInPandas(write, "path string, content binary")
+    return rows.mapInArrow(write, "path string, content binary")
 
 
 @query("mixed_exports", f"""

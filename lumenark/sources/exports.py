@@ -22,7 +22,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ MEMBER = "path string, member string, kind string, stem string, text string, lin
 UNSORTED = "uncategorised"
 #: Bytes of text a task holds before it hands rows on.
 BATCH_BYTES = 4 << 20
+#: What a link (a dict of two strings) takes there.
+LINK_BYTES = 512
 
 
 @dataclass
@@ -115,31 +117,37 @@ def unpack(files: DataFrame, likely: bool = True, link: str = K.PERMALINK) -> Da
     """(path, member, kind, stem, text, links): loose files and the wanted members of archives; without ``likely`` the others of archives only."""
     pattern = re.compile(link)
 
-    def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            data = b"" if content is None else bytes(content)
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for path, content in zip(*batch.columns):  # one file at a time becomes a Python object
+            path, data = path.as_py(), content.as_py() or b""
             kind = kind_of(path or "", data)
             if kind == "archive":
                 yield from _members(path, data, likely, pattern)
             elif likely:
                 yield _loose(path, data, kind, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in MEMBER.split(", ")]
-        for pdf in batches:
+    link_type = pa.list_(pa.struct([("url", pa.string()), ("label", pa.string())]))
+    schema = pa.schema([(f.split()[0], link_type if f.startswith("links ") else pa.string()) for f in MEMBER.split(", ")])
+
+    def table(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             held, size = [], 0
-            for row in rows(pdf):
+            for row in rows(batch):
                 held.append(row)
-                size += len(row[4] or "") + 64 * len(row[5] or ()) + 64
+                size += len(row[4] or "") + LINK_BYTES * len(row[5] or ()) + 64
                 if size > BATCH_BYTES:
-                    yield pd.DataFrame(held, columns=names)
+                    yield table(held)
                     held, size = [], 0
-            yield pd.DataFrame(held, columns=names)
+            if held:
+                yield table(held)
 
     marked = F.col("text").isNotNull()
     plain = F.when(F.col("kind") == "page", X.html_to_markdown(F.col("text"))).otherwise(F.col("text"))
     lines = F.filter(F.split(plain, r"\r\n|\r|\n"), lambda line: line.rlike(X.HEADER) | line.rlike(link))
-    return files.select("path", "content").mapInPandas(run, MEMBER).withColumn("text", F.when(marked, F.array_join(lines, "\n")))
+    return files.select("path", "content").mapInArrow(run, MEMBER).withColumn("text", F.when(marked, F.array_join(lines, "\n")))
 
 
 def _links(members: DataFrame, link: str) -> DataFrame:
