@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 # Least support, token length, fan-out.
 MIN_SUPPORT = 2
@@ -63,10 +63,10 @@ def parse_id(node: Column) -> Column:
 
 # ---- tokens --------------------------------------------------------------------------
 
-def clean_token(item: Column) -> Column:
-    s = F.lower(F.regexp_replace(T.squeeze(item), r"^[\"'\[\]{}()]+|[\"'\[\]{}()]+$", ""))
-    good = (F.length(s) >= 2) & (F.length(s) <= MAX_TOKEN) & ~F.replace(s, F.lit("."), F.lit("")).rlike(r"^\d+$")
-    return F.when(good, s)
+def clean_tokens(items: Column) -> Column:
+    """The tokens of an array of strings; what is none, or NULL, is left out. Each string is cleaned once."""
+    cleaned = F.transform(items, lambda x: F.lower(F.regexp_replace(T.squeeze(x), r"^[\"'\[\]{}()]+|[\"'\[\]{}()]+$", "")))
+    return F.filter(cleaned, lambda s: (F.length(s) >= 2) & (F.length(s) <= MAX_TOKEN) & ~F.replace(s, F.lit("."), F.lit("")).rlike(r"^\d+$"))
 
 
 def is_structured(value: Column) -> Column:
@@ -100,13 +100,13 @@ def split_list(value: Column) -> Column:
 
 
 def list_tokens(value: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(split_list(value), clean_token), lambda x: x.isNotNull()))
+    return F.array_distinct(clean_tokens(split_list(value)))
 
 
 def list_column(df: DataFrame, column: str) -> DataFrame:
     """One row (seen, listy, mean_words, is_list), judged on all cells of the column in one aggregate."""
     s = df.select(F.trim(F.col(column).cast("string")).alias("s")).filter(F.coalesce("s", F.lit("")) != "")
-    t = s.select("s", F.filter(F.transform(split_list(F.col("s")), clean_token), lambda x: x.isNotNull()).alias("t"))
+    t = s.select("s", clean_tokens(split_list(F.col("s"))).alias("t"))
     n_words = F.aggregate(F.transform("t", lambda x: F.size(F.split(x, r"\s+"))), F.lit(0), lambda a, b: a + b)
     agg = t.agg(F.count("*").alias("seen"),
                 F.count_if((F.size("t") >= 2) | (F.col("s").rlike(r"^[\[{]") & (F.size("t") >= 1))).alias("listy"),
@@ -188,15 +188,18 @@ def hashtag_edges(df: DataFrame, key: str, column: str, table: str) -> tuple[Dat
 
 def attribute_edges(df: DataFrame, key: str, attr: str, value: str, table: str, n_entities: Column,
                     channel: str | None = None, source: str = "meta") -> tuple[DataFrame, DataFrame]:
-    """Entity-attribute-value rows: one node per (property, value) shared by several entities."""
+    """Entity-attribute-value rows: one node per (property, value) shared by several entities.
+
+    A row's value is cleaned once, by the generator; a filter on the token would clean it again. The
+    (entity, property, value) rows are written once: support, nodes and edges all come from them.
+    """
     rows = (df.filter(F.col(attr).isNotNull() & ~is_structured(F.col(value).cast("string")))
             .select(F.col(key).alias("k"), F.col(attr).cast("string").alias("attribute"),
-                    clean_token(F.col(value).cast("string")).alias("token"),
-                    (F.col(channel) if channel else F.lit(None)).cast("string").alias("chan"))
-            .filter(F.col("token").isNotNull()))
-    pairs = rows.select("k", "attribute", "token").distinct()
+                    (F.col(channel) if channel else F.lit(None)).cast("string").alias("chan"),
+                    F.explode(clean_tokens(F.array(F.col(value).cast("string")))).alias("token")))
+    pairs = written(rows.groupBy("k", "attribute", "token").agg(F.min("chan").alias("lo"), F.max("chan").alias("hi")), "attributes")
     kept = _supported(pairs, ["attribute", "token"], n_entities, MIN_SUPPORT)
-    chans = rows.groupBy("attribute", "token").agg(F.min("chan").alias("lo"), F.max("chan").alias("hi"))
+    chans = pairs.groupBy("attribute", "token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     nid = attr_id(table, F.col("attribute"), F.col("token"))
     nodes = kept.join(chans, ["attribute", "token"]).select(
         nid.alias("id"), F.lit("attr").alias("kind"), F.col("token").alias("label"), F.col("attribute").alias("sub"),
@@ -221,8 +224,8 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("weight").alias("weight"))
 
 
-def build(cards: DataFrame, *parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) from the cards and any number of (nodes, edges) parts.
+def gather(cards: DataFrame, *parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(nodes without weight, edges not yet added up) from the cards and any number of (nodes, edges) parts.
 
     Edges whose entity has no card are left out.
     """
@@ -232,10 +235,16 @@ def build(cards: DataFrame, *parts: tuple[DataFrame, DataFrame]) -> tuple[DataFr
         nodes = nodes.unionByName(n)
         edges = e if edges is None else edges.unionByName(e)
     known = ents.select(F.col("id").alias("src"))
-    edges = accumulate_edges(edges.join(known, "src", "left_semi"))
     first = nodes.groupBy("id").agg(F.min_by(F.struct("kind", "label", "sub", "meta"), F.struct("label", "sub")).alias("n"))
-    full = first.join(degree(edges), "id", "left").select(
-        "id", "n.kind", "n.label", "n.sub", F.coalesce("weight", F.lit(0.0)).alias("weight"), "n.meta")
+    return first.select("id", "n.*"), edges.join(known, "src", "left_semi")
+
+
+def build(cards: DataFrame, *parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) from the cards and any number of (nodes, edges) parts, weights added up."""
+    nodes, edges = gather(cards, *parts)
+    edges = accumulate_edges(edges)
+    full = nodes.join(degree(edges), "id", "left").select(
+        "id", "kind", "label", "sub", F.coalesce("weight", F.lit(0.0)).alias("weight"), "meta")
     return full, edges
 
 
