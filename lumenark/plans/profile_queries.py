@@ -188,7 +188,7 @@ SELECT term, {LIFT_EXPR} AS z, CAST(y_in AS BIGINT) AS n_in, CAST(y_out AS BIGIN
 ORDER BY 2 DESC, term LIMIT 18""")
 def phrase_lift(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", "text").join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    return P.lift(P.term_counts(d, "quality"), "quality", 1).select("term", "z", "n_in", "n_out")
+    return P.lift(P.term_rows(d, "quality"), "quality", 1).select("term", "z", "n_in", "n_out")
 
 
 @query("beat_slots", f"""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lumenark.operators import graph
+from lumenark.operators import graph, profile
 
 
 def test_attribute_rows_are_read_and_cleaned_once(spark, tmp_path):
@@ -24,3 +24,24 @@ def test_gathered_parts_are_those_of_the_built_graph(spark):
     built, added = graph.build(cards, (nodes, edges))
     assert [tuple(r) for r in added.collect()] == [("v:1", "t:x", "s", 3.0, "a")]
     assert {r["id"]: r["weight"] for r in built.collect()} == {"t:x": 3.0, "v:1": 3.0, "v:2": 0.0}
+
+
+def grams(text):
+    ws, stop = text.split(), set(profile.GRAM_STOP)
+    for n in (1, 2, 3):
+        for i in range(len(ws) - n + 1):
+            part = ws[i:i + n]
+            if not all(w in stop for w in part) and (n > 1 or len(part[0]) >= 3):
+                yield " ".join(part)
+
+
+def test_lift_adds_terms_up_in_one_shuffle(spark):
+    texts = [(1, "the red fox and the red hen"), (1, "red fox"), (2, "of the"), (2, "the"), (2, ""), (2, None), (None, "red hen is in"), (2, "a red fox is it")]
+    df = spark.createDataFrame(texts, "g int, text string")
+    got = sorted((r["g"] or 0, r["term"]) for r in profile.term_rows(df, "g").collect())
+    assert got == sorted((g or 0, t) for g, text in texts for t in grams(text or ""))
+    rows = profile.lift(profile.term_rows(df, "g"), "g", 1, min_n=1)
+    assert "Aggregate [g#" not in rows._jdf.queryExecution().optimizedPlan().toString() and "zip_with" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    counted = profile.lift(profile.term_counts(df, "g"), "g", 1, min_n=1)
+    assert [tuple(r) for r in rows.collect()] == [tuple(r) for r in counted.collect()]
+    assert {r["term"]: (r["n_in"], r["n_out"]) for r in rows.collect()}["red fox"] == (2, 1)
