@@ -1,8 +1,11 @@
 """Work that was done several times over the input is done once: attribute values, n-grams, state commits."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from lumenark.operators import graph, profile
+from lumenark.streaming import pipelines
 
 
 def test_attribute_rows_are_read_and_cleaned_once(spark, tmp_path):
@@ -45,3 +48,12 @@ def test_lift_adds_terms_up_in_one_shuffle(spark):
     counted = profile.lift(profile.term_counts(df, "g"), "g", 1, min_n=1)
     assert [tuple(r) for r in rows.collect()] == [tuple(r) for r in counted.collect()]
     assert {r["term"]: (r["n_in"], r["n_out"]) for r in rows.collect()}["red fox"] == (2, 1)
+
+
+def test_a_commit_of_state_writes_its_changes(spark, tmp_path):
+    folder, schema = str(tmp_path), "alias string, entity_key string, kind string, prio int"
+    spark.createDataFrame([("tg7", "cust_01", "message", 2), ("tg7", "cust_01", "url", 1)], schema).write.parquet(f"{folder}/in")
+    pipelines.learn_stream(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/cp")
+    assert [tuple(r) for r in spark.read.parquet(f"{folder}/out").select("alias", "prio", "kind").collect()] == [("tg7", 1, "url")]
+    assert glob.glob(f"{folder}/cp/state/**/*.changelog", recursive=True)
+    assert spark.conf.get(f"{pipelines.STORE}.rocksdb.trackTotalNumberOfRows", None) is None  # the session's own settings are back
