@@ -19,7 +19,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .graph import FANOUT, accumulate_edges
 
 BUCKETS = 32
@@ -45,7 +45,7 @@ class StoredGraph:
     def append(self, nodes: DataFrame | None, edges: DataFrame | None, batch: int) -> None:
         """Adds nodes (id, kind, label, sub, meta) and edge deltas (src, dst, rel, weight, ref)."""
         if edges is not None:
-            e = accumulate_edges(edges)
+            e = written(accumulate_edges(edges), "edges")  # dealing rows by range reads them twice
             ends = F.explode(F.array(F.struct(F.col("src").alias("anchor"), F.col("dst").alias("other"), F.lit(True).alias("forward")),
                                      F.struct(F.col("dst").alias("anchor"), F.col("src").alias("other"), F.lit(False).alias("forward"))))
             self._write(e.select(ends.alias("x"), "rel", F.col("weight").cast("double").alias("weight"), "ref")

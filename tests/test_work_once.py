@@ -4,7 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
-from lumenark.operators import graph, profile
+from lumenark.operators import graph, graphstore, profile
 from lumenark.streaming import pipelines
 
 
@@ -57,3 +57,13 @@ def test_a_commit_of_state_writes_its_changes(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(f"{folder}/out").select("alias", "prio", "kind").collect()] == [("tg7", 1, "url")]
     assert glob.glob(f"{folder}/cp/state/**/*.changelog", recursive=True)
     assert spark.conf.get(f"{pipelines.STORE}.rocksdb.trackTotalNumberOfRows", None) is None  # the session's own settings are back
+
+
+def test_stored_links_are_dealt_from_edges_added_up_before(spark, tmp_path, monkeypatch):
+    dealt, write = {}, graphstore.StoredGraph._write
+    monkeypatch.setattr(graphstore.StoredGraph, "_write", lambda self, df, table, *a: (dealt.setdefault(table, df), write(self, df, table, *a)))
+    edges = spark.createDataFrame([("v:1", "t:x", "s", 1.0, "b"), ("v:1", "t:x", "s", 2.0, "a"), ("v:2", "v:2", "s", 1.0, "c")], "src string, dst string, rel string, weight double, ref string")
+    store = graphstore.StoredGraph(spark, f"{tmp_path}/graph")
+    store.append(None, edges, 0)
+    assert "Aggregate" not in dealt["links"]._jdf.queryExecution().optimizedPlan().toString()  # ranges are drawn by reading the rows twice
+    assert [tuple(r) for r in store.edges().collect()] == [("v:1", "t:x", "s", 3.0, "a")]
