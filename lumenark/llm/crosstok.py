@@ -29,12 +29,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import WORKER, Scratch, arrow_map, table, text_bytes
-from lumenark.llm.encode import Encoder, _Cache, _byte_letters, _Irregular
+from lumenark.llm.common import WORKER, Scratch, arrow_map, release, small_batches, table, text_bytes
+from lumenark.llm.encode import Chunks, Encoder, _Cache, _byte_letters, _Irregular
 
 STATE = "aligner"
 #: Documents and bytes of text of a chunk.
 CHUNK_ROWS, CHUNK_BYTES = 4096, 4 << 20
+#: Bytes of text of a chunk that are aligned at once: a byte takes some hundred bytes of arrays meanwhile.
+STEP_BYTES = 1 << 19
+#: Row groups of 32 MB: two writers share an executor with two workers.
+LINKED_OPTIONS = {"compression": "zstd", "parquet.block.size": str(32 << 20)}
 
 
 def gallop(values: np.ndarray, low: np.ndarray, high: np.ndarray, guess: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -110,7 +114,7 @@ def intersect(a_ends: np.ndarray, a_at: np.ndarray, b_ends: np.ndarray, b_at: np
 class Pieces:
     """Ids and bytes of a sentencepiece model; a space stands before every text."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 200_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -118,23 +122,31 @@ class Pieces:
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         # If no piece goes on after a space, what follows a single space is encoded for itself.
         self.apart = not any("▁" in n.lstrip("▁") for n in names)
-        self.chunks = _Cache(self._whole, room)
+        self.chunks = _Cache(self._alone, room)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, num_threads=1), dtype="<u4").tobytes()
+        return np.array(self.model.encode(text, num_threads=1), dtype="<u4").tobytes() if text else b""
+
+    def _alone(self, chunk: str) -> bytes:
+        if not self.apart or not chunk or "▁" in chunk:
+            raise _Irregular
+        return self._whole(chunk)
 
     def encode(self, text: str) -> bytes:
-        chunks = text.split(" ")
-        if not self.apart or "" in chunks or "▁" in text:
+        try:
+            return b"".join(map(self.chunks.__getitem__, text.split(" ")))
+        except _Irregular:
             return self._whole(text)
-        return b"".join(map(self.chunks.__getitem__, chunks))
+
+    def encode_column(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:
+        return chunks.encode(self.chunks.__getitem__, self._whole)
 
 
 class ByteLevel:
     """Ids and bytes of a byte-level vocabulary for a space and the text."""
 
-    def __init__(self, path: str):
-        self.encoder = Encoder(path)
+    def __init__(self, path: str, room: int = 200_000):
+        self.encoder = Encoder(path, room)
         self.encoder.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -143,11 +155,17 @@ class ByteLevel:
         for entry, i in spec["model"]["vocab"].items():
             self.bytes[i] = bytes(back[c] for c in entry) if all(c in back for c in entry) else entry.encode()
 
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.encoder.wide.__getitem__, re.split(r"(?<=\S)(?= \S)", " " + text))) if text else b""
+
     def encode(self, text: str) -> bytes:
         try:
             return b"".join(map(self.encoder.inner.__getitem__, text.split(" ")))
         except _Irregular:
-            return b"".join(map(self.encoder.wide.__getitem__, re.split(r"(?<=\S)(?= \S)", " " + text)))
+            return self._whole(text)
+
+    def encode_column(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:
+        return chunks.encode(self.encoder.inner.__getitem__, self._whole)
 
 
 class _Table:
@@ -215,7 +233,7 @@ class Aligner:
 
     def align(self, column) -> Aligned:
         """Of an Arrow string column."""
-        texts = column.to_pylist()
+        chunks = Chunks(column)
         raw, offsets = text_bytes(column)
         sizes = np.diff(offsets)
         sizes = np.where(sizes > 0, sizes + 1, 0)  # with the space
@@ -227,9 +245,7 @@ class Aligner:
         good = sizes > 0
         found = []
         for side, known in zip(self.sides, self.tables):
-            coded = [side.encode(t) if t else b"" for t in texts]
-            at = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int64)
-            ids = np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int64)
+            ids, at = side.encode_column(chunks)
             total = np.concatenate([[0], np.cumsum(known.size[ids])])[at]
             same = np.diff(total) == sizes
             token_ok, byte_ok = np.repeat(same, np.diff(at)), np.repeat(same, sizes)
@@ -295,21 +311,31 @@ def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
     import pyarrow as pa
 
     def link(batch):
-        x = aligner(a_path, b_path).align(batch.column("text"))
         n = batch.num_rows
-        text, pair = x.links()
-        pairs, code = np.unique(pair, return_inverse=True)
-        keys, times = np.unique(text * max(len(pairs), 1) + code.ravel(), return_counts=True)
-        owner, code = keys // max(len(pairs), 1), keys % max(len(pairs), 1)
-        at = np.searchsorted(owner, np.arange(n + 1)).tolist()
-        groups = [hashlib.sha256(g).hexdigest() if g else "" for g in x.group_texts()]
-        raw, raw_times = code.astype("<u4").tobytes(), times.astype("<u4").tobytes()
+        sizes, groups, lists, owners, codes, counts = [], [], [], [], [], []
+        rows = known = 0
+        for step in small_batches([batch], CHUNK_ROWS, STEP_BYTES):
+            x = aligner(a_path, b_path).align(step.column("text"))
+            text, pair = x.links()
+            sizes.append([np.diff(x.a_at), np.diff(x.b_at), np.bincount(x.text[x.common], minlength=step.num_rows), np.bincount(text, minlength=step.num_rows)])
+            groups += [hashlib.sha256(g).hexdigest() if g else "" for g in x.group_texts()]
+            distinct, code = np.unique(pair, return_inverse=True)
+            keys, times = np.unique(text * max(len(distinct), 1) + code.ravel(), return_counts=True)
+            owner, code = np.divmod(keys, max(len(distinct), 1))
+            lists.append(distinct)
+            owners.append(owner + rows)
+            codes.append(code + known)
+            counts.append(times.astype("<u4"))
+            rows, known = rows + step.num_rows, known + len(distinct)
+        pairs, place = np.unique(np.concatenate(lists), return_inverse=True)
+        code = place.ravel()[np.concatenate(codes)]
+        at = np.searchsorted(np.concatenate(owners), np.arange(n + 1)).tolist()
+        raw, raw_times = code.astype("<u4").tobytes(), np.concatenate(counts).tobytes()
         slices = [[r[4 * i: 4 * j] for i, j in zip(at[:-1], at[1:])] for r in (raw, raw_times)]
         mine = uuid.uuid4().int >> 65
         first = lambda values: [values] + [None] * (n - 1)
         cols = [
-            pa.array([mine] * n, type=pa.int64()), batch.column("doc_id"), pa.array(np.diff(x.a_at)), pa.array(np.diff(x.b_at)),
-            pa.array(np.bincount(x.text[x.common], minlength=n)), pa.array(np.bincount(text, minlength=n)), pa.array(groups),
+            pa.array([mine] * n, type=pa.int64()), batch.column("doc_id"), *[pa.array(np.concatenate(c)) for c in zip(*sizes)], pa.array(groups),
             pa.array(slices[0], type=pa.binary()), pa.array(slices[1], type=pa.binary()),
             pa.array(first(pairs), type=pa.list_(pa.int64())), pa.array(first(np.bincount(code, minlength=len(pairs))), type=pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in LINKED_SCHEMA.split(", ")])
@@ -329,7 +355,7 @@ def link_statistics(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     import pyarrow as pa
 
     scratch = Scratch(docs.sparkSession, "cross-tokenizer")
-    table_ = scratch.keep(linked(docs, a_path, b_path, id_col, text_col), "linked", compression="zstd")
+    table_ = scratch.keep(linked(docs, a_path, b_path, id_col, text_col), "linked", **LINKED_OPTIONS)
     lists = table_.where("pairs IS NOT NULL").select(F.col("chunk").alias("asker"), F.posexplode(F.arrays_zip("pairs", "held")).alias("i", "x")) \
         .select("asker", "i", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
     counts = scratch.keep(pair_counts(lists), "counts")
@@ -339,6 +365,7 @@ def link_statistics(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
 
     def sums(texts, answers):
         """``answers`` has as many rows as the chunk has pairs."""
+        release(None)
         order = np.argsort(answers.column("i").to_numpy())
         n_docs, best = answers.column("n_docs").to_numpy()[order], answers.column("best").to_numpy()[order]
         raw = [texts.column(c).to_pylist() for c in ("at", "times")]

@@ -3,13 +3,17 @@
 A text is the concatenation of chunks that the tokenizer can never join: its pre-tokenizer has a
 boundary before every single space between two non-space characters, and around a single newline
 between two. Chunks repeat, so each worker keeps their ids; a text whose white space is not of
-that plain kind is encoded over longer chunks, which is as exact and slower.
+that plain kind is encoded over longer chunks, which is as exact and slower. Of a column of texts
+each distinct chunk is looked up once; its ids are then gathered for all its occurrences.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+
+import numpy as np
 
 from lumenark.llm.common import WORKER
 
@@ -25,6 +29,10 @@ class _Irregular(Exception):
     pass
 
 
+#: Longer chunks are not kept: texts without spaces are one chunk each.
+_KEPT_LENGTH = 64
+
+
 class _Cache(dict):
     """Two generations: what was used since the last turn survives it, so memory stays bounded."""
 
@@ -36,6 +44,8 @@ class _Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > _KEPT_LENGTH:
+                return value
         if len(self) >= self.room:
             self.old = dict(self)
             self.clear()
@@ -50,10 +60,82 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def _distinct(values: list[str], make: Callable[[str], bytes]) -> tuple[list[bytes], list[int]]:
+    """Ids of every value, and the places of irregular ones, which have none."""
+    try:
+        return list(map(make, values)), []
+    except _Irregular:
+        out, irregular = [], []
+        for i, value in enumerate(values):
+            try:
+                out.append(make(value))
+            except _Irregular:
+                out.append(b"")
+                irregular.append(i)
+        return out, irregular
+
+
+class Chunks:
+    """The texts of an Arrow column cut at single spaces, each distinct chunk once."""
+
+    def __init__(self, column):
+        import pyarrow.compute as pc
+
+        self.texts = pc.fill_null(column, "")
+        lists = pc.split_pattern(self.texts, " ")
+        self.at = lists.offsets.to_numpy().astype(np.int64)  # every text has one chunk at least
+        coded = lists.flatten().dictionary_encode()
+        self.codes, self.distinct = coded.indices.to_numpy(), coded.dictionary
+
+    def encode(self, inner: Callable[[str], bytes], whole: Callable[[str], bytes], first: Callable[[str], bytes] | None = None,
+               end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets of the texts in them): ``inner`` of each chunk, ``first`` of a text's first one if it differs, then ``end``.
+
+        Texts with a chunk that raises ``_Irregular`` are encoded by ``whole``.
+        """
+        n, at = len(self.texts), self.at
+        heads, row = at[:-1], np.repeat(np.arange(n), np.diff(at))
+        codes = self.codes.astype(np.int64)
+        irregular = np.zeros(n, dtype=bool)
+        if first is None:
+            asked, values = self.distinct.to_pylist(), []
+        else:
+            within = np.ones(len(codes), dtype=bool)
+            within[heads] = False
+            used = np.zeros(len(self.distinct), dtype=bool)
+            used[codes[within]] = True
+            asked = self.distinct.filter(used).to_pylist()
+            values, odd = _distinct(self.distinct.take(self.codes[heads]).to_pylist(), first)
+            irregular[odd] = True
+            codes = np.where(within, (np.cumsum(used) - 1)[codes] + n, row)
+        known, odd = _distinct(asked, inner)
+        if odd:
+            flag = np.zeros(len(values) + len(known), dtype=bool)
+            flag[np.array(odd) + len(values)] = True
+            irregular[row[flag[codes]]] = True
+        values += known
+        again = np.flatnonzero(irregular)
+        if len(again):
+            codes[irregular[row]] = len(values) + len(again)
+            codes[heads[again]] = len(values) + np.arange(len(again))
+            values += [whole(self.texts[i].as_py()) for i in again.tolist()] + [b""]
+        if end:
+            placed = np.full(len(codes) + n, len(values), dtype=np.int64)
+            placed[np.arange(len(codes)) + row] = codes
+            codes, at = placed, at + np.arange(n + 1)
+            values.append(end)
+        size = np.fromiter((len(v) // 4 for v in values), dtype=np.int64, count=len(values))
+        pool, start = np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(size) - size
+        size = size[codes]
+        ends = np.cumsum(size)
+        ids = pool[np.repeat(start[codes] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[at]
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -65,7 +147,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.letters = str.maketrans(dict(enumerate(_byte_letters())))
-        self.words = _Cache(self._word, room)
+        self.words = _Cache(self._word, room // 8)
         self.inner = _Cache(self._inner, room)
         self.first = _Cache(lambda c: self._chunk(c, False), room // 8)
         self.wide = _Cache(self._whole, room // 8)
@@ -76,7 +158,10 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one run of letters, perhaps after a space."""
-        shown = word.encode().decode("latin-1").translate(self.letters)
+        if word.isascii():
+            shown = word.replace(" ", self.letters[32])
+        else:
+            shown = word.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.four[t.id] for t in self.model.tokenize(shown)])
 
     def _part(self, part: str, spaced: bool) -> bytes:
@@ -120,6 +205,14 @@ class Encoder:
         except _Irregular:
             return b"".join(map(self.wide.__getitem__, _BOUNDARY.split(text)))
 
+    def encode_column(self, column, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): of each text of an Arrow column what ``encode`` gives, and ``end``."""
+        if not self.spaced:  # drops newlines like spaces
+            import pyarrow.compute as pc
+
+            return Chunks(pc.replace_substring(column, "\n", " ")).encode(self.inner.__getitem__, self.encode, end=end)
+        return Chunks(column).encode(self.inner.__getitem__, self.encode, self.first.__getitem__, end)
+
 
 STATE = "encoder"
 
