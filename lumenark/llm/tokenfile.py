@@ -56,18 +56,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         key = TaskContext.get().taskAttemptId()
         if state.get("task") != key:
             state.update(task=key, at=0)
-        enc = encoder(tokenizer)
-        chunks = [enc.encode(t) + tail for t in batch.column("text").to_pylist()]
-        sizes = np.fromiter((len(c) // 4 for c in chunks), dtype=np.int64, count=len(chunks))
-        ends = np.cumsum(sizes)
-        at = state["at"] + ends - sizes
+        ids, ends = encoder(tokenizer).encode_column(batch.column("text"), tail)
+        at = state["at"] + ends[:-1]
         state["at"] += int(ends[-1])
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                                       pa.array(np.frombuffer(b"".join(chunks), dtype="<i4")))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(chunks), part, dtype=np.int32)),
-                                           pa.array(at), pa.array(sizes), ids], ["doc_id", "part", "at", "n_tokens", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(batch.num_rows, part, dtype=np.int32)), pa.array(at), pa.array(np.diff(ends)),
+                                           pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view("<i4")))], ["doc_id", "part", "at", "n_tokens", "ids"])
 
-    arrow_map(ordered, encode, FILE_SCHEMA, keeps=STATE).write.options(**{**FILE_OPTIONS, **(options or {})}).mode("overwrite").parquet(path)
+    arrow_map(ordered, encode, FILE_SCHEMA, rows=2048, keeps=STATE).write.options(**{**FILE_OPTIONS, **(options or {})}).mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None, where=None) -> DataFrame:
