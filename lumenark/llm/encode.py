@@ -94,8 +94,8 @@ class Chunks:
         Texts with a chunk that raises ``_Irregular`` are encoded by ``whole``.
         """
         n, at = len(self.texts), self.at
-        heads, row = at[:-1], np.repeat(np.arange(n), np.diff(at))
-        codes = self.codes.astype(np.int64)
+        heads, row = at[:-1], np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
+        codes = self.codes.astype(np.int32)
         irregular = np.zeros(n, dtype=bool)
         if first is None:
             asked, values = self.distinct.to_pylist(), []
@@ -107,7 +107,7 @@ class Chunks:
             asked = self.distinct.filter(used).to_pylist()
             values, odd = _distinct(self.distinct.take(self.codes[heads]).to_pylist(), first)
             irregular[odd] = True
-            codes = np.where(within, (np.cumsum(used) - 1)[codes] + n, row)
+            codes = np.where(within, (np.cumsum(used) - 1)[codes] + n, row).astype(np.int32)
         known, odd = _distinct(asked, inner)
         if odd:
             flag = np.zeros(len(values) + len(known), dtype=bool)
@@ -120,16 +120,17 @@ class Chunks:
             codes[heads[again]] = len(values) + np.arange(len(again))
             values += [whole(self.texts[i].as_py()) for i in again.tolist()] + [b""]
         if end:
-            placed = np.full(len(codes) + n, len(values), dtype=np.int64)
+            placed = np.full(len(codes) + n, len(values), dtype=np.int32)
             placed[np.arange(len(codes)) + row] = codes
             codes, at = placed, at + np.arange(n + 1)
             values.append(end)
-        size = np.fromiter((len(v) // 4 for v in values), dtype=np.int64, count=len(values))
+        size = np.fromiter((len(v) // 4 for v in values), dtype=np.int32, count=len(values))
         pool, start = np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(size) - size
         size = size[codes]
         ends = np.cumsum(size)
-        ids = pool[np.repeat(start[codes] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[at]
+        place = np.repeat(start[codes] - ends + size, size)
+        place += np.arange(len(place))
+        return pool[place], np.concatenate([[0], ends])[at]
 
 
 class Encoder:
@@ -188,6 +189,8 @@ class Encoder:
         return b"".join(out)
 
     def _inner(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.isascii():
+            return self.words[chunk.lower() if self.lower else " " + chunk]
         m = _PLAIN.fullmatch(chunk)
         if m is None:
             return self._chunk(chunk, True)

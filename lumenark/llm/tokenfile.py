@@ -62,7 +62,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(batch.num_rows, part, dtype=np.int32)), pa.array(at), pa.array(np.diff(ends)),
                                            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view("<i4")))], ["doc_id", "part", "at", "n_tokens", "ids"])
 
-    arrow_map(ordered, encode, FILE_SCHEMA, rows=2048, keeps=STATE).write.options(**{**FILE_OPTIONS, **(options or {})}).mode("overwrite").parquet(path)
+    arrow_map(ordered, encode, FILE_SCHEMA, rows=4096, size=8 << 20, keeps=STATE).write.options(**{**FILE_OPTIONS, **(options or {})}).mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None, where=None) -> DataFrame:
