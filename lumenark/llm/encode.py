@@ -136,7 +136,7 @@ class Chunks:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 300_000, words: int | None = None):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -148,7 +148,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.letters = str.maketrans(dict(enumerate(_byte_letters())))
-        self.words = _Cache(self._word, room // 8)
+        self.words = _Cache(self._word, words or room // 8)
         self.inner = _Cache(self._inner, room)
         self.first = _Cache(lambda c: self._chunk(c, False), room // 8)
         self.wide = _Cache(self._whole, room // 8)
@@ -220,9 +220,9 @@ class Encoder:
 STATE = "encoder"
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker: the one of the vocabulary file asked for last."""
+def encoder(path: str, **rooms: int) -> Encoder:
+    """One encoder per Python worker: the one of the vocabulary file and rooms asked for last."""
     kept = WORKER.get(STATE)
-    if kept is None or kept[0] != path:
-        WORKER[STATE] = kept = (path, Encoder(path))
+    if kept is None or kept[0] != (path, rooms):
+        WORKER[STATE] = kept = ((path, rooms), Encoder(path, **rooms))
     return kept[1]

@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     tail = int(end_id).to_bytes(4, "little")
 
     def encode(batch):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, room=400_000, words=400_000)  # words after line ends are looked up one by one
         out = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             raw = enc.encode(text) + tail
